@@ -125,7 +125,10 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHED
     taken = F.col("turns") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - F.col("start")))
     at = F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("mixed").cast("double"), F.col("weight_no"), schedules))
     out = joined.withColumn("taken", taken.cast("long")).withColumn("position", at)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position").sortWithinPartitions("position")
+        # texts that are not taken have no position; they follow, spread by their place
+    order = F.coalesce("position", 2 + F.col("place") / F.lit(float(1 << 63)))
+    ranged = out.withColumn("order", order).repartitionByRange("order").sortWithinPartitions("order")
+    return ranged.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -293,6 +293,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = own.join(least, "component").select(F.col("node").alias("fp"), F.col("component_id"))
     every = distinct.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    every = materialise(every, f"{folder}/labels")  # a join of its own, whose hot fingerprints Spark can split
     return fps.join(every, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -13,7 +13,7 @@ CHECKPOINT_STEPS steps, from which decoding can start; a decoder runs all checkp
 Units are rows of a Parquet table (part, unit, doc_ids, lengths, payload), which any store of Spark's can hold and whose
 writing survives lost tasks.
 
-Text is cut at single spaces before it is tokenised, where the byte-level pattern always begins a new piece; the pieces
+Text is cut at single spaces before it is tokenised, where the byte-level pattern always begins a new piece; the units
 are coded by the tokenizers library and remembered. Texts with other blanks next to a space are coded whole.
 
 Defined cases: null and empty texts have the end id alone; null ids come first; rows that repeat an id stay neighbours,
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,70 +39,107 @@ SCALE_BITS = 20
 LANES = 64
 BLOCK = 1 << 16
 CHECKPOINT_STEPS = 256
-UNIT_IDS = 1 << 18
+UNIT_IDS = 1 << 20
 _LOW = np.uint64(1 << 31)
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _UNITS = "part int, unit int, n_ids long, doc_ids array<long>, lengths array<long>"
 
 
+def _byte_characters() -> dict[str, str]:
+    """The characters by which byte-level models write the 256 bytes: printable ones stand for themselves, the others
+    follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): chr(b) for b in printable} | {chr(b): chr(256 + i) for i, b in enumerate(others)}
+
+
 class Tokens:
-    """Text to ids, as arrays of u16 or u32 values. Pieces met lately are remembered in two generations."""
+    """Text to ids, as arrays of u16 or u32 values. Units between spaces met lately are remembered in two generations.
 
-    LIMIT = 400_000
+    A new unit that is letters, then ASCII punctuation, is those two pieces of the pattern, and a line end between such
+    units is one; each is coded by the library's model. All other new units, and texts with blanks next to spaces, go
+    through the library's whole tokenizer."""
+
+    LIMIT = 600_000
     LONG = 64
-    #: Plain new pieces are coded many to a text, with line ends between them.
-    TOGETHER = 200
+    PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.characters = str.maketrans(_byte_characters())
+        self.spaced: dict[str, bytes] = {}  # by unit, with the space before it
         self.older: dict[str, bytes] = {}
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. A line end between pieces that start with a space and have no other blank is a piece of its own."""
-        plain, other = [], []
-        for p in new:
-            (plain if p[0] == " " and len(p.split()) == 1 and len(p) == len(p.strip()) + 1 else other).append(p)
-        out = {p: ids.tobytes() for p, ids in zip(other, self._ids(other))}
-        groups = [plain[at : at + self.TOGETHER] for at in range(0, len(plain), self.TOGETHER)]
-        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups])):
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
-            starts = [0, *(e + 1 for e in ends)]
-            for p, a, b in zip(group, starts, ends, strict=False):
-                out[p] = ids[a:b].tobytes()
-        return out
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        pieces: list[list[str]] = []
-        for text in texts:
-            if not text:
-                pieces.append([])
-            elif _UNSAFE.search(text):
-                pieces.append([text])
-            else:
-                first, *rest = text.split(" ")
-                pieces.append([first] * bool(first) + [" " + x for x in rest])
-        if len(self.known) > self.LIMIT:
-            self.older, self.known = self.known, {}
-        new, long_ = [], {}
-        for p in {p for own in pieces for p in own if p not in self.known}:
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append(p)
-        for p, ids in self._learn(new).items():
-            (self.known if len(p) <= self.LONG else long_)[p] = ids
-        if not long_:
-            return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), self.dtype) for own in pieces]
-        return [np.frombuffer(b"".join(self.known[p] if p in self.known else long_[p] for p in own), self.dtype) for own in pieces]
+        self.plain: dict[str, bytes] = {"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern."""
+        written = piece.encode().decode("latin-1").translate(self.characters)
+        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _plain(self, piece: str) -> bytes:
+        found = self.plain.get(piece)
+        if found is None:
+            if len(self.plain) > self.LIMIT // 8:
+                self.plain = {"": b""}
+            found = self.plain[piece] = self._piece(piece)
+        return found
+
+    def _new(self, unit: str, spaced: bool) -> bytes:
+        if spaced and (found := self.older.pop(unit, None)) is not None:
+            self.spaced[unit] = found
+            return found
+        core = unit.rstrip(self.PUNCTUATION)
+        if spaced and core.isalpha():  # the usual case: a word, or a word with punctuation
+            if len(core) == len(unit):
+                return self._keep(unit, self._piece(" " + unit), True)
+            ids, tail = self.spaced.get(core), self._plain(unit[len(core) :])
+            if ids is None:
+                return self._new(core, True) + tail
+            return self._keep(unit, ids + tail, True)  # worth remembering, as its word was known
+        parts = unit.split("\n")
+        cores = [p.rstrip(self.PUNCTUATION) for p in parts]
+        if not all(map(str.isalpha, cores)):
+            return self._keep(unit, self._whole(" " + unit if spaced else unit), spaced)
+        out = []
+        for i, (part, core) in enumerate(zip(parts, cores)):
+            if i:
+                out.append(self._plain("\n"))
+            out.append(self._plain(core) if i or not spaced else self.spaced.get(core) or self._new(core, True))
+            if len(part) > len(core):
+                out.append(self._plain(part[len(core) :]))
+        return b"".join(out)
+
+    def _keep(self, unit: str, ids: bytes, spaced: bool) -> bytes:
+        if spaced and len(unit) <= self.LONG:
+            if len(self.spaced) >= self.LIMIT:
+                self.older, self.spaced = self.spaced, {}
+            self.spaced[unit] = ids
+        return ids
+
+    def of(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, self.dtype)
+        if _UNSAFE.search(text):
+            return np.frombuffer(self._whole(text), self.dtype)
+        units = text.split(" ")
+        found = list(map(self.spaced.get, units))
+        found[0] = self._new(units[0], False) if units[0] else b""
+        at = 0
+        try:
+            while True:
+                at = found.index(None, at)
+                found[at] = self._new(units[at], True)
+        except ValueError:  # no unit is left
+            return np.frombuffer(b"".join(found), self.dtype)
 
 
 _tokens: dict[str, Tokens] = {}
@@ -121,7 +159,7 @@ def _tokenised(tokenizer: str):
         part, unit, tokens = TaskContext.get().partitionId(), 0, _of_worker(tokenizer)
         docs: list[int | None] = []
         held: list[np.ndarray] = []
-        total = 0
+        total, end = 0, np.array([END_ID], tokens.dtype)
 
         def flush() -> pa.RecordBatch:
             lengths = [len(x) for x in held]
@@ -129,15 +167,13 @@ def _tokenised(tokenizer: str):
             return pa.record_batch(columns, names=["part", "unit", "n_ids", "doc_ids", "lengths", "ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                small = batch.slice(at, 64)
-                for doc, ids in zip(small.column("doc_id").to_pylist(), tokens.of(small.column("text").to_pylist())):
-                    docs.append(doc)
-                    held.append(np.append(ids, np.array([END_ID], ids.dtype)))
-                    total += len(held[-1])
-                    if total >= UNIT_IDS:
-                        yield flush()
-                        docs, held, total, unit = [], [], 0, unit + 1
+            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+                docs.append(doc.as_py())
+                held.append(np.append(tokens.of(text.as_py()), end))
+                total += len(held[-1])
+                if total >= UNIT_IDS:
+                    yield flush()
+                    docs, held, total, unit = [], [], 0, unit + 1
         if docs:
             yield flush()
 
