@@ -60,7 +60,7 @@ class Tokens:
     units is one; each is coded by the library's model. All other new units, and texts with blanks next to spaces, go
     through the library's whole tokenizer."""
 
-    LIMIT = 600_000
+    LIMIT = 850_000
     LONG = 64
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -88,7 +88,7 @@ class Tokens:
     def _plain(self, piece: str) -> bytes:
         found = self.plain.get(piece)
         if found is None:
-            if len(self.plain) > self.LIMIT // 8:
+            if len(self.plain) > self.LIMIT // 16:
                 self.plain = {"": b""}
             found = self.plain[piece] = self._piece(piece)
         return found
@@ -237,14 +237,20 @@ class Coder:
         words, sent = np.zeros((n, steps, LANES), np.uint32), np.zeros((n, steps, LANES), bool)
         marks = {}
         low32, by32, scale = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(SCALE_BITS)
+        all_used = used.all((0, 2))
         for step in range(steps - 1, -1, -1):
-            now = used[:, step]
-            f = np.where(now, self.f[grid[:, step]], np.uint64(1))
-            full = now & (state >= f << np.uint64(63 - SCALE_BITS))
-            words[:, step], sent[:, step] = (state & low32).astype(np.uint32), full
-            state = np.where(full, state >> by32, state)
-            q = state // f
-            state = np.where(now, (q << scale) + (state - q * f) + self.c[grid[:, step]], state)
+            ids_now, now = grid[:, step], used[:, step]
+            f, c = self.f[ids_now], self.c[ids_now]
+            if not all_used[step]:
+                f, c = np.where(now, f, np.uint64(1)), np.where(now, c, np.uint64(0))
+            full = state >= f << np.uint64(63 - SCALE_BITS)
+            if not all_used[step]:
+                full &= now
+            words[:, step], sent[:, step] = state & low32, full
+            before = np.where(full, state >> by32, state)
+            q = before // f
+            after = (q << scale) + (before - q * f) + c
+            state = after if all_used[step] else np.where(now, after, state)
             if step % CHECKPOINT_STEPS == 0:
                 marks[step] = state
         out = []
