@@ -54,7 +54,7 @@ def blocks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 class WordHash(dict):
     """Word to 64-bit hash; remembers the words it has met, up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -1,7 +1,7 @@
 """Token ids in binary files, coded with a static range asymmetric numeral system (rANS).
 
-Texts are dealt by ranges of doc_id and sorted, tokenised, and cut into units of whole documents. One pass counts the
-ids of all units; the counts, scaled to 2**20, are the frequency table that all blocks share. Then every unit is coded
+Texts are dealt by ranges of doc_id and sorted, tokenised, and cut into units of whole documents. Each task counts its
+ids; the sums of the counts, scaled to 2**20, are the frequency table that all blocks share. Then every unit is coded
 and decoded on its own.
 
 Format of a unit's payload (little-endian), one block after another:
@@ -14,7 +14,7 @@ Units are rows of a Parquet table (part, unit, doc_ids, lengths, payload), which
 writing survives lost tasks.
 
 Text is cut at single spaces before it is tokenised, where the byte-level pattern always begins a new piece; the units
-are coded by the tokenizers library and remembered. Texts with other blanks next to a space are coded whole.
+are coded by the tokenizers library and remembered. Texts with a blank after a space are coded whole.
 
 Defined cases: null and empty texts have the end id alone; null ids come first; rows that repeat an id stay neighbours,
 ordered by a hash of their texts; an empty table gives empty files.
@@ -22,7 +22,6 @@ ordered by a hash of their texts; an empty table gives empty files.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,7 +40,7 @@ BLOCK = 1 << 16
 CHECKPOINT_STEPS = 256
 UNIT_IDS = 1 << 20
 _LOW = np.uint64(1 << 31)
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
+_COUNTS = -1  # the unit number of the row in which a task leaves the counts of its ids
 _UNITS = "part int, unit int, n_ids long, doc_ids array<long>, lengths array<long>"
 
 
@@ -53,14 +52,18 @@ def _byte_characters() -> dict[str, str]:
     return {chr(b): chr(b) for b in printable} | {chr(b): chr(256 + i) for i, b in enumerate(others)}
 
 
+class _BlankAfterSpace(Exception):
+    """A space with a blank or nothing after it, which the pattern may join to the blanks before it."""
+
+
 class Tokens:
     """Text to ids, as arrays of u16 or u32 values. Units between spaces met lately are remembered in two generations.
 
     A new unit that is letters, then ASCII punctuation, is those two pieces of the pattern, and a line end between such
-    units is one; each is coded by the library's model. All other new units, and texts with blanks next to spaces, go
+    units is one; each is coded by the library's model. All other new units, and texts with a blank after a space, go
     through the library's whole tokenizer."""
 
-    LIMIT = 850_000
+    LIMIT = 450_000
     LONG = 64
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -88,7 +91,7 @@ class Tokens:
     def _plain(self, piece: str) -> bytes:
         found = self.plain.get(piece)
         if found is None:
-            if len(self.plain) > self.LIMIT // 16:
+            if len(self.plain) > self.LIMIT // 8:
                 self.plain = {"": b""}
             found = self.plain[piece] = self._piece(piece)
         return found
@@ -97,6 +100,8 @@ class Tokens:
         if spaced and (found := self.older.pop(unit, None)) is not None:
             self.spaced[unit] = found
             return found
+        if spaced and (not unit or unit[0].isspace()):
+            raise _BlankAfterSpace
         core = unit.rstrip(self.PUNCTUATION)
         if spaced and core.isalpha():  # the usual case: a word, or a word with punctuation
             if len(core) == len(unit):
@@ -128,18 +133,15 @@ class Tokens:
     def of(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        if _UNSAFE.search(text):
-            return np.frombuffer(self._whole(text), self.dtype)
         units = text.split(" ")
         found = list(map(self.spaced.get, units))
-        found[0] = self._new(units[0], False) if units[0] else b""
-        at = 0
         try:
-            while True:
-                at = found.index(None, at)
+            found[0] = self._new(units[0], False) if units[0] else b""
+            for at in [i for i, ids in enumerate(found) if ids is None] if None in found else ():
                 found[at] = self._new(units[at], True)
-        except ValueError:  # no unit is left
-            return np.frombuffer(b"".join(found), self.dtype)
+        except _BlankAfterSpace:
+            return np.frombuffer(self._whole(text), self.dtype)
+        return np.frombuffer(b"".join(found), self.dtype)
 
 
 _tokens: dict[str, Tokens] = {}
@@ -160,10 +162,15 @@ def _tokenised(tokenizer: str):
         docs: list[int | None] = []
         held: list[np.ndarray] = []
         total, end = 0, np.array([END_ID], tokens.dtype)
+        counts = np.zeros(tokens.tokenizer.get_vocab_size(), np.int64)
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) for x in held]
-            columns = [pa.array([part], pa.int32()), pa.array([unit], pa.int32()), pa.array([total], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([np.concatenate(held).tobytes()], pa.binary())]
+            ids = np.concatenate(held)
+            counts[:] += np.bincount(ids, minlength=len(counts))
+            return row(unit, docs, [len(x) for x in held], ids.tobytes())
+
+        def row(unit: int, docs: list, lengths: list, ids: bytes) -> pa.RecordBatch:
+            columns = [pa.array([part], pa.int32()), pa.array([unit], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([ids], pa.binary())]
             return pa.record_batch(columns, names=["part", "unit", "n_ids", "doc_ids", "lengths", "ids"])
 
         for batch in batches:
@@ -176,24 +183,18 @@ def _tokenised(tokenizer: str):
                     docs, held, total, unit = [], [], 0, unit + 1
         if docs:
             yield flush()
+        if counts.any():
+            yield row(_COUNTS, [], [], counts.tobytes())
 
     return run
 
 
-def _counted(dtype: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                count = np.bincount(np.frombuffer(batch.column("ids")[row].as_buffer(), dtype))
-                if len(count) < len(total):
-                    count, total = total, count
-                count[: len(total)] += total
-                total = count
-        used = np.flatnonzero(total)
-        yield pa.record_batch([used, total[used]], names=["id", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            counts = np.frombuffer(batch.column("ids")[row].as_buffer(), np.int64)
+            used = np.flatnonzero(counts)
+            yield pa.record_batch([used, counts[used]], names=["id", "n"])
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -328,12 +329,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str) -> None:
     dealt = columns.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
     units = materialise(dealt.mapInArrow(_tokenised(tokenizer), f"{_UNITS}, ids binary"), f"{path}/ids")
     counts = np.zeros(size, np.int64)
-    for row in units.select("ids").mapInArrow(_counted(dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in units.filter(F.col("unit") == _COUNTS).select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]  # a row an id of the vocabulary at most
     frequencies = scaled(counts)
     table = [(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)]
     docs.sparkSession.createDataFrame(table, "id long, frequency long").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
-    units.mapInArrow(_coded(frequencies, dtype), f"{_UNITS}, payload binary").write.mode("overwrite").parquet(f"{path}/blocks")
+    units.filter(F.col("unit") != _COUNTS).mapInArrow(_coded(frequencies, dtype), f"{_UNITS}, payload binary").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def _decoded(frequencies: np.ndarray, with_ids: bool):
