@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one in local mode only."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vismatch-")
+    return f"{base.rstrip('/')}/vismatch-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int = 8, partitions: int = 8, **more: str) -> SparkSession:
     """A session on this machine, with the settings that the tests and the benchmark share."""
     conf = {
