@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..session import shared_dir as shared_dir
 
 #: White space of the word contracts; ``bytes.split()`` splits on exactly these six.
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -21,17 +21,6 @@ ALNUM_TABLE = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="vismatch-")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet under a shared path and read it back: cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)
