@@ -7,13 +7,15 @@ same protocol and loads its weights on first use in the worker.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import pixels
 
@@ -67,6 +69,18 @@ def pixels_of(image: dict) -> np.ndarray:
     return np.repeat(own, 3, axis=2) if own.shape[2] == 1 else own[:, :, :3]
 
 
+def _map_rows(df: DataFrame, each: Callable[[dict], dict], schema: str) -> DataFrame:
+    """each over the rows of df, in Arrow batches of a few images."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                yield pa.RecordBatch.from_pylist([each(row) for row in batch.slice(at, 16).to_pylist()], arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 _RECORD = "success boolean, operations array<string>, original_size string, final_size string, detection_confidence double, processing_time double, skipped boolean, error string"
 
 
@@ -89,47 +103,39 @@ def preprocess(images: DataFrame, detector: Detector, size: int = 384, keep_aspe
         out = pixels.letterbox(crop, size) if keep_aspect else pixels.resize(crop, size, size)
         return out, [*ops, "enhance", "letterbox" if keep_aspect else "stretch"], f"{w}x{h}", 0.5 if boxes else 0.0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, image, error in zip(batch["path"], batch["image"], batch["error"]):
-                began, record = time.perf_counter(), {"path": path, "pixels": None, "skipped": False, "success": False, "operations": [], "detection_confidence": 0.0, "error": error}
-                try:
-                    if error is None:
-                        out, ops, before, confidence = one(image)
-                        record |= {"pixels": out.tobytes(), "success": True, "operations": ops, "original_size": before, "final_size": f"{size}x{size}", "detection_confidence": confidence}
-                except ValueError as e:
-                    record["error"] = str(e)
-                rows.append(record | {"processing_time": time.perf_counter() - began})
-            yield pd.DataFrame(rows, columns=["path", "pixels", *(c.split()[0] for c in _RECORD.split(", "))])
+    def each(row: dict) -> dict:
+        began = time.perf_counter()
+        record = {"path": row["path"], "skipped": False, "success": False, "operations": [], "detection_confidence": 0.0, "error": row["error"]}
+        if row["error"] is None:
+            try:
+                out, ops, before, confidence = one(row["image"])
+                record |= {"pixels": out.tobytes(), "success": True, "operations": ops, "original_size": before, "final_size": f"{size}x{size}", "detection_confidence": confidence}
+            except ValueError as e:
+                record["error"] = str(e)
+        return record | {"processing_time": time.perf_counter() - began}
 
-    return images.select("path", "image", "error").mapInPandas(run, f"path string, pixels binary, {_RECORD}")
+    return _map_rows(images.select("path", "image", "error"), each, f"path string, pixels binary, {_RECORD}")
 
 
 def encode(images: DataFrame, encoder: Encoder, size: int = 224) -> DataFrame:
     """path, embedding and error for each row of read_images; a row that fails keeps its error, and no vector."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            vectors, errors = [], []
-            for image, error in zip(batch["image"], batch["error"]):
-                try:
-                    vectors.append(None if error is not None else encoder.encode(pixels.query_crop(pixels_of(image), size)).tolist())
-                    errors.append(error)
-                except ValueError as e:
-                    vectors.append(None)
-                    errors.append(str(e))
-            yield pd.DataFrame({"path": batch["path"], "embedding": vectors, "error": errors})
+    def each(row: dict) -> dict:
+        if row["error"] is not None:
+            return {"path": row["path"], "error": row["error"]}
+        try:
+            return {"path": row["path"], "embedding": encoder.encode(pixels.query_crop(pixels_of(row["image"]), size)).tolist()}
+        except ValueError as e:
+            return {"path": row["path"], "error": str(e)}
 
-    return images.select("path", "image", "error").mapInPandas(run, "path string, embedding array<double>, error string")
+    return _map_rows(images.select("path", "image", "error"), each, "path string, embedding array<double>, error string")
 
 
 def image_measures(images: DataFrame) -> DataFrame:
     """path, blur metric and over-exposed share of each decoded image."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [pixels_of(i) for i in batch["image"]]
-            yield pd.DataFrame({"path": batch["path"], "blur": [pixels.blur_metric(i) for i in own], "over_exposed": [pixels.over_exposed(i) for i in own]})
+    def each(row: dict) -> dict:
+        own = pixels_of(row["image"])
+        return {"path": row["path"], "blur": pixels.blur_metric(own), "over_exposed": pixels.over_exposed(own)}
 
-    return images.filter(F.col("error").isNull()).select("path", "image").mapInPandas(run, "path string, blur double, over_exposed double")
+    return _map_rows(images.filter(F.col("error").isNull()).select("path", "image"), each, "path string, blur double, over_exposed double")

@@ -27,7 +27,8 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded images in BGR; files that can't be decoded keep a row with an error."""
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
     broken = F.col("image.height") < 0
-    return images.select(F.col("image.origin").alias("path"), F.when(~broken, F.col("image")).alias("image"), F.when(broken, F.lit("not decodable")).alias("error"))
+    path = F.regexp_replace("image.origin", "^file:///", "file:/")  # as the other file sources write it
+    return images.select(path.alias("path"), F.when(~broken, F.col("image")).alias("image"), F.when(broken, F.lit("not decodable")).alias("error"))
 
 
 def resolve_first(spark: SparkSession, candidates: list[str]) -> str:
