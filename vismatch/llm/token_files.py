@@ -36,7 +36,7 @@ from ._common import materialise, shared_dir
 END_ID = 2
 SCALE_BITS = 20
 LANES = 64
-BLOCK = 1 << 16
+BLOCK = 1 << 15
 CHECKPOINT_STEPS = 256
 UNIT_IDS = 1 << 20
 _LOW = np.uint64(1 << 31)
@@ -56,6 +56,19 @@ class _BlankAfterSpace(Exception):
     """A space with a blank or nothing after it, which the pattern may join to the blanks before it."""
 
 
+class _Units(dict):
+    """Ids by unit; asks its owner for those that it lacks, also when the owner has begun a new generation meanwhile."""
+
+    def __init__(self, owner: Tokens) -> None:
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, unit: str) -> bytes:
+        if self is not self.owner.spaced and (found := self.owner.spaced.get(unit)) is not None:
+            return found
+        return self.owner._new(unit, True)
+
+
 class Tokens:
     """Text to ids, as arrays of u16 or u32 values. Units between spaces met lately are remembered in two generations.
 
@@ -76,8 +89,9 @@ class Tokens:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.characters = str.maketrans(_byte_characters())
-        self.spaced: dict[str, bytes] = {}  # by unit, with the space before it
-        self.older: dict[str, bytes] = {}
+        self.spaced = _Units(self)  # by unit, with the space before it
+        self.older = _Units(self)
+        self.space = self.characters[ord(" ")]
         self.plain: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
@@ -85,7 +99,9 @@ class Tokens:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece of the pattern."""
-        written = piece.encode().decode("latin-1").translate(self.characters)
+        return self._written(piece.encode().decode("latin-1").translate(self.characters))
+
+    def _written(self, written: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _plain(self, piece: str) -> bytes:
@@ -105,8 +121,10 @@ class Tokens:
         core = unit.rstrip(self.PUNCTUATION)
         if spaced and core.isalpha():  # the usual case: a word, or a word with punctuation
             if len(core) == len(unit):
-                return self._keep(unit, self._piece(" " + unit), True)
-            ids, tail = self.spaced.get(core), self._plain(unit[len(core) :])
+                # printable ASCII stands for itself
+                return self._keep(unit, self._written(self.space + unit) if unit.isascii() else self._piece(" " + unit), True)
+            tail = unit[len(core) :]
+            ids, tail = self.spaced.get(core), self.plain.get(tail) or self._plain(tail)
             if ids is None:
                 return self._new(core, True) + tail
             return self._keep(unit, ids + tail, True)  # worth remembering, as its word was known
@@ -126,22 +144,21 @@ class Tokens:
     def _keep(self, unit: str, ids: bytes, spaced: bool) -> bytes:
         if spaced and len(unit) <= self.LONG:
             if len(self.spaced) >= self.LIMIT:
-                self.older, self.spaced = self.spaced, {}
+                self.older, self.spaced = self.spaced, _Units(self)
             self.spaced[unit] = ids
         return ids
 
     def of(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        units = text.split(" ")
-        found = list(map(self.spaced.get, units))
+        units = iter(text.split(" "))
         try:
-            found[0] = self._new(units[0], False) if units[0] else b""
-            for at in [i for i, ids in enumerate(found) if ids is None] if None in found else ():
-                found[at] = self._new(units[at], True)
+            first = next(units)
+            found = self._new(first, False) if first else b""
+            found += b"".join(map(self.spaced.__getitem__, units))
         except _BlankAfterSpace:
             return np.frombuffer(self._whole(text), self.dtype)
-        return np.frombuffer(b"".join(found), self.dtype)
+        return np.frombuffer(found, self.dtype)
 
 
 _tokens: dict[str, Tokens] = {}
