@@ -482,6 +482,15 @@ def test_private_on_odd_tables(odd, empty):
 # --- pipeline
 
 
+def test_columns_of_any_name_pass(spark, docs):
+    more = docs.withColumns({c: F.lit(c) for c in ("_row", "_s", "_b", "_plan", "_copy", "_copies", "_position", "_kept", "_first", "place", "bucket", "words")})
+    for found, plain in ((mixing.mix_documents(more), mixing.mix_documents(docs)), (simhash.keep_one(more), simhash.keep_one(docs))):
+        assert found.columns == more.columns
+        rows = found.collect()
+        assert all(r[c] == c for r in rows for c in more.columns if c not in docs.columns)
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect())
+
+
 def test_pipeline_stages(spark, data, docs):
     import corpus_pipeline as p
 

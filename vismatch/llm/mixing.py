@@ -12,7 +12,8 @@ integral is the source's cumulative demand; inverting it at the words that come
 position in [0, 1). Documents are range-sorted by position.
 
 Running sums over a source are made in two levels: sums of (source, bucket of the hash), then inside a bucket. Buckets
-hold about ``bucket_rows`` rows of the whole table, so a source with a third of all rows is spread over many.
+hold about ``bucket_rows`` rows of the whole table, so a source with a third of all rows is spread over many. The plan has
+a row for each source and bucket, and rows and texts meet it on both, so no join brings a whole source into one task.
 
 Defined cases: null and empty texts have size 0 and are never taken; sources that are null form one source, last; a
 source of size 0 has target 0; repeated rows each count; null ids share one place in the order; an empty table gives an
@@ -28,7 +29,7 @@ from ._common import WORD_REGEX, materialise, shared_dir
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 #: For each weight: knots (training time, multiplier), linear between.
 SCHEDULES = (
     ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)),
@@ -67,23 +68,21 @@ def _bucket(place: Column, buckets: int) -> Column:
     return F.floor((F.shiftright(place, 48) + 32768) * buckets / 65536).cast("int")
 
 
-def _planned(sizes: DataFrame, buckets: int, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with the words of their source before them, and the sources with the running sums of their buckets."""
+def _planned(sizes: DataFrame, folder: str, buckets: int, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the words of their source before them, and the plan: for each source (_s) and bucket (_b) the words before
+    it and in it, with the source's size, target, whole turns and the cut of the last one."""
     placed = sizes.withColumn("place", _place(F.col("doc_id"))).withColumn("bucket", _bucket(F.col("place"), buckets))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = materialise(placed.groupBy("source", "bucket").agg(F.sum("size").alias("words")), f"{folder}/sums")
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("bucket_start", F.coalesce(F.sum("words").over(by_source), F.lit(0)))
+    starts = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("words").over(by_source), F.lit(0)).alias("bucket_start"), "words")
+    targets = source_targets(sums.select("source", F.col("words").alias("size")), weights, cap).withColumn("mixed", F.floor("target").cast("long"))
+    turns = F.when(F.col("source_size") > 0, F.expr("mixed div source_size")).otherwise(F.lit(0)).cast("long")
+    sources = targets.withColumn("turns", turns).withColumn("cut", F.col("mixed") - F.col("turns") * F.col("source_size"))
+    plan = materialise(starts.join(sources, F.col("_s").eqNullSafe(F.col("source"))).drop("source"), f"{folder}/plan")
     own = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    s = starts.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "bucket_start")
-    rows = inside.join(s, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).withColumn("start", F.col("bucket_start") + F.col("inside"))
-    targets = source_targets(sums.select("source", F.col("words").alias("size")), weights, cap)
-    per = starts.groupBy(F.col("source").alias("_o")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("bucket_start", "words")))).alias("buckets"))
-    sources = targets.join(per, F.col("source").eqNullSafe(F.col("_o"))).drop("_o")
-    mixed = F.floor("target").cast("long")
-    sources = sources.withColumn("mixed", mixed).withColumn("turns", F.when(F.col("source_size") > 0, F.expr("mixed div source_size")).otherwise(F.lit(0)).cast("long"))
-    sources = sources.withColumn("cut", F.col("mixed") - F.col("turns") * F.col("source_size"))
-    return rows.drop("_s", "_b", "bucket_start", "inside"), sources
+    rows = inside.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+    return rows.withColumn("start", F.col("bucket_start") + F.col("inside")), plan
 
 
 def position(done: Column, total: Column, weight_no: Column, schedules=SCHEDULES) -> Column:
@@ -113,19 +112,15 @@ def _buckets(docs: DataFrame, bucket_rows: int) -> int:
     return max(1, min(65536, -(-docs.count() // bucket_rows)))
 
 
-def _named(sources: DataFrame) -> DataFrame:
-    return sources.select(F.col("source").alias("_source"), *[c for c in sources.columns if c != "source"])
-
-
 def mix_report(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each document: size, its source's size and target, words taken, first position; sorted by position."""
-    sizes = materialise(_sizes(docs), f"{shared_dir(docs.sparkSession)}/sizes")
-    rows, sources = _planned(sizes, _buckets(sizes, bucket_rows), weights, cap)
-    joined = rows.join(_named(sources.drop("buckets")), F.col("source").eqNullSafe(F.col("_source")))
+    folder = shared_dir(docs.sparkSession)
+    sizes = materialise(_sizes(docs), f"{folder}/sizes")
+    rows, _ = _planned(sizes, folder, _buckets(sizes, bucket_rows), weights, cap)
     taken = F.col("turns") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - F.col("start")))
     at = F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("mixed").cast("double"), F.col("weight_no"), schedules))
-    out = joined.withColumn("taken", taken.cast("long")).withColumn("position", at)
-        # texts that are not taken have no position; they follow, spread by their place
+    out = rows.withColumn("taken", taken.cast("long")).withColumn("position", at)
+    # texts that are not taken have no position; they follow, spread by their place
     order = F.coalesce("position", 2 + F.col("place") / F.lit(float(1 << 63)))
     ranged = out.withColumn("order", order).repartitionByRange("order").sortWithinPartitions("order")
     return ranged.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -135,25 +130,27 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SC
     """The mix itself: a row for each taken copy, all columns of docs, range-sorted by training position.
 
     Whole texts only: the text at a source's cut is taken once more if at least half of it lies before the cut. The plan
-    is made on ids and sizes; the texts meet only a table of one row a source."""
-    sizes = materialise(_sizes(docs), f"{shared_dir(docs.sparkSession)}/sizes")
+    is made on ids and sizes; the texts meet only a table of one row a source and bucket."""
+    folder = shared_dir(docs.sparkSession)
+    sizes = materialise(_sizes(docs), f"{folder}/sizes")
     buckets = _buckets(sizes, bucket_rows)
-    rows, sources = _planned(sizes, buckets, weights, cap)
-    sources = materialise(_named(sources), f"{shared_dir(docs.sparkSession)}/sources")
-    before = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).filter((2 * (F.col("cut") - F.col("start")) >= F.col("size")) & (F.col("size") > 0) & (F.col("start") < F.col("cut")))
+    rows, plan = _planned(sizes, folder, buckets, weights, cap)
+    before = rows.filter((2 * (F.col("cut") - F.col("start")) >= F.col("size")) & (F.col("size") > 0) & (F.col("start") < F.col("cut")))
     last = before.groupBy(F.col("source").alias("_l")).agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("last"))
-    table = sources.join(last, F.col("_source").eqNullSafe(F.col("_l")), "left").drop("_l")
-    table = table.select(F.col("_source"), F.struct(*[c for c in table.columns if c != "_source"]).alias("_plan"))
-    joined = docs.join(table, F.col("source").cast("string").eqNullSafe(F.col("_source"))).drop("_source")
-    place = _place(F.col("doc_id").cast("long"))
-    key = F.struct(place.alias("place"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
+    table = plan.join(last, F.col("_s").eqNullSafe(F.col("_l")), "left").drop("_l")
+    table = table.select("_s", "_b", F.struct(*[c for c in table.columns if c not in ("_s", "_b")]).alias("_plan"))
+    table = materialise(table, f"{folder}/table")
+    # the row as one column, so that no name of its own can clash
+    packed = docs.select(F.struct("*").alias("_row"))
+    place = _place(F.col("_row.doc_id").cast("long"))
+    joined = packed.join(table, F.col("_row.source").cast("string").eqNullSafe(F.col("_s")) & (_bucket(place, buckets) == F.col("_b")))
+    key = F.struct(place.alias("place"), F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
     once_more = F.coalesce(key <= F.col("_plan.last"), F.lit(False)).cast("long")
-    copies = F.when(size_of(F.col("text")) > 0, F.col("_plan.turns") + once_more).otherwise(F.lit(0))
+    copies = F.when(size_of(F.col("_row.text").cast("string")) > 0, F.col("_plan.turns") + once_more).otherwise(F.lit(0))
     # words before the text, to within its bucket: a bucket's words are spread evenly over its hashes
-    own = F.element_at(F.col("_plan.buckets"), _bucket(place, buckets))
     share = (F.shiftright(place, 16).cast("double") / (1 << 48) + 0.5) * buckets - _bucket(place, buckets)
-    start = own["bucket_start"] + share * own["words"]
+    start = F.col("_plan.bucket_start") + share * F.col("_plan.words")
     dealt = joined.withColumn("_copies", copies.cast("int")).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     done = start + F.col("_copy") * F.col("_plan.source_size")
     placed = dealt.withColumn("_position", position(F.least(done, F.col("_plan.mixed").cast("double")), F.col("_plan.mixed").cast("double"), F.col("_plan.weight_no"), schedules))
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select("_row.*")

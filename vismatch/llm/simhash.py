@@ -303,6 +303,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of rows that repeat an id the one whose text hashes lowest stays; of a component of null ids one row stays."""
     found = near_duplicates(docs.select("doc_id", "text"), radius)
     least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(least, docs["doc_id"].eqNullSafe(least["_kept"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_first", first).filter("_first = 1").drop("_first")
+    packed = docs.select(F.struct("*").alias("_row"))  # no name of its own can clash
+    kept = packed.join(least, F.col("_row.doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_row.doc_id").orderBy(F.xxhash64("_row.text")))
+    return kept.withColumn("_first", first).filter("_first = 1").select("_row.*")
