@@ -125,6 +125,9 @@ def test_decontamination_on_odd_tables(spark, odd, empty):
     assert {(1, 23, 2, 20), (11, 1, 1, 1), (3, 0, 0, 0), (None, 23, 2, 20), (None, 0, 0, 0)} <= found
     none = hashlib.sha256(b"").hexdigest()
     assert {r.items_sha256 for r in decontam.contamination_report(odd, benchmark.limit(0)).collect()} == {none}
+    assert report(decontam.contamination_report(odd.repartition(3), benchmark, block_bytes=1)) == report(decontam.contamination_report(odd, benchmark))
+    with pytest.raises(ValueError):
+        decontam.find_matches(odd, benchmark, window=19)
     assert decontam.contamination_report(empty, benchmark).count() == 0
 
 

@@ -5,13 +5,13 @@ over its words (sorted to a depth of 18 words, enough for the longest window); e
 binary-searched in it, for all items at once. The interval found holds all places of the suffix's window: these are the
 verbatim matches and their locations. Consecutive matches on one diagonal join into the longest match.
 
-The benchmark is the query side, read in blocks of bounded size; each block is searched in all texts. A text keeps its
-own row, so nothing is shuffled while the benchmark fits one block.
+The benchmark is the query side: the driver holds it in blocks of bounded size, and each block is searched in all texts.
+Blocks follow each other over the same rows, so nothing is shuffled, and a text's matches stay with its row.
 
 Words: A-Z lower-cased, then runs of ASCII digits, a-z and non-ASCII characters. A window is ``window`` consecutive
 item words; an item with fewer words, but not none, is one window. Defined cases: null texts have no words; null items
 and items without words match nothing; items with a null id are left out; repeated item ids count once; repeated rows of
-documents each get a row; windows never cross texts.
+documents each get a row; windows never cross texts; a window of more words than the array is sorted by is refused.
 """
 
 from __future__ import annotations
@@ -136,6 +136,8 @@ def _longest(size: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarr
 
 
 def _searched(items: list[tuple[int, bytes]], window: int):
+    if not 1 <= window <= _DEPTH:
+        raise ValueError(f"a window has 1 to {_DEPTH} words, as suffixes are sorted by their first {_DEPTH}")
     queries_of: list[_Queries] = []
 
     def shard(texts: list[list[bytes]], numbers: _Numbers, queries: _Queries) -> list[tuple]:
@@ -188,24 +190,29 @@ def _searched(items: list[tuple[int, bytes]], window: int):
     return run
 
 
-_FOUND = "doc_id long, n_words long, ranges array<struct<a:int,b:int>>, items array<long>, longest_match long"
+_RESULT = "n_words long, ranges array<struct<a:int,b:int>>, items array<long>, longest_match long"
+_FOUND = f"doc_id long, {_RESULT}"
+_CARRIED = f"doc_id long, text string, {_RESULT}"  # for the next block
 
 
-def _matches(items: list[tuple[int, bytes]], window: int):
+def _matches(items: list[tuple[int, bytes]], window: int, carried: tuple[str, ...]):
+    """Adds a block's matches to those of the blocks before it; ``carried`` names the columns that pass through."""
     search = _searched(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.int64()), pa.int64()]
         for batch, found in search(batches):
+            if "ranges" in batch.schema.names:
+                earlier = zip(*(batch.column(c).to_pylist() for c in ("ranges", "items", "longest_match")))
+                found = [(n, r0 + r, list(dict.fromkeys(i0 + i)), max(m0, m)) for (n, r, i, m), (r0, i0, m0) in zip(found, earlier)]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*found), kinds)]
-            names = [n for n in ("doc_id", "_row") if n in batch.schema.names]
-            yield pa.record_batch([*[batch.column(n) for n in names], *columns], names=[*names, "n_words", "ranges", "items", "longest_match"])
+            yield pa.record_batch([*[batch.column(n) for n in carried], *columns], names=[*carried, "n_words", "ranges", "items", "longest_match"])
 
     return run
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks whose texts hold ``block_bytes`` at most (or one item); one block at a time is collected."""
+    """The items in blocks whose texts hold ``block_bytes`` at most (or one item), all on the driver."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     out: list[list[tuple[int, bytes]]] = [[]]
     size = 0
@@ -222,23 +229,10 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each document: its words, ranges of words inside matches, the items found and the longest match."""
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = benchmark_blocks(benchmark, block_bytes)
-    if len(parts) == 1:
-        return columns.mapInArrow(_matches(parts[0], window), _FOUND)
-    # rows get a name, as ids may repeat; the expression is deterministic for a given reading of the files
-    named = columns.withColumn("_row", F.monotonically_increasing_id())
-    schema = _FOUND.replace("doc_id long", "doc_id long, _row long")
-    found = None
-    for part in parts:
-        one = named.mapInArrow(_matches(part, window), schema)
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("_row").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.min("n_words").alias("n_words"),
-        F.flatten(F.collect_list("ranges")).alias("ranges"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.max("longest_match").alias("longest_match"),
-    ).drop("_row")
+    *first, last = benchmark_blocks(benchmark, block_bytes)
+    for part in first:
+        columns = columns.mapInArrow(_matches(part, window, ("doc_id", "text")), _CARRIED)
+    return columns.mapInArrow(_matches(last, window, ("doc_id",)), _FOUND)
 
 
 def _n_hit(ranges: list[dict]) -> int:
