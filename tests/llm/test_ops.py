@@ -477,6 +477,20 @@ def test_pseudonyms_are_one_to_one(spark):
     assert len(other & set(made)) < 300
 
 
+def test_compact_telephone_numbers(spark):
+    texts = ["+14155550123", "+1 415 555 0123", "+442079460123", "+35312345678", "+1234 5", "+123", "+9991", "+35 12 34"]
+    kept = ["+1", "+1 ", "+44", "+353", "+1", "+1", "+99", "+35 "]
+    docs = spark.createDataFrame([(i, f"call {t}!") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_private(docs, "k").collect()}
+    assert {i: r.n_phone for i, r in found.items()} == dict.fromkeys(range(len(texts)), 1)
+    for i, (text, start) in enumerate(zip(texts, kept)):
+        assert re.sub("[0-9]", "9", found[i].text) == re.sub("[0-9]", "9", f"call {text}!") and found[i].text.startswith(f"call {start}")
+    assert found[0].text == found[1].text.replace("+1 ", "+1").replace(" ", "").replace("call", "call ")  # one number, written in two ways
+    every = spark.range(0, 1_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("+"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("text"))
+    made = [r.text for r in pii.find_private(every, "k").collect()]
+    assert len(set(made)) == len(made) == 1_000 and all(re.fullmatch("[+][0-9]{3}", m) for m in made)
+
+
 def test_private_on_odd_tables(odd, empty):
     assert pii.find_private(odd, "k").count() == 0 and pii.pseudonymise(odd, "k").count() == odd.count()
     assert pii.find_private(empty, "k").count() == 0

@@ -1,12 +1,14 @@
 """Personal data: format-preserving Feistel pseudonyms. DataFrame and SQL functions only.
 
 Found in whole texts: e-mail addresses, ISO dates, US social security numbers, telephone numbers, IPv4 addresses,
-account and card numbers of 13 to 19 digits, and secrets in hexadecimal of 32 to 64 digits. Numbers and dates are
-validated (calendar, octets, reserved areas); what fails stays as it is.
+account and card numbers of 13 to 19 digits, and secrets in hexadecimal of 32 to 64 digits. Dates, addresses and
+security numbers are validated (calendar, octets, reserved areas); what fails stays as it is. Telephone, account and
+card numbers are not: a number that fails the Luhn check is an account's and counts as a card too.
 
 Each value is permuted inside its own format by a keyed balanced Feistel network whose round function is SHA-256, so
 equal values get equal pseudonyms in all documents and different values different ones:
-  * digits: two halves of the number, added modulo a power of ten; separators and a telephone's country code stay;
+  * digits: two halves of the number, added modulo a power of ten; separators and a telephone's country code stay.
+    A country code has the digits that the numbering plan gives it, 1 to 3, and fewer where less than two would follow;
   * cards: all digits but the last; the last keeps its distance to the Luhn digit, so valid numbers stay valid;
   * dates: days from 1900 to 2099, on 271 x 271 numbers, walked on until inside; addresses: two halves of 16 bits;
   * security numbers: (area, group) by serial over the valid ones; e-mail names and secrets: the characters of each half
@@ -37,6 +39,9 @@ CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, DATE, SSN, PHONE, IP, CARD, SECRET))
 
+#: A country code with at least two digits after it, which every match of PHONE that begins with a plus has.
+COUNTRY = r"^[+](?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})(?=(?:[^0-9]*[0-9]){2})"
+
 KINDS = ("email", "date", "ssn", "phone", "ip", "card", "secret")
 ROUNDS = 8
 _DAYS, _SIDE = 73049, 271  # days from 1900-01-01 to 2099-12-31; 271 * 271 is just above
@@ -99,7 +104,7 @@ def _card(key: str, m: str) -> str:
 
 
 def _phone(key: str, m: str) -> str:
-    return _let("z", f"regexp_extract({m}, '^[+][0-9]+', 0)", f"concat(z, {_refill(f'substr({m}, length(z) + 1)', _digits(key, 'phone', _only_digits(f'substr({m}, length(z) + 1)')))})")
+    return _let("z", f"regexp_extract({m}, '{COUNTRY}', 0)", f"concat(z, {_refill(f'substr({m}, length(z) + 1)', _digits(key, 'phone', _only_digits(f'substr({m}, length(z) + 1)')))})")
 
 
 def _ip(key: str, m: str) -> str:
