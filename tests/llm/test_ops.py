@@ -303,6 +303,19 @@ def test_token_files_round_trip(docs, monkeypatch):
     check_tokens(docs)
 
 
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "word<|endoftext|>word <|endoftext|><|endoftext|>\n", "a <|endoftext| > b", "none of them", "a <|ENDOFTEXT|> b"]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = token_files.token_index(docs, TOKENIZER).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in found] == [(len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for i in want]
+    assert [r.start for r in found] == list(np.cumsum([0, *map(len, want)])[:-1])
+
+
 def test_token_files_on_odd_tables(odd, empty):
     check_tokens(odd)
     assert token_files.token_index(empty, TOKENIZER).count() == 0

@@ -14,7 +14,8 @@ Units are rows of a Parquet table (part, unit, doc_ids, lengths, payload), which
 writing survives lost tasks.
 
 Text is cut at single spaces before it is tokenised, where the byte-level pattern always begins a new piece; the units
-are coded by the tokenizers library and remembered. Texts with a blank after a space are coded whole.
+are coded by the tokenizers library and remembered. Texts with a blank after a space are coded whole, and so are texts
+with the string of an added token, which gets that token's id as by the library's defaults.
 
 Defined cases: null and empty texts have the end id alone; null ids come first; rows that repeat an id stay neighbours,
 ordered by a hash of their texts; an empty table gives empty files.
@@ -73,8 +74,8 @@ class Tokens:
     """Text to ids, as arrays of u16 or u32 values. Units between spaces met lately are remembered in two generations.
 
     A new unit that is letters, then ASCII punctuation, is those two pieces of the pattern, and a line end between such
-    units is one; each is coded by the library's model. All other new units, and texts with a blank after a space, go
-    through the library's whole tokenizer."""
+    units is one; each is coded by the library's model. All other new units, and texts with a blank after a space or an
+    added token, go through the library's whole tokenizer."""
 
     LIMIT = 450_000
     LONG = 64
@@ -84,7 +85,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -151,6 +152,8 @@ class Tokens:
     def of(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
+        if any(map(text.__contains__, self.added)):
+            return np.frombuffer(self._whole(text), self.dtype)
         units = iter(text.split(" "))
         try:
             first = next(units)
