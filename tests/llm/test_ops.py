@@ -437,6 +437,58 @@ def test_training_lowers_the_loss():
     assert model.log_probabilities(contexts, classes).mean() > before + 0.3
 
 
+def test_probabilities_of_grouped_words_add_up_to_one():
+    counts = np.arange(700, 0, -1.0)
+    classes, grouped = lm_score._class_counts(counts)
+    model = lm_score.LogBilinear(classes / classes.sum(), grouped)
+    contexts = np.repeat(np.array([[3, 600, 5, 699, 0, 1]]), 700, 0)
+    logs = model.log_probabilities(contexts, np.arange(700))
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+    stream = model.stream(np.array([1, 0, 699, 5, 600, 3, 650]))
+    assert model.log_probabilities_along(np.concatenate([stream, stream]))[[6, 13]] == pytest.approx(logs[650], abs=1e-5)
+
+
+def test_steps_along_a_text_are_those_by_contexts():
+    counts, places = np.arange(700, 0, -1.0), np.random.default_rng(1).integers(0, 700, 60)
+    classes, grouped = lm_score._class_counts(counts)
+    one, two = (lm_score.LogBilinear(classes / classes.sum(), grouped) for _ in range(2))
+    start = one.rows.copy()
+    one.train(one.contexts(places), places, {}, np.random.default_rng(0))
+    two.train_along(two.stream(places), {}, np.random.default_rng(0))
+    assert np.allclose(one.rows, two.rows, atol=1e-4) and not np.allclose(one.rows, start, atol=1e-3)
+
+
+def test_every_position_is_a_target(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score.LogBilinear, "_against_noise", lambda self, q, targets, rng, f=lm_score.LogBilinear._against_noise: (seen.extend(targets.tolist()), f(self, q, targets, rng))[1])
+    monkeypatch.setattr(lm_score, "RUN", 200)
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * j) % 40}" for j in range(5 * i)) for i in range(1, 60)]
+    counts = Counter(w for t in texts for w in t.encode().split())
+    top = counts.most_common()
+    head = (np.array([lm_score.key_of(w) for w, _ in top]), np.array([n for _, n in top]), len(texts))
+    known = np.concatenate([[0, len(texts)], head[1]]).astype(float)
+    classes, grouped = lm_score._class_counts(known)
+    shares = (classes + 1) / (classes + 1).sum()
+    batch = pa.record_batch([pa.array(range(1, 60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for round_ in range(lm_score.ROUNDS):
+        list(lm_score._trained(head, shares, grouped, lm_score.LogBilinear(shares, grouped).rows, round_)(iter([batch])))
+    want = Counter(w for i, t in enumerate(texts, 1) if not lm_score.held_out(i) for w in [*t.encode().split(), b"\n"])
+    place = dict(zip((w for w, _ in top), range(2, 99))) | {b"\n": 1}
+    assert Counter(seen) == Counter({place[w]: n for w, n in want.items()})
+
+
+def test_order_of_rare_words_counts(spark):
+    rng = np.random.default_rng(4)
+    pairs = [f"left{i} right{i}" for i in range(400)]
+    texts = [" ".join(pairs[j] for j in rng.permutation(400)) for _ in range(60)]
+    texts += ["left7 right7 left9 right9", "left7 right9 left9 right7"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(1)
+    found = {r.doc_id: r.score for r in lm_score.score_documents(docs).collect()}
+    assert abs(found[60] - found[61]) > 1e-3
+
+
 def test_scores_on_odd_tables(spark, odd, empty, monkeypatch):
     check_scores(odd)
     monkeypatch.setattr(lm_score, "HEAD", 300)  # most words are joined then

@@ -1,15 +1,18 @@
 """Language-model scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Tokens: A-Z lower-cased words, then one end for each text. Counts of all training tokens are made by Spark. The
-``NEURAL`` - 2 most frequent words, the end and a class for all other words are what the model predicts:
+Tokens: A-Z lower-cased words, then one end for each text. Counts of all training tokens are made by Spark. The ``HEAD``
+most frequent words have vectors of their own, as context and as what is predicted, in two factors: the ``NEURAL`` - 2
+most frequent ones, the end and all words outside the head are a class each, the others share classes by groups of
+``GROUP`` with counts alike:
 
-    score(w | context) = b[w] + Q[w] . sum_i C[i] * R[context_i]
+    P(w | context) = P(class of w | context) P(w | its group, context), both softmaxes of
+    score(x | context) = b[x] + Q[x] . sum_i C[i] * R[context_i]
 
-over the ``CONTEXT`` tokens before. It is trained by noise-contrastive estimation against the unigram distribution, in
-``ROUNDS`` rounds: each task trains on its texts from the common parameters, which are then averaged by tokens. Every
-training text is in one round; of its positions one in ``STRIDE`` is a target, at a random offset. Scoring normalises:
-batched matrix products give the scores of all classes, and each token gets its log-probability. A word of the other
-class has, on top, its smoothed share among all other training words.
+over the ``CONTEXT`` tokens before. It is trained by noise-contrastive estimation against the unigram distributions of the
+classes and of each group, in ``ROUNDS`` rounds: each task trains on its texts from the common parameters, which are then
+averaged. Every training text is in one round, and each of its positions is a target. Scoring normalises: batched matrix
+products give the scores of all classes, and those of the group's words. A word outside the head has, on top of its
+class, its smoothed share among all such training words.
 
 Where the counts of words are needed: the ``HEAD`` most frequent words go to the tasks, a table of bounded size; all
 others are joined to the counts by a 64-bit hash of the word. Parameters and the head are of fixed size; what is
@@ -40,13 +43,18 @@ HEAD = 100_000
 CONTEXT = 6
 WIDTH = 32
 NOISE = 32
-STRIDE = 8
+#: Words to a group, and noise words from a target's group.
+GROUP, NOISE_INSIDE = 256, 4
 ROUNDS = 2
 BATCH = 512
 RATE = 0.05
 #: Start of the sums of squared gradients, so that the first steps are small.
 FIRST = 1e-6
 SCORED_AT_ONCE = 512
+#: Places whose vectors are held at once.
+RUN = 1 << 16
+#: Tokens of a training task at least: it moves most rows of the parameters, which should weigh less than its texts.
+TASK_TOKENS = 6_000_000
 SMOOTHING = 0.1
 END = b"\n"  # no word holds a line end
 _OTHER, _END = 0, 1
@@ -107,154 +115,262 @@ class Head:
 
 
 class LogBilinear:
-    """Parameters, noise-contrastive training and normalised scoring."""
+    """Parameters, noise-contrastive training and normalised scoring.
 
-    def __init__(self, shares: np.ndarray, seed: int = 3) -> None:
-        """shares: probability of each class, the noise."""
+    All parameters are rows of one matrix, WIDTH values and a bias: R (places, then the row before a text), Q (classes),
+    U (words in their groups) and C (the context's places; R and C have no bias)."""
+
+    def __init__(self, shares: np.ndarray, grouped: np.ndarray = np.zeros(0), seed: int = 3) -> None:
+        """shares: probability of each class, the noise; the last classes are the groups. grouped: counts of the words in them."""
         rng = np.random.default_rng(seed)
-        n = len(shares)
-        self.shares = shares
+        n, words = len(shares), len(grouped)
+        self.shares, self.own = shares, n - -(-words // GROUP)
         self.log_noise = np.log(shares * NOISE).astype(np.float32)
-        self.R = (rng.standard_normal((n + 1, WIDTH)) * 0.1).astype(np.float32)  # the last row stands before a text
-        self.C = np.full((CONTEXT, WIDTH), 1.0, np.float32)
-        self.Q = (rng.standard_normal((n, WIDTH)) * 0.1).astype(np.float32)
-        self.b = np.log(shares).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.R, self.C, self.Q, self.b)])
-
-    def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
-        for name in ("R", "C", "Q", "b"):
-            old = getattr(self, name)
-            setattr(self, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
+        self.before = self.own + words  # stands before a text
+        self.q0 = self.before + 1
+        self.u0 = self.q0 + n
+        self.c0 = self.u0 + words
+        self.rows = np.zeros((self.c0 + CONTEXT, WIDTH + 1), np.float32)
+        self.rows[: self.u0, :WIDTH] = rng.standard_normal((self.u0, WIDTH)) * 0.1
+        self.rows[self.q0 : self.u0, WIDTH] = np.log(shares)
+        self.rows[self.c0 :, :WIDTH] = 1
+        weights = grouped + 1.0
+        self.ends = np.cumsum(weights)
+        starts = np.arange(0, words, GROUP)
+        self.group_end = self.ends[np.minimum(starts + GROUP, words) - 1]
+        self.group_start = self.ends[starts] - weights[starts]
+        inside = weights / (self.group_end - self.group_start)[np.arange(words) // GROUP]
+        self.rows[self.u0 : self.c0, WIDTH] = np.log(inside)
+        self.log_noise_inside = np.log(inside * NOISE_INSIDE).astype(np.float32)
+
+    def load(self, rows: np.ndarray) -> LogBilinear:
+        self.rows = rows.copy()
         return self
 
-    def contexts(self, classes: np.ndarray) -> np.ndarray:
-        """For each position the CONTEXT classes before it, nearest first."""
-        padded = np.concatenate([np.full(CONTEXT, len(self.b)), classes])
-        return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[: len(classes), ::-1]
+    def classes(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places < self.own, places, self.own + (places - self.own) // GROUP)
+
+    def contexts(self, places: np.ndarray) -> np.ndarray:
+        """For each position the CONTEXT places before it, nearest first."""
+        return np.lib.stride_tricks.sliding_window_view(self.stream(places), CONTEXT)[: len(places), ::-1]
+
+    def stream(self, places: np.ndarray) -> np.ndarray:
+        """A text after what stands before it; streams of texts can be joined."""
+        return np.concatenate([np.full(CONTEXT, self.before), places])
 
-    def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        out = self.R[contexts[:, 0]] * self.C[0]
+    def _along(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a stream, and the predicted vector, with 1 for the bias, of each position but the first CONTEXT."""
+        r, c = self.rows[stream], self.rows[self.c0 :]
+        q = r[CONTEXT - 1 : -1] * c[0]
         for i in range(1, CONTEXT):
-            out += self.R[contexts[:, i]] * self.C[i]
-        return out
+            q += r[CONTEXT - 1 - i : -1 - i] * c[i]
+        q[:, WIDTH] = 1
+        return r, q
+
+    def _of_contexts(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = self.rows[contexts]
+        q = np.einsum("tij,ij->tj", r, self.rows[self.c0 :])
+        q[:, WIDTH] = 1
+        return r, q
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each target, normalised over all classes."""
+        """Natural log-probability of each target place, normalised over all."""
+        return self._normalised(self._of_contexts(contexts)[1], targets)
+
+    def log_probabilities_along(self, stream: np.ndarray) -> np.ndarray:
+        """The same for all places of a stream of texts, without what stands before them."""
+        out = []
+        for at in range(CONTEXT, len(stream), RUN):
+            targets = stream[at : at + RUN]
+            own = targets != self.before
+            out.append(self._normalised(self._along(stream[at - CONTEXT : at + RUN])[1][own], targets[own]))
+        return np.concatenate(out)
+
+    def _normalised(self, q: np.ndarray, targets: np.ndarray) -> np.ndarray:
         out = np.empty(len(targets))
-        weighted = [self.R * c for c in self.C]
-        classes = np.ascontiguousarray(np.vstack([self.Q.T, self.b]))  # a last element of 1 before it adds b
-        reach, most = float(np.linalg.norm(self.Q, axis=1).max()), float(np.abs(self.b).max())
-        q = np.ones((min(SCORED_AT_ONCE, len(targets)), WIDTH + 1), np.float32)
+        classes, of_classes = self.classes(targets), np.ascontiguousarray(self.rows[self.q0 : self.u0].T)
+        rows = self.rows[self.q0 : self.c0]
+        longest = [float(np.sqrt(np.einsum("tj,tj->t", x[:, :WIDTH], x[:, :WIDTH]).max(initial=0))) for x in (q, rows)]
+        shift = longest[0] * longest[1] + float(np.abs(rows[:, WIDTH]).max()) > 60  # beyond that a power could overflow
         for at in range(0, len(targets), SCORED_AT_ONCE):
-            own = slice(at, at + SCORED_AT_ONCE)
-            near, n = contexts[own], len(targets[own])
-            sums = weighted[0][near[:, 0]]
-            for i in range(1, CONTEXT):
-                sums += weighted[i][near[:, i]]
-            q[:n, :WIDTH] = sums
-            scores = q[:n] @ classes
-            chosen = scores[np.arange(n), targets[own]].astype(np.float64)
-            if float(np.sqrt((sums * sums).sum(1).max())) * reach + most > 60:  # beyond that a power could overflow
-                top = scores.max(1, keepdims=True)
-                scores -= top
-                chosen -= top[:, 0]
-            np.exp(scores, out=scores)
-            out[own] = chosen - np.log(scores.sum(1))
+            part = slice(at, at + SCORED_AT_ONCE)
+            out[part] = _chosen(q[part], of_classes, classes[part], shift)
+        grouped = np.flatnonzero(targets >= self.own)
+        grouped = grouped[np.argsort(classes[grouped], kind="stable")]
+        edges = np.flatnonzero(np.diff(classes[grouped], prepend=-1, append=-1)).tolist() if len(grouped) else []
+        for start, end in zip(edges, edges[1:]):
+            first = (int(classes[grouped[start]]) - self.own) * GROUP
+            words = self.rows[self.u0 + first : min(self.u0 + first + GROUP, self.c0)].T
+            for at in range(start, end, SCORED_AT_ONCE):
+                part = grouped[at : min(at + SCORED_AT_ONCE, end)]
+                out[part] += _chosen(q[part], words, targets[part] - self.own - first, shift)
         return out
 
-    def _sum_rows(self, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(rows, values[:, j], n) for j in range(WIDTH)], 1).astype(np.float32)
-
     def train(self, contexts: np.ndarray, targets: np.ndarray, memory: dict[str, np.ndarray], rng: np.random.Generator) -> None:
         """One step of noise-contrastive estimation with per-parameter step sizes."""
-        n, size = len(self.b), len(targets)
-        noise = rng.choice(n, NOISE, p=self.shares)
-        q = self.predicted(contexts)
-        right = (q * self.Q[targets]).sum(1) + self.b[targets] - self.log_noise[targets]
-        wrong = q @ self.Q[noise].T + self.b[noise] - self.log_noise[noise]
-        g = -1 / (1 + np.exp(np.clip(right, -30, 30)))
-        h = 1 / (1 + np.exp(np.clip(-wrong, -30, 30)))
-        dq = g[:, None] * self.Q[targets] + h @ self.Q[noise]
-        dQ, db = self._sum_rows(targets, g[:, None] * q, n), np.bincount(targets, g, n)
-        np.add.at(dQ, noise, h.T @ q)
-        np.add.at(db, noise, h.sum(0))
-        dR, dC = np.zeros_like(self.R), np.zeros_like(self.C)
+        r, q = self._of_contexts(contexts)
+        dq, rows, grads = self._against_noise(q, targets, rng)
+        dr = (dq[:, None, :] * self.rows[self.c0 :]).reshape(-1, WIDTH + 1)
+        self._move([contexts.ravel(), *rows], [dr, *grads], np.einsum("tj,tij->ij", dq, r), len(targets), memory)
+
+    def train_along(self, stream: np.ndarray, memory: dict[str, np.ndarray], rng: np.random.Generator) -> None:
+        """The same step with all places of a stream but its first CONTEXT, and what stands before texts, as targets."""
+        r, q = self._along(stream)
+        own = np.flatnonzero(stream[CONTEXT:] != self.before)
+        if not len(own):
+            return
+        dq = np.zeros_like(q)
+        dq[own], rows, grads = self._against_noise(q[own], stream[CONTEXT:][own], rng)
+        c, dr, dc = self.rows[self.c0 :], np.zeros_like(r), np.empty((CONTEXT, WIDTH + 1), np.float32)
         for i in range(CONTEXT):
-            dR += self._sum_rows(contexts[:, i], dq * self.C[i], n + 1)
-            dC[i] = (dq * self.R[contexts[:, i]]).sum(0)
-        for name, grad in (("R", dR), ("C", dC), ("Q", dQ), ("b", db)):
-            grad = grad / np.float32(size)
-            memory[name] = memory.get(name, FIRST) + grad * grad
-            setattr(self, name, (getattr(self, name) - RATE * (0.2 if name in "Cb" else 1) * grad / np.sqrt(memory[name])).astype(np.float32))
-
-
-def _classes(places: np.ndarray) -> np.ndarray:
-    return np.where(places < NEURAL, places, _OTHER)
-
-
-_CHUNK = 64  # parameters to a row
-
-
-def _trained(head: tuple, shares: np.ndarray, flat: np.ndarray, round_: int):
+            dr[CONTEXT - 1 - i : -1 - i] += dq * c[i]
+            dc[i] = np.einsum("tj,tj->j", dq, r[CONTEXT - 1 - i : -1 - i])
+        self._move([stream, *rows], [dr, *grads], dc, len(own), memory)
+
+    def _against_noise(self, q: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, list, list]:
+        """Gradients by the predicted vectors, and by rows: of the class against shared noise, of the word in its group."""
+        classes, noise = self.classes(targets), rng.choice(len(self.shares), NOISE, p=self.shares)
+        of_targets, of_noise = self.rows[self.q0 + classes], self.rows[self.q0 + noise]
+        g = _sigmoid(np.einsum("tj,tj->t", q, of_targets) - self.log_noise[classes]) - 1
+        h = _sigmoid(q @ of_noise.T - self.log_noise[noise])
+        dq = g[:, None] * of_targets + h @ of_noise
+        rows, grads = [self.q0 + classes, self.q0 + noise], [g[:, None] * q, h.T @ q]
+        inside = np.flatnonzero(targets >= self.own)
+        if len(inside):
+            group, words, own = classes[inside] - self.own, targets[inside] - self.own, q[inside]
+            start, end = self.group_start[group, None], self.group_end[group, None]
+            drawn = np.searchsorted(self.ends, start + (end - start) * rng.random((len(inside), NOISE_INSIDE)), side="right")
+            words = np.concatenate([words[:, None], np.minimum(drawn, np.minimum((group + 1) * GROUP, len(self.ends))[:, None] - 1)], 1)
+            of_words = self.rows[self.u0 + words]
+            d = _sigmoid((of_words @ own[:, :, None])[:, :, 0] - self.log_noise_inside[words])
+            d[:, 0] -= 1
+            dq[inside] += (d[:, None, :] @ of_words)[:, 0]
+            rows.append(self.u0 + words.ravel())
+            grads.append((d[:, :, None] * own[:, None, :]).reshape(-1, WIDTH + 1))
+        dq[:, WIDTH] = 0
+        return dq, rows, grads
+
+    def _move(self, rows: list, grads: list, dc: np.ndarray, size: int, memory: dict[str, np.ndarray]) -> None:
+        if not memory:
+            memory["squares"], memory["times"] = np.full_like(self.rows, FIRST), np.zeros(len(self.rows), np.int64)
+        at = np.concatenate([*rows, np.arange(self.c0, self.c0 + CONTEXT)])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        grad = np.add.reduceat(np.concatenate([*grads, dc])[order], starts, axis=0) / np.float32(size)
+        times, at = np.diff(starts, append=len(at)), at[starts]
+        memory["times"][at] += times
+        squares = memory["squares"][at] + grad * grad
+        memory["squares"][at] = squares
+        rate = np.full(WIDTH + 1, RATE, np.float32)
+        rate[WIDTH] *= 0.2
+        grad *= rate / np.sqrt(squares)
+        grad[-CONTEXT:] *= np.float32(0.2)  # the rows of C are the last
+        self.rows[at] -= grad
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
+def _chosen(q: np.ndarray, columns: np.ndarray, chosen: np.ndarray, shift: bool) -> np.ndarray:
+    """Log of the softmax over columns, at one column for each row of q."""
+    scores = q @ columns
+    if shift:
+        scores -= scores.max(1, keepdims=True)
+    out = scores[np.arange(len(q)), chosen].astype(np.float64)
+    np.exp(scores, out=scores)
+    return out - np.log(scores.sum(1))
+
+
+def _class_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the classes, from those of the places, and of the words in groups."""
+    grouped = counts[NEURAL:]
+    return np.concatenate([counts[:NEURAL], np.add.reduceat(grouped, np.arange(0, len(grouped), GROUP)) if len(grouped) else grouped]), grouped
+
+
+def _trained(head: tuple, shares: np.ndarray, grouped: np.ndarray, rows: np.ndarray, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, memory = Head(*head), LogBilinear(shares).load(flat), {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words, model, memory = Head(*head), LogBilinear(shares, grouped).load(rows), {}
+        held: list[np.ndarray] = []
         waiting = tokens = 0
         rng = np.random.default_rng(round_)
 
         def step() -> None:
             nonlocal held, waiting
-            contexts, targets = (np.concatenate(x) for x in zip(*held))
-            for at in range(0, len(targets), BATCH):
-                model.train(contexts[at : at + BATCH], targets[at : at + BATCH], memory, rng)
+            stream = np.concatenate(held)
+            for at in range(CONTEXT, len(stream), BATCH):
+                model.train_along(stream[at - CONTEXT : at + BATCH], memory, rng)
             held, waiting = [], 0
 
         for batch in blocks(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 if held_out(doc) or _part(doc) != round_:
                     continue
-                classes = _classes(np.append(words.of(words_of(text)), _END))
-                tokens += len(classes)
-                own = slice(zlib.crc32(str(doc).encode(), 1) % STRIDE, None, STRIDE)
-                held.append((model.contexts(classes)[own], classes[own]))
-                waiting += len(held[-1][1])
-            if waiting >= BATCH:
-                step()
+                held.append(model.stream(np.append(words.of(words_of(text)), _END)))
+                tokens += len(held[-1]) - CONTEXT
+                waiting += len(held[-1])
+                if waiting >= RUN:
+                    step()
         if waiting:
             step()
         if tokens:
-            flat_ = model.flat()
-            values = np.pad(flat_, (0, -len(flat_) % _CHUNK)).reshape(-1, _CHUNK).astype(np.float64)
-            yield pa.record_batch([np.arange(len(values)), np.full(len(values), float(tokens)), pa.array(list(values), pa.list_(pa.float64()))], names=["i", "tokens", "v"])
+            times = memory["times"]
+            times[model.q0 : model.u0] = times[model.c0 :] = tokens
+            moved = np.flatnonzero(times)
+            for at in range(0, len(moved), _ROWS):
+                own = moved[at : at + _ROWS]
+                yield pa.record_batch([pa.array(own), pa.array(times[own]), _lists(model.rows[own])], names=["i", "n", "v"])
 
     return run
 
 
-def _averaged(trained: DataFrame, flat: np.ndarray) -> np.ndarray:
-    """Parameters averaged by tokens; a fixed number of rows reaches the driver."""
-    sums = [F.sum(F.col("v")[j] * F.col("tokens")).alias(f"v{j}") for j in range(_CHUNK)]
-    rows = trained.groupBy("i").agg(F.sum("tokens").alias("t"), *sums).collect()
-    if not rows:
-        return flat
-    out = np.zeros((len(rows), _CHUNK))
-    for r in rows:
-        out[r["i"]] = np.array(r[2:]) / r["t"]
-    return out.ravel()[: len(flat)].astype(np.float32)
+_ROWS = 8_192  # rows of parameters to an Arrow batch
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, WIDTH + 1), pa.int32()), pa.array(rows.ravel()))
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH + 1)
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean of each row of parameters, whose values are all in this partition."""
+    place: dict[int, int] = {}
+    sums, total = np.zeros((0, WIDTH + 1)), np.zeros(0)
+    for batch in batches:
+        at = np.array([place.setdefault(i, len(place)) for i in batch.column("i").to_pylist()], np.int64)
+        if len(place) > len(total):
+            more = 2 * len(place) - len(total)
+            sums, total = np.pad(sums, ((0, more), (0, 0))), np.pad(total, (0, more))
+        n = batch.column("n").to_numpy().astype(np.float64)
+        np.add.at(sums, at, _values(batch.column("v")) * n[:, None])
+        np.add.at(total, at, n)
+    if place:
+        n = len(place)
+        yield pa.record_batch([pa.array(list(place), pa.int64()), _lists((sums[:n] / total[:n, None]).astype(np.float32))], names=["i", "v"])
+
+
+def _averaged(trained: DataFrame, rows: np.ndarray) -> np.ndarray:
+    """Each row averaged over the tasks that moved it, by how often they did, and Q and C by tokens; a bounded number of
+    rows reaches the driver."""
+    found = trained.repartition("i").mapInArrow(_means, "i long, v array<float>").toArrow()
+    out = rows.copy()
+    for batch in found.to_batches():
+        if batch.num_rows:
+            out[batch.column("i").to_numpy()] = _values(batch.column("v"))
+    return out
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, others array<long>, times array<int>"
 
 
-def _scored(head: tuple, shares: np.ndarray, flat: np.ndarray, train_tokens: int, distinct: int):
+def _scored(head: tuple, shares: np.ndarray, grouped: np.ndarray, rows: np.ndarray, train_tokens: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = Head(*head), LogBilinear(shares).load(flat)
+        words, model = Head(*head), LogBilinear(shares, grouped).load(rows)
         base = np.log10((words.counts + SMOOTHING) / (train_tokens + SMOOTHING * (distinct + 1)))
-        neural = words.counts[1:NEURAL].sum()
-        among = np.log10((words.counts + SMOOTHING) / (max(0.0, train_tokens - neural) + SMOOTHING * (max(0, distinct - min(NEURAL, len(words.counts)) + 1) + 1)))
         for batch in blocks(batches):
             ids, places, others, times = batch.column("doc_id").to_pylist(), [], [], []
             for text in as_bytes(batch.column("text")):
@@ -265,10 +381,8 @@ def _scored(head: tuple, shares: np.ndarray, flat: np.ndarray, train_tokens: int
                 others.append(list(map(key_of, rare)))
                 times.append(list(rare.values()))
             sizes = np.array([len(x) for x in places])
-            classes = [_classes(x) for x in places]
             flat_places = np.concatenate(places)
-            model_part = model.log_probabilities(np.concatenate([model.contexts(x) for x in classes]), np.concatenate(classes)) / np.log(10)
-            model_part += np.where(flat_places >= NEURAL, among[flat_places], 0)
+            model_part = model.log_probabilities_along(np.concatenate([model.stream(x) for x in places])) / np.log(10)
             base_part = np.where(flat_places > 0, base[flat_places], 0)
             known = (words.counts[flat_places] > 0) & (flat_places > 0)
             starts = np.cumsum(sizes) - sizes
@@ -308,23 +422,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("key") == key_of(END), F.col("n"))), F.lit(0)).alias("end")).first()
     top = most_frequent(counts.filter(F.col("key") != key_of(END)))
     head = (top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), totals["end"])
-    neural = np.concatenate([[0, totals["end"]], head[1][: NEURAL - 2]]).astype(np.float64)
-    neural[_OTHER] = max(0, totals["n"] - neural.sum())
-    shares = (neural + 1) / (neural + 1).sum()
-    flat = LogBilinear(shares).flat()
+    known = np.concatenate([[0, totals["end"]], head[1]]).astype(np.float64)
+    known[_OTHER] = max(0, totals["n"] - known.sum())
+    classes, grouped = _class_counts(known)
+    shares = (classes + 1) / (classes + 1).sum()
+    rows = LogBilinear(shares, grouped).rows
+    dealt = columns.coalesce(1 + int(totals["n"]) // TASK_TOKENS)
     for round_ in range(ROUNDS):
-        flat = _averaged(columns.mapInArrow(_trained(head, shares, flat, round_), "i long, tokens double, v array<double>"), flat)
-    scored = columns.mapInArrow(_scored(head, shares, flat, totals["n"], totals["v"]), _SCORED)
-    rows = materialise(scored.withColumn("row", F.monotonically_increasing_id()), f"{folder}/scored")
-    rest = max(0.0, totals["n"] - neural[1:].sum()) + SMOOTHING * (max(0, totals["v"] - len(neural) + 1) + 1)
+        rows = _averaged(dealt.mapInArrow(_trained(head, shares, grouped, rows, round_), "i long, n long, v array<float>"), rows)
+    scored = columns.mapInArrow(_scored(head, shares, grouped, rows, totals["n"], totals["v"]), _SCORED)
+    scores = materialise(scored.withColumn("row", F.monotonically_increasing_id()), f"{folder}/scored")
+    rest = known[_OTHER] + SMOOTHING * (max(0, totals["v"] - len(known) + 1) + 1)
     smoothed = F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING)
-    rare = rows.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("key"), F.col("o.times").alias("times"))
+    rare = scores.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("key"), F.col("o.times").alias("times"))
     found = rare.join(counts, "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
         F.sum(F.col("times") * F.log10(smoothed / F.lit(totals["n"] + SMOOTHING * (totals["v"] + 1)))).alias("base_rare"),
         F.sum(F.col("times") * F.log10(smoothed / F.lit(rest))).alias("score_rare"),
     )
-    joined = rows.drop("others", "times").join(found, "row", "left")
+    joined = scores.drop("others", "times").join(found, "row", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(totals["n"]).cast("long").alias("train_tokens"),
         (F.col("base_head") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), (F.col("score_head") + F.coalesce("score_rare", F.lit(0.0))).alias("score"),
