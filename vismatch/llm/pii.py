@@ -1,9 +1,9 @@
 """Personal data: format-preserving Feistel pseudonyms. DataFrame and SQL functions only.
 
 Found in whole texts: e-mail addresses, ISO dates, US social security numbers, telephone numbers, IPv4 addresses,
-account and card numbers of 13 to 19 digits, and secrets in hexadecimal of 32 to 64 digits. Dates, addresses and
-security numbers are validated (calendar, octets, reserved areas); what fails stays as it is. Telephone, account and
-card numbers are not: a number that fails the Luhn check is an account's and counts as a card too.
+card numbers of 13 to 19 digits, and secrets in hexadecimal of 32 to 64 digits. Dates, addresses, security and card
+numbers are validated (calendar, octets, reserved areas, Luhn); what fails stays as it is. Telephone numbers have no
+check digit, so their form decides.
 
 Each value is permuted inside its own format by a keyed balanced Feistel network whose round function is SHA-256, so
 equal values get equal pseudonyms in all documents and different values different ones:
@@ -15,15 +15,16 @@ equal values get equal pseudonyms in all documents and different values differen
     are moved inside their class (lower, upper, digit) by a key stream made from the other half.
 
 The main path is one scan of the texts; those without a match end there. A text is split at its matches and joined
-again with their pseudonyms. Nothing is shuffled.
+again with their pseudonyms. Nothing is shuffled. The key is the one value of a scalar subquery, so it stands in no plan.
 
 Defined cases: null and empty texts have no matches; only documents with a validated match are returned by
-``find_private``, each row for itself; ``pseudonymise`` returns all rows and all columns, null texts as null.
+``find_private``, each row for itself; ``pseudonymise`` returns all rows and all columns, of any names, null texts as
+null. An empty key is refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The patterns, tried in this order at each place.
@@ -96,6 +97,10 @@ def _luhn(digits: str) -> str:
     return _let("w", digits, f"(10 - aggregate(sequence(1, length(w)), 0, (s, i) -> s + {value}) % 10) % 10")
 
 
+def _valid_card(m: str) -> str:
+    return _let("n", _only_digits(m), f"{_luhn('substr(n, 1, length(n) - 1)')} = cast(substr(n, -1) as int)")
+
+
 def _card(key: str, m: str) -> str:
     body = f"substr(n, 1, length(n) - 1)"
     check = f"pmod({_luhn('b')} + cast(substr(n, -1) as int) - {_luhn(body)}, 10)"
@@ -157,7 +162,7 @@ def _kind(m: str) -> str:
         f" when {m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then if(forall(split({m}, '[.]'), o -> cast(o as int) < 256), 'ip', null)"
         f" when {m} rlike '^[+(]|^[0-9]{{3}}-' then 'phone'"
         f" when length({m}) >= 32 then 'secret'"
-        f" else 'card' end"
+        f" else if({_valid_card(m)}, 'card', null) end"
     )
 
 
@@ -166,33 +171,32 @@ def _pseudonym(key: str, m: str, kind: str) -> str:
     return f"case {kind} " + " ".join(f"when '{k}' then {made[k]}" for k in KINDS) + f" else {m} end"
 
 
-def _literal(key: str) -> str:
-    return "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _secret(spark: SparkSession, key: str) -> Column:
+    """The key as a scalar subquery, whose value no plan shows."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    return spark.sql("select k from values (:key) as t(k)", {"key": key}).scalar()
 
 
-def _with_matches(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """Rows with a match, with _found (matches), _kinds and _text (pseudonymised)."""
-    found = docs.filter(F.rlike(text, F.lit(PATTERN))).withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    kinds = found.withColumn("_kinds", F.expr(f"transform(_found, m -> {_kind('m')})"))
-    new = F.expr(f"zip_with(_found, _kinds, (m, y) -> {_pseudonym(_literal(key), 'm', 'y')})")
+def _marked(rows: DataFrame, text: Column, key: str) -> DataFrame:
+    """rows, whose columns are the caller's, with _key, _found (the matches; null without any), _kinds and _text."""
+    found = F.when(F.rlike(text, F.lit(PATTERN)), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    kinds = rows.withColumn("_key", _secret(rows.sparkSession, key)).withColumn("_found", found).withColumn("_kinds", F.expr(f"transform(_found, m -> {_kind('m')})"))
+    new = F.expr(f"zip_with(_found, _kinds, (m, y) -> {_pseudonym('_key', 'm', 'y')})")
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
-    return kinds.filter("exists(_kinds, y -> y is not null)").withColumn("_text", joined)
+    return kinds.withColumn("_text", F.when(F.expr("exists(_kinds, y -> y is not null)"), joined).otherwise(text))
 
 
 def find_private(docs: DataFrame, key: str) -> DataFrame:
     """Documents with personal data: doc_id, the number of values of each kind, and the pseudonymised text."""
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _with_matches(columns, key, F.col("text"))
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.rlike("text", F.lit(PATTERN)))
+    found = _marked(columns, F.col("text"), key).filter("exists(_kinds, y -> y is not null)")
     counts = [F.expr(f"size(filter(_kinds, y -> y = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.col("_text").alias("text"))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All rows and columns of docs, with personal data in the texts replaced."""
-    text = F.col("text")
-    plain = docs.filter(~F.coalesce(F.rlike(text, F.lit(PATTERN)), F.lit(False)))
-    rest = docs.filter(F.rlike(text, F.lit(PATTERN)))
-    found = rest.withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).withColumn("_kinds", F.expr(f"transform(_found, m -> {_kind('m')})"))
-    new = F.expr(f"zip_with(_found, _kinds, (m, y) -> {_pseudonym(_literal(key), 'm', 'y')})")
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
-    return plain.unionByName(found.withColumn("text", joined).select(*docs.columns))
+    packed = docs.select(F.struct("*").alias("_row"))  # no name of its own can clash
+    marked = _marked(packed, F.col("_row.text"), key)
+    return marked.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, licenses, lm_score, mixing, pii, quality, simhash, suffix_dedup, token_files, warc
 
-#: The key of the pseudonyms; a deployment sets its own.
-PII_KEY = os.environ.get("VISMATCH_PII_KEY", "vismatch")
+
+
+def pii_key() -> str:
+    """The key of the pseudonyms: VISMATCH_PII_KEY, or one drawn anew, whose pseudonyms link within one result only."""
+    return os.environ.get("VISMATCH_PII_KEY") or secrets.token_hex(32)
 
 
 def tokenizer_file() -> str:
@@ -64,7 +68,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_private(_table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.find_private(_table(spark, sf_dir, "documents"), pii_key())
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
