@@ -14,7 +14,7 @@ Units are rows of a Parquet table (part, unit, doc_ids, lengths, payload), which
 writing survives lost tasks.
 
 Text is cut at single spaces before it is tokenised, where the byte-level pattern always begins a new piece; the units
-are coded by the tokenizers library and remembered. Texts with a blank after a space are coded whole, and so are texts
+are coded by the tokenizers library and remembered by hashes of 96 bits and their length. Texts with a blank after a space are coded whole, and so are texts
 with the string of an added token, which gets that token's id as by the library's defaults.
 
 Defined cases: null and empty texts have the end id alone; null ids come first; rows that repeat an id stay neighbours,
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, shared_dir
+from ._common import as_bytes, blocks, materialise, mix, shared_dir
 
 END_ID = 2
 SCALE_BITS = 20
@@ -41,7 +41,6 @@ BLOCK = 1 << 15
 CHECKPOINT_STEPS = 256
 UNIT_IDS = 1 << 20
 _LOW = np.uint64(1 << 31)
-_COUNTS = -1  # the unit number of the row in which a task leaves the counts of its ids
 _UNITS = "part int, unit int, n_ids long, doc_ids array<long>, lengths array<long>"
 
 
@@ -57,111 +56,219 @@ class _BlankAfterSpace(Exception):
     """A space with a blank or nothing after it, which the pattern may join to the blanks before it."""
 
 
-class _Units(dict):
-    """Ids by unit; asks its owner for those that it lacks, also when the owner has begun a new generation meanwhile."""
-
-    def __init__(self, owner: Tokens) -> None:
-        super().__init__()
-        self.owner = owner
+class _Remembered:
+    """Ids by unit, in flat arrays: a table of open addresses by a 64-bit hash, with 32 further bits and the length
+    compared. It starts anew when it is half full, so its memory is bounded and holds millions of units."""
+
+    SLOTS = 1 << 22
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.key = np.zeros(self.SLOTS, np.uint64)  # 0: free
+        self.check = np.zeros(self.SLOTS, np.uint64)
+        self.start, self.count = np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int32)
+        self.ids, self.used, self.units = np.zeros(1 << 16, dtype), 0, 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Slot of each key; -1 if it is not there."""
+        slot = (key >> np.uint64(20)).astype(np.int64) % self.SLOTS
+        found, open_ = np.full(len(key), -1), np.arange(len(key))
+        while len(open_):
+            at = slot[open_]
+            there = self.key[at]
+            same = (there == key[open_]) & (self.check[at] == check[open_])
+            found[open_[same]] = at[same]
+            open_ = open_[~same & (there != 0)]
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+        return found
 
-    def __missing__(self, unit: str) -> bytes:
-        if self is not self.owner.spaced and (found := self.owner.spaced.get(unit)) is not None:
-            return found
-        return self.owner._new(unit, True)
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Keep distinct new units; returns their slots."""
+        flat = np.frombuffer(b"".join(ids), self.ids.dtype)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + len(flat), self.ids.dtype)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        count = np.array([len(x) for x in ids]) // self.ids.itemsize
+        start = self.used + np.cumsum(count) - count
+        self.used, self.units = self.used + len(flat), self.units + len(key)
+        slot, open_ = (key >> np.uint64(20)).astype(np.int64) % self.SLOTS, np.arange(len(key))
+        while len(open_):  # of those that want a free slot, the last one gets it
+            free = open_[self.key[slot[open_]] == 0]
+            self.key[slot[free]] = key[free]
+            self.check[slot[free]] = check[free]
+            won = free[(self.key[slot[free]] == key[free]) & (self.check[slot[free]] == check[free])]
+            self.start[slot[won]], self.count[slot[won]] = start[won], count[won]
+            open_ = np.setdiff1d(open_, won)
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+        return slot
+
+    def forget(self) -> None:
+        self.key[:] = 0
+        self.used = self.units = 0
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, base & (1 << 64) - 1, np.uint64)), dtype=np.uint64)
 
 
 class Tokens:
-    """Text to ids, as arrays of u16 or u32 values. Units between spaces met lately are remembered in two generations.
+    """Texts to ids, as arrays of u16 or u32 values.
 
-    A new unit that is letters, then ASCII punctuation, is those two pieces of the pattern, and a line end between such
-    units is one; each is coded by the library's model. All other new units, and texts with a blank after a space or an
-    added token, go through the library's whole tokenizer."""
+    Units between spaces are hashed and looked up together for many texts; new ones are coded one by one. A new unit
+    that is letters, then ASCII punctuation, is those two pieces of the pattern, and a line end between such units is
+    one; each is coded by the library's model. All other new units, and texts with a blank after a space or an added
+    token, go through the library's whole tokenizer."""
 
-    LIMIT = 450_000
     LONG = 64
+    AT_ONCE = 1 << 20  # bytes of text hashed together; longer texts are cut at spaces
+    PLAIN = 50_000  # pieces without a space before them that are remembered
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that they have inverses modulo 2**64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.characters = str.maketrans(_byte_characters())
-        self.spaced = _Units(self)  # by unit, with the space before it
-        self.older = _Units(self)
         self.space = self.characters[ord(" ")]
-        self.plain: dict[str, bytes] = {"": b""}
+        self.units, self.plain = _Remembered(self.dtype), {"": b""}
+        self.powers = [(_powers(b, 0), _powers(pow(b, -1, 1 << 64), 0)) for b in self.BASES]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _written(self, written: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece of the pattern."""
         return self._written(piece.encode().decode("latin-1").translate(self.characters))
 
-    def _written(self, written: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
-
     def _plain(self, piece: str) -> bytes:
         found = self.plain.get(piece)
         if found is None:
-            if len(self.plain) > self.LIMIT // 8:
+            if len(self.plain) > self.PLAIN:
                 self.plain = {"": b""}
             found = self.plain[piece] = self._piece(piece)
         return found
 
     def _new(self, unit: str, spaced: bool) -> bytes:
-        if spaced and (found := self.older.pop(unit, None)) is not None:
-            self.spaced[unit] = found
-            return found
+        core = unit.rstrip(self.PUNCTUATION)
+        if core.isalpha() and spaced:  # the usual case: a word, or a word with punctuation; printable ASCII stands for itself
+            ids = self._written(self.space + core) if core.isascii() else self._piece(" " + core)
+            return ids + self._plain(unit[len(core) :]) if len(core) < len(unit) else ids
         if spaced and (not unit or unit[0].isspace()):
             raise _BlankAfterSpace
-        core = unit.rstrip(self.PUNCTUATION)
-        if spaced and core.isalpha():  # the usual case: a word, or a word with punctuation
-            if len(core) == len(unit):
-                # printable ASCII stands for itself
-                return self._keep(unit, self._written(self.space + unit) if unit.isascii() else self._piece(" " + unit), True)
-            tail = unit[len(core) :]
-            ids, tail = self.spaced.get(core), self.plain.get(tail) or self._plain(tail)
-            if ids is None:
-                return self._new(core, True) + tail
-            return self._keep(unit, ids + tail, True)  # worth remembering, as its word was known
         parts = unit.split("\n")
         cores = [p.rstrip(self.PUNCTUATION) for p in parts]
         if not all(map(str.isalpha, cores)):
-            return self._keep(unit, self._whole(" " + unit if spaced else unit), spaced)
-        out = []
-        for i, (part, core) in enumerate(zip(parts, cores)):
-            if i:
-                out.append(self._plain("\n"))
-            out.append(self._plain(core) if i or not spaced else self.spaced.get(core) or self._new(core, True))
-            if len(part) > len(core):
-                out.append(self._plain(part[len(core) :]))
+            return self._whole(" " + unit if spaced else unit)
+        out = [self._piece(" " + cores[0] if spaced else cores[0]), self._plain(parts[0][len(cores[0]) :])]
+        for part, core in zip(parts[1:], cores[1:]):
+            out += self._plain("\n"), self._plain(core), self._plain(part[len(core) :])
         return b"".join(out)
 
-    def _keep(self, unit: str, ids: bytes, spaced: bool) -> bytes:
-        if spaced and len(unit) <= self.LONG:
-            if len(self.spaced) >= self.LIMIT:
-                self.older, self.spaced = self.spaced, _Units(self)
-            self.spaced[unit] = ids
-        return ids
-
-    def of(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.dtype)
-        if any(map(text.__contains__, self.added)):
-            return np.frombuffer(self._whole(text), self.dtype)
-        units = iter(text.split(" "))
-        try:
-            first = next(units)
-            found = self._new(first, False) if first else b""
-            found += b"".join(map(self.spaced.__getitem__, units))
-        except _BlankAfterSpace:
-            return np.frombuffer(self._whole(text), self.dtype)
-        return np.frombuffer(found, self.dtype)
+    def _hashed(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each unit; the first unit of a text differs from the same one after a space."""
+        if len(codes) >= len(self.powers[0][0]):
+            n = 2 * len(codes)
+            self.powers = [(_powers(b, n), _powers(pow(b, -1, 1 << 64), n)) for b in self.BASES]
+        values, kind = codes.astype(np.uint64) + np.uint64(1), ((end - start) * 2 + first).astype(np.uint64)
+        out = []
+        for power, inverse in self.powers:
+            sums = np.append(np.uint64(0), np.cumsum(values * power[: len(values)]))
+            out.append(mix((sums[end] - sums[start]) * inverse[start] + kind * np.uint64(self.BASES[1])))
+        return out[0] | np.uint64(1), (out[1] >> np.uint64(32)) << np.uint64(16) | kind & np.uint64(0xFFFF)
+
+    def _coded(self, texts: list[bytes], firsts: list[bool]) -> list[np.ndarray | None]:
+        """Ids of texts or of parts of texts after a space; None for those that must be coded whole."""
+        data = b" " + b" ".join(texts) + b" "
+        codes = np.frombuffer(data, np.uint8)
+        spaces = np.flatnonzero(codes == 32)
+        start, end = spaces[:-1] + 1, spaces[1:]
+        sizes = np.array([len(t) for t in texts])
+        begins = np.cumsum(sizes + 1) - sizes  # of the texts
+        lead = np.searchsorted(start, begins)
+        first = np.zeros(len(start), bool)
+        first[lead] = firsts
+        key, check = self._hashed(codes, start, end, first)
+        if self.units.units + len(key) > self.units.SLOTS // 2:
+            self.units.forget()
+        slot = self.units.find(key, check)
+        new = np.flatnonzero(slot < 0)
+        bad = np.zeros(len(start), bool)
+        own: dict[int, bytes] = {}  # units too long to remember
+        if len(new):
+            _, at, of = np.unique(key[new], return_index=True, return_inverse=True)
+            ids, keep, made = [], [], np.full(len(at), -1)
+            places = zip(new[at].tolist(), start[new[at]].tolist(), end[new[at]].tolist(), first[new[at]].tolist())
+            for i, (u, a, b, lone) in enumerate(places):
+                unit = data[a:b]
+                try:
+                    found = self._new(unit.decode(), not lone)
+                except _BlankAfterSpace:
+                    bad[u] = True
+                    continue
+                if len(unit) > self.LONG:
+                    own[i] = found
+                else:
+                    keep.append(i)
+                    ids.append(found)
+            keep = np.array(keep, np.int64)
+            made[keep] = self.units.add(key[new[at[keep]]], check[new[at[keep]]], ids)
+            slot[new] = made[of]
+            bad[new] = bad[new[at]][of] | (check[new] != check[new[at]][of])  # the latter if 64 bits were not enough
+        count, begin = self.units.count[slot].astype(np.int64), self.units.start[slot]
+        flat = self.units.ids
+        if own:
+            longer = new[np.isin(of, list(own))]
+            place = dict(zip(own, np.cumsum([0, *map(len, own.values())]).tolist()))
+            which = of[np.searchsorted(new, longer)].tolist()
+            count[longer] = [len(own[i]) // self.dtype.itemsize for i in which]
+            begin[longer] = [len(flat) + place[i] // self.dtype.itemsize for i in which]
+            flat = np.concatenate([flat, np.frombuffer(b"".join(own.values()), self.dtype)])
+        count[bad] = 0
+        total = np.cumsum(count)
+        found = flat[np.arange(int(total[-1])) + np.repeat(begin - total + count, count)]
+        cuts = np.append(0, total)
+        bounds = np.append(lead, len(start))
+        wrong = np.add.reduceat(bad, lead) > 0 if len(lead) else []
+        return [None if w else found[cuts[a] : cuts[b]] for a, b, w in zip(bounds[:-1], bounds[1:], wrong)]
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
+        parts: list[list[np.ndarray | None]] = [[] for _ in texts]
+        held: list[tuple[int, bytes, bool]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                for (i, _, _), ids in zip(held, self._coded([t for _, t, _ in held], [f for _, _, f in held])):
+                    parts[i].append(ids)
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            at = 0
+            if not text or any(map(text.__contains__, self.added)):
+                continue
+            while at >= 0:
+                cut = text.find(b" ", at + self.AT_ONCE)
+                held.append((i, text[at:] if cut < 0 else text[at:cut], at == 0))
+                size += len(held[-1][1])
+                at = cut + 1 if cut >= 0 else -1
+                if size >= self.AT_ONCE:
+                    flush()
+        flush()
+        out = []
+        for text, own in zip(texts, parts):
+            if text and (not own or any(p is None for p in own)):
+                own = [np.frombuffer(self._whole(text.decode()), self.dtype)]
+            out.append(own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, self.dtype))
+        return out
 
 
 _tokens: dict[str, Tokens] = {}
@@ -175,6 +282,8 @@ def _of_worker(path: str) -> Tokens:
 
 
 def _tokenised(tokenizer: str):
+    """Units of whole documents; the last one of a task carries the counts of all the task's ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -184,37 +293,37 @@ def _tokenised(tokenizer: str):
         total, end = 0, np.array([END_ID], tokens.dtype)
         counts = np.zeros(tokens.tokenizer.get_vocab_size(), np.int64)
 
-        def flush() -> pa.RecordBatch:
-            ids = np.concatenate(held)
+        def flush(last: bool) -> pa.RecordBatch:
+            ids, lengths = np.concatenate(held), [len(x) for x in held]
             counts[:] += np.bincount(ids, minlength=len(counts))
-            return row(unit, docs, [len(x) for x in held], ids.tobytes())
-
-        def row(unit: int, docs: list, lengths: list, ids: bytes) -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([unit], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([ids], pa.binary())]
-            return pa.record_batch(columns, names=["part", "unit", "n_ids", "doc_ids", "lengths", "ids"])
+            columns = [pa.array([part], pa.int32()), pa.array([unit], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))]
+            columns += [pa.array([ids.tobytes()], pa.binary()), pa.array([counts.tobytes() if last else None], pa.binary())]
+            return pa.record_batch(columns, names=["part", "unit", "n_ids", "doc_ids", "lengths", "ids", "counts"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                docs.append(doc.as_py())
-                held.append(np.append(tokens.of(text.as_py()), end))
-                total += len(held[-1])
+        for batch in blocks(batches):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens.of(as_bytes(batch.column("text")))):
                 if total >= UNIT_IDS:
-                    yield flush()
+                    yield flush(False)
                     docs, held, total, unit = [], [], 0, unit + 1
+                docs.append(doc)
+                held.append(np.append(ids, end))
+                total += len(held[-1])
         if docs:
-            yield flush()
-        if counts.any():
-            yield row(_COUNTS, [], [], counts.tobytes())
+            yield flush(True)
 
     return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of the tasks added up: a row for each id used."""
+    total = None
     for batch in batches:
-        for row in range(batch.num_rows):
-            counts = np.frombuffer(batch.column("ids")[row].as_buffer(), np.int64)
-            used = np.flatnonzero(counts)
-            yield pa.record_batch([used, counts[used]], names=["id", "n"])
+        for row in batch.column("counts").to_pylist():
+            counts = np.frombuffer(row, np.int64)
+            total = counts.copy() if total is None else total + counts
+    if total is not None:
+        used = np.flatnonzero(total)
+        yield pa.record_batch([used, total[used]], names=["id", "n"])
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -347,14 +456,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str) -> None:
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = columns.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
-    units = materialise(dealt.mapInArrow(_tokenised(tokenizer), f"{_UNITS}, ids binary"), f"{path}/ids")
+    units = materialise(dealt.mapInArrow(_tokenised(tokenizer), f"{_UNITS}, ids binary, counts binary"), f"{path}/ids")
     counts = np.zeros(size, np.int64)
-    for row in units.filter(F.col("unit") == _COUNTS).select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in units.filter("counts is not null").select("counts").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]  # a row an id of the vocabulary at most
     frequencies = scaled(counts)
     table = [(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)]
     docs.sparkSession.createDataFrame(table, "id long, frequency long").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
-    units.filter(F.col("unit") != _COUNTS).mapInArrow(_coded(frequencies, dtype), f"{_UNITS}, payload binary").write.mode("overwrite").parquet(f"{path}/blocks")
+    units.drop("counts").mapInArrow(_coded(frequencies, dtype), f"{_UNITS}, payload binary").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def _decoded(frequencies: np.ndarray, with_ids: bool):
@@ -363,7 +472,7 @@ def _decoded(frequencies: np.ndarray, with_ids: bool):
         for batch in batches:
             for row in range(batch.num_rows):
                 part, unit, docs, lengths = (batch.column(c)[row].as_py() for c in ("part", "unit", "doc_ids", "lengths"))
-                ids = coder.decode(batch.column("payload")[row].as_py())
+                ids = coder.decode(batch.column("payload")[row].as_buffer())
                 ends = np.cumsum(np.array(lengths, np.int64))
                 starts = ends - lengths
                 raw = ids.astype("<u4")
