@@ -170,6 +170,41 @@ def test_simhash_agrees_with_brute_force(spark, docs):
     assert kept == set(least.values())
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 7, "x y z w v u " * 8)
+    rows = [(None, a), (None, b), (None, a), (5, a), (5, c), (1, c), (5, c), (7, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _kept int")
+    of = lambda t: fingerprint(t)
+    assert len({of(t) for t in (a, b, c, "")}) == len(set(brute_components({of(t) for t in (a, b, c, "")}).values())) == 4
+    found = simhash.keep_one(docs)
+    assert found.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == sorted([(5, a), (None, b), (1, c), (7, None)], key=str)
+
+
+def test_large_keys_are_divided(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    centre = np.uint64(0x0123456789ABCDEF)
+    near = centre ^ (np.uint64(1) << rng.integers(0, 64, (400, 6)).astype(np.uint64)).sum(1, dtype=np.uint64)
+    fps = np.unique(np.concatenate([near, rng.integers(0, 1 << 63, 300).astype(np.uint64)]))
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    want = len(set(brute_components(fps.tolist()).values()))
+    for leaf in (4_096, 20):
+        monkeypatch.setattr(simhash, "LEAF", leaf)
+        links = simhash.link_fingerprints(table, simhash.choose(fps, len(fps)), str(tmp_path / str(leaf)))
+        pairs = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in links.collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
+        up = {int(f): int(f) for f in fps}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            up[root(x)] = root(y)
+        assert len({root(x) for x in up}) == want
+
+
 @pytest.mark.parametrize("leaf", [4_096, 16])
 def test_links_connect_the_same_sets(spark, monkeypatch, leaf):
     monkeypatch.setattr(simhash, "LEAF", leaf)

@@ -11,26 +11,28 @@ Search on distinct fingerprints, so copies cost nothing further:
    partitions chooses the thresholds with the least estimated number of candidates; the cheapest m is taken.
 2. Each fingerprint is probed under keys: its bits in a partition with each choice of t_i bits blanked. Fingerprints
    that agree to within t_i bits share a key.
-3. Inside a key, candidates are verified in blocks and only links that join two so far unconnected fingerprints are
-   emitted: at most one fewer than the key's members, never all pairs. A key of more than ``LEAF`` members is divided
-   by the other bits first: the pigeonhole is applied again to the remaining bits, with the same guarantee.
+3. A key of more than ``LEAF`` members is divided before anything is shuffled to it: the pigeonhole is applied again to
+   the bits that its members may differ in, with the same guarantee, until keys are small or few bits are left. Inside
+   a key, candidates are verified in blocks and only links that join two so far unconnected fingerprints are emitted: at
+   most one fewer than the key's members, never all pairs.
 4. Components by alternating large and small star steps over Spark joins, each written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows each get a row; a null
-document id never names a component unless all its members are null; extra columns do not matter.
+document id never names a component unless all its members are null; extra columns do not matter. ``keep_one`` keeps
+exactly one row of each component, also where ids are null or repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import as_bytes, blocks, materialise, shared_dir
@@ -61,7 +63,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = len(words) - SHINGLE + 1
             hashes = np.fromiter(map(_xxh64, map(joined.__getitem__, slices)), np.uint64, n)
             out[row] = np.packbits(2 * _bit_counts(hashes) > n, bitorder="little").view(np.uint64)[0]
-        yield pa.record_batch([batch.column("doc_id"), out.view(np.int64)], names=["doc_id", "fp"])
+        others = [n for n in batch.schema.names if n not in ("doc_id", "text")]
+        yield pa.record_batch([batch.column("doc_id"), out.view(np.int64), *map(batch.column, others)], names=["doc_id", "fp", *others])
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -219,15 +222,16 @@ def spanning_links(fps: np.ndarray, free: int = (1 << 64) - 1, radius: int = RAD
                         yield int(rows[x]), int(rows[y])
 
 
-def _linked(masks: list[int], radius: int):
+def _linked(free: list[int], radius: int):
+    """Links inside each key; free: by kind of key, the bits in which its members may differ."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         key: tuple[int, int] | None = None
 
         def flush() -> pa.RecordBatch | None:
             fps = np.unique(np.concatenate(held)).view(np.uint64)
-            free = ((1 << 64) - 1) & ~masks[key[0]]
-            pairs = list(spanning_links(fps, free, radius)) if len(fps) > 1 else []
+            pairs = list(spanning_links(fps, free[key[0]], radius)) if len(fps) > 1 else []
             if not pairs:
                 return None
             a, b = np.ascontiguousarray(fps.view(np.int64)[np.array(pairs)].T)
@@ -249,13 +253,37 @@ def _linked(masks: list[int], radius: int):
     return run
 
 
-def link_fingerprints(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius: int = RADIUS) -> DataFrame:
+def _keyed(rows: DataFrame, masks: list[tuple[int, int]], *more: str) -> DataFrame:
+    """A row for each fingerprint and (part, mask): part, value, fp."""
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in masks])
+    return rows.select("fp", *more, F.explode(keys).alias("k")).select("k.part", "k.value", "fp")
+
+
+def link_fingerprints(distinct: DataFrame, chosen: list[tuple[list[int], int]], folder: str, radius: int = RADIUS) -> DataFrame:
     """Links a < b that connect all fingerprints (column fp, distinct) within radius of each other."""
     masks = _masks(chosen)
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)])
-    probes = distinct.select("fp", F.explode(keys).alias("k")).select("k.part", "k.value", "fp")
+    free = [((1 << 64) - 1) & ~m for m in masks]
+    probes = _keyed(distinct, list(enumerate(masks)))
+    for level in range(8):
+        large = materialise(probes.groupBy("part", "value").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("part", "value"), f"{folder}/large{level}")
+        parts = [r["part"] for r in large.select("part").distinct().collect() if free[r["part"]].bit_count() > 4 * (radius + 1)]
+        if not parts:
+            break
+        large = large.filter(F.col("part").isin(parts))
+        divided = probes.join(large, ["part", "value"], "left_semi")
+        rest, now = probes.join(large, ["part", "value"], "left_anti"), []
+        for part in parts:
+            bits = [b for b in range(64) if free[part] >> b & 1]
+            new = []
+            for i in range(radius + 1):
+                own = sum(1 << b for b in bits[i :: radius + 1])
+                new.append((len(masks), masks[part] | own))
+                masks.append(masks[part] | own)
+                free.append(free[part] & ~own)
+            now.append(_keyed(divided.filter(F.col("part") == part).select("fp"), new))
+        probes = materialise(reduce(DataFrame.unionByName, now, rest), f"{folder}/probes{level}")
     dealt = probes.repartition("part", "value").sortWithinPartitions("part", "value")
-    return dealt.mapInArrow(_linked(masks, radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_linked(free, radius), "a long, b long").distinct()
 
 
 def components(links: DataFrame, folder: str, most_rounds: int = 60) -> DataFrame:
@@ -280,30 +308,43 @@ def components(links: DataFrame, folder: str, most_rounds: int = 60) -> DataFram
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable) for each row of docs."""
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
-    fps = materialise(fingerprints(docs), f"{folder}/fingerprints")
+def _labelled(fps: DataFrame, folder: str, radius: int) -> DataFrame:
+    """fp, component (a fingerprint of it) and component_id (its smallest id) for each distinct fingerprint of (doc_id, fp)."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/distinct")
     rows = distinct.count()
     sample = distinct.sample(min(1.0, SAMPLE / max(rows, 1)), 11).select("fp").limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    links = link_fingerprints(distinct.select("fp"), choose(sample, rows, radius), radius)
+    links = link_fingerprints(distinct.select("fp"), choose(sample, rows, radius), folder, radius)
     own = components(links, folder).join(distinct.withColumnRenamed("fp", "node"), "node")
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = own.join(least, "component").select(F.col("node").alias("fp"), F.col("component_id"))
-    every = distinct.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    every = materialise(every, f"{folder}/labels")  # a join of its own, whose hot fingerprints Spark can split
+    labels = own.join(least, "component").select(F.col("node").alias("fp"), "component", "component_id")
+    every = distinct.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    return materialise(every, f"{folder}/labels")  # a join of its own, whose hot fingerprints Spark can split
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable) for each row of docs."""
+    folder = shared_dir(docs.sparkSession)
+    fps = materialise(fingerprints(docs), f"{folder}/fingerprints")
+    every = _labelled(fps, folder, radius)
     return fps.join(every, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns of docs.
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """A text that two rows share only if they have the same id and equal texts, up to a hash within the id."""
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.xxhash64(text).cast("string"), F.lit("")), F.length(text).cast("string"))
+
 
-    Of rows that repeat an id the one whose text hashes lowest stays; of a component of null ids one row stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with all columns of docs: the one with the smallest id, ids before null; of rows that
+    share it the one whose text hashes lowest; of equal rows any one."""
+    folder = shared_dir(docs.sparkSession)
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    columns = docs.select(doc_id.alias("doc_id"), text.alias("text"), _row_key(doc_id, text).alias("row"))
+    fps = materialise(columns.mapInArrow(_fingerprints, "doc_id long, fp long, row string"), f"{folder}/fingerprints")
+    choice = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = fps.join(_labelled(fps, folder, radius), "fp").groupBy("component").agg(choice.alias("best")).select(F.col("best.row").alias("_kept"))
+    kept = materialise(kept, f"{folder}/kept")
     packed = docs.select(F.struct("*").alias("_row"))  # no name of its own can clash
-    kept = packed.join(least, F.col("_row.doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row.doc_id").orderBy(F.xxhash64("_row.text")))
-    return kept.withColumn("_first", first).filter("_first = 1").select("_row.*")
+    keyed = packed.withColumn("_kept", _row_key(F.col("_row.doc_id").cast("long"), F.col("_row.text").cast("string")))
+    first = F.row_number().over(Window.partitionBy("_kept").orderBy("_kept"))
+    return keyed.join(kept, "_kept", "left_semi").withColumn("_first", first).filter("_first = 1").select("_row.*")
