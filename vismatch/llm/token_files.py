@@ -119,7 +119,7 @@ class Tokens:
     token, go through the library's whole tokenizer."""
 
     LONG = 64
-    AT_ONCE = 1 << 20  # bytes of text hashed together; longer texts are cut at spaces
+    AT_ONCE = 1 << 18  # bytes of text hashed together; longer texts are cut at spaces
     PLAIN = 50_000  # pieces without a space before them that are remembered
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that they have inverses modulo 2**64
@@ -174,7 +174,7 @@ class Tokens:
     def _hashed(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each unit; the first unit of a text differs from the same one after a space."""
         if len(codes) >= len(self.powers[0][0]):
-            n = 2 * len(codes)
+            n = len(codes) + self.AT_ONCE
             self.powers = [(_powers(b, n), _powers(pow(b, -1, 1 << 64), n)) for b in self.BASES]
         values, kind = codes.astype(np.uint64) + np.uint64(1), ((end - start) * 2 + first).astype(np.uint64)
         out = []
