@@ -56,6 +56,7 @@ class WordHash(dict):
 
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_STEP = 0xD1342543DE82EF95
 
 
 class Rolling:
@@ -87,6 +88,51 @@ class Rolling:
         return mix((prefix[width:] - prefix[:n]) * self.inverse[:n])
 
 
+class WordKeys:
+    """64-bit keys of the words of many texts at once: words are runs of anything but the six blanks."""
+
+    LONG = 256  # longer words are hashed one by one
+    AT_ONCE = 1 << 18
+
+    def __init__(self) -> None:
+        self.rolling = Rolling()
+        self.blank = np.zeros(256, bool)
+        self.blank[list(BLANKS)] = True
+
+    @staticmethod
+    def of(word: bytes) -> int:
+        """The key of one word."""
+        if len(word) > WordKeys.LONG:
+            return xxhash.xxh3_64_intdigest(word)
+        value = sum((c + 1) * pow(_BASE, i, 1 << 64) for i, c in enumerate(word)) + len(word) * _STEP & (1 << 64) - 1
+        return int(mix(np.array([value], np.uint64))[0])
+
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all words, text after text, and the number of words of each text."""
+        keys, counts, held, size = [], [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= self.AT_ONCE:
+                self._hash(held, keys, counts)
+                held, size = [], 0
+        self._hash(held, keys, counts)
+        return np.concatenate(keys), np.concatenate(counts)
+
+    def _hash(self, texts: list[bytes], keys: list, counts: list) -> None:
+        data = b" " + b" ".join(texts) + b" "
+        codes = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(self.blank[codes].view(np.int8)))
+        start, end = edges[::2] + 1, edges[1::2] + 1
+        sums, inverse = self.rolling.prefix(codes.astype(np.uint64) + np.uint64(1)), self.rolling.inverse
+        found = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(_STEP))
+        for i in np.flatnonzero(end - start > self.LONG).tolist():
+            found[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+        last = np.cumsum(np.array([len(t) for t in texts], np.int64) + 1)
+        keys.append(found)
+        counts.append(np.diff(np.searchsorted(start, last), prepend=0))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,9 +1,9 @@
 """Language-model scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Tokens: A-Z lower-cased words, then one end for each text. Counts of all training tokens are made by Spark. The ``HEAD``
-most frequent words have vectors of their own, as context and as what is predicted, in two factors: the ``NEURAL`` - 2
-most frequent ones, the end and all words outside the head are a class each, the others share classes by groups of
-``GROUP`` with counts alike:
+Tokens: A-Z lower-cased words, then one end for each text. Counts of all training tokens are made by Spark. The
+``VECTORS`` most frequent words have vectors of their own, as context and as what is predicted, in two factors: the
+``NEURAL`` - 2 most frequent ones, the end and all words without a vector are a class each, the others share classes by
+groups of ``GROUP`` with counts alike:
 
     P(w | context) = P(class of w | context) P(w | its group, context), both softmaxes of
     score(x | context) = b[x] + Q[x] . sum_i C[i] * R[context_i]
@@ -11,8 +11,9 @@ most frequent ones, the end and all words outside the head are a class each, the
 over the ``CONTEXT`` tokens before. It is trained by noise-contrastive estimation against the unigram distributions of the
 classes and of each group, in ``ROUNDS`` rounds: each task trains on its texts from the common parameters, which are then
 averaged. Every training text is in one round, and each of its positions is a target. Scoring normalises: batched matrix
-products give the scores of all classes, and those of the group's words. A word outside the head has, on top of its
-class, its smoothed share among all such training words.
+products give the scores of all classes, and those of the group's words. A word without a vector has, on top of its
+class, its smoothed share among all such training words. Parameters depend on how the rows are dealt to tasks, as each
+task trains on its own.
 
 Where the counts of words are needed: the ``HEAD`` most frequent words go to the tasks, a table of bounded size; all
 others are joined to the counts by a 64-bit hash of the word. Parameters and the head are of fixed size; what is
@@ -26,44 +27,48 @@ the model is uniform over its classes.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, blocks, materialise, shared_dir
+from ._common import WordKeys, as_bytes, blocks, materialise, shared_dir
 
-NEURAL = 256
-HEAD = 100_000
+NEURAL = 64
+#: Words whose counts all tasks know, and words with vectors.
+HEAD, VECTORS = 100_000, 32_768
 CONTEXT = 6
-WIDTH = 32
-NOISE = 32
+WIDTH = 31  # with the bias 32 values
+NOISE = 16
 #: Words to a group, and noise words from a target's group.
-GROUP, NOISE_INSIDE = 256, 4
+GROUP, NOISE_INSIDE = 192, 2
 ROUNDS = 2
-BATCH = 512
+BATCH = 1024
 RATE = 0.05
 #: Start of the sums of squared gradients, so that the first steps are small.
 FIRST = 1e-6
-SCORED_AT_ONCE = 512
-#: Places whose vectors are held at once.
-RUN = 1 << 16
+SCORED_AT_ONCE = 1024
+#: Places of texts that wait for training.
+TRAINED_AT_ONCE = 1 << 16
+#: Places whose vectors are held at once, and made at once.
+RUN, AT_ONCE = 1 << 18, 1 << 12
 #: Tokens of a training task at least: it moves most rows of the parameters, which should weigh less than its texts.
 TASK_TOKENS = 6_000_000
 SMOOTHING = 0.1
 END = b"\n"  # no word holds a line end
 _OTHER, _END = 0, 1
-_COUNTED = 150_000
+_COUNTED = 4_000_000
+_keys = WordKeys()
 
 
-def key_of(word: bytes) -> int:
-    value = xxhash.xxh3_64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+END_KEY = _signed(WordKeys.of(END))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -74,44 +79,60 @@ def _part(doc_id: int | None) -> int:
     return zlib.crc32(str(doc_id).encode()) // 10 % ROUNDS
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def keys_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of all texts, A-Z lower-cased, and the number of words of each."""
+    keys, counts = _keys.of_texts([(t or b"").lower() for t in texts])
+    return keys.view(np.int64), counts
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    held: list[np.ndarray] = []
+    ends = size = 0
 
     def flush() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(map(key_of, counts), pa.int64()), pa.array(counts.values(), pa.int64())], names=["key", "n"])
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([np.append(keys, END_KEY), np.append(n, ends)], names=["key", "n"])
 
     for batch in blocks(batches):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-            if not held_out(doc):
-                counts.update(words_of(text))
-                counts[END] += 1
-        if len(counts) > _COUNTED:
+        texts = [t for d, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))) if not held_out(d)]
+        if not texts:
+            continue
+        held.append(keys_of(texts)[0])
+        ends, size = ends + len(texts), size + len(held[-1])
+        if size > _COUNTED:
             yield flush()
-            counts.clear()
-    if counts:
+            held, ends, size = [], 0, 0
+    if ends:
         yield flush()
 
 
 class Head:
-    """The most frequent words: place by word, counts by place. Places 0 and 1 are the other class and the end."""
+    """The most frequent words: place by key, counts by place. Places 0 and 1 are all other words and the end."""
+
+    SLOTS = 1 << 19  # of a table of open addresses
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, end: int) -> None:
-        self.places = dict(zip(keys.tolist(), range(2, len(keys) + 2)))
         self.counts = np.concatenate([[0, end], counts]).astype(np.float64)
-        self.known: dict[bytes, int] = {}
+        self.key, self.place = np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int64)
+        for i, (key, slot) in enumerate(zip(keys.tolist(), self._slots(keys).tolist()), 2):
+            while self.place[slot]:
+                slot = (slot + 1) % self.SLOTS
+            self.key[slot], self.place[slot] = key, i
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(20)).astype(np.int64) % self.SLOTS
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
         """Place of each word; 0 if it is not in the head."""
-        if len(self.known) > 300_000:
-            self.known.clear()
-        known, places = self.known, self.places
-        for w in {w for w in words if w not in known}:
-            known[w] = places.get(key_of(w), 0)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        slot = self._slots(keys)
+        found = self.place[slot]
+        open_ = np.flatnonzero((found > 0) & (self.key[slot] != keys))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+            at = slot[open_]
+            found[open_] = self.place[at]
+            open_ = open_[(self.place[at] > 0) & (self.key[at] != keys[open_])]
+        return found
 
 
 class LogBilinear:
@@ -158,9 +179,16 @@ class LogBilinear:
         """A text after what stands before it; streams of texts can be joined."""
         return np.concatenate([np.full(CONTEXT, self.before), places])
 
+    def streams(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The joined streams of many texts, each with its end."""
+        out = np.full(len(places) + len(sizes) * (CONTEXT + 1), self.before)
+        out[np.arange(len(places)) + np.repeat(np.arange(len(sizes)) * (CONTEXT + 1) + CONTEXT, sizes)] = places
+        out[np.cumsum(sizes + CONTEXT + 1) - 1] = _END
+        return out
+
     def _along(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of a stream, and the predicted vector, with 1 for the bias, of each position but the first CONTEXT."""
-        r, c = self.rows[stream], self.rows[self.c0 :]
+        r, c = np.take(self.rows, stream, axis=0), self.rows[self.c0 :]
         q = r[CONTEXT - 1 : -1] * c[0]
         for i in range(1, CONTEXT):
             q += r[CONTEXT - 1 - i : -1 - i] * c[i]
@@ -181,9 +209,12 @@ class LogBilinear:
         """The same for all places of a stream of texts, without what stands before them."""
         out = []
         for at in range(CONTEXT, len(stream), RUN):
-            targets = stream[at : at + RUN]
-            own = targets != self.before
-            out.append(self._normalised(self._along(stream[at - CONTEXT : at + RUN])[1][own], targets[own]))
+            run = stream[at - CONTEXT : at + RUN]
+            own = run[CONTEXT:] != self.before
+            q = np.empty((len(own), WIDTH + 1), np.float32)
+            for a in range(0, len(own), AT_ONCE):  # small enough to stay in the processor's memory
+                q[a : a + AT_ONCE] = self._along(run[a : a + AT_ONCE + CONTEXT])[1]
+            out.append(self._normalised(q[own], run[CONTEXT:][own]))
         return np.concatenate(out)
 
     def _normalised(self, q: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -230,7 +261,7 @@ class LogBilinear:
     def _against_noise(self, q: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, list, list]:
         """Gradients by the predicted vectors, and by rows: of the class against shared noise, of the word in its group."""
         classes, noise = self.classes(targets), rng.choice(len(self.shares), NOISE, p=self.shares)
-        of_targets, of_noise = self.rows[self.q0 + classes], self.rows[self.q0 + noise]
+        of_targets, of_noise = np.take(self.rows, self.q0 + classes, axis=0), self.rows[self.q0 + noise]
         g = _sigmoid(np.einsum("tj,tj->t", q, of_targets) - self.log_noise[classes]) - 1
         h = _sigmoid(q @ of_noise.T - self.log_noise[noise])
         dq = g[:, None] * of_targets + h @ of_noise
@@ -241,10 +272,10 @@ class LogBilinear:
             start, end = self.group_start[group, None], self.group_end[group, None]
             drawn = np.searchsorted(self.ends, start + (end - start) * rng.random((len(inside), NOISE_INSIDE)), side="right")
             words = np.concatenate([words[:, None], np.minimum(drawn, np.minimum((group + 1) * GROUP, len(self.ends))[:, None] - 1)], 1)
-            of_words = self.rows[self.u0 + words]
-            d = _sigmoid((of_words @ own[:, :, None])[:, :, 0] - self.log_noise_inside[words])
+            of_words = np.take(self.rows, self.u0 + words, axis=0)
+            d = _sigmoid(np.einsum("nkj,nj->nk", of_words, own) - self.log_noise_inside[words])
             d[:, 0] -= 1
-            dq[inside] += (d[:, None, :] @ of_words)[:, 0]
+            dq[inside] += np.einsum("nk,nkj->nj", d, of_words)
             rows.append(self.u0 + words.ravel())
             grads.append((d[:, :, None] * own[:, None, :]).reshape(-1, WIDTH + 1))
         dq[:, WIDTH] = 0
@@ -252,21 +283,22 @@ class LogBilinear:
 
     def _move(self, rows: list, grads: list, dc: np.ndarray, size: int, memory: dict[str, np.ndarray]) -> None:
         if not memory:
-            memory["squares"], memory["times"] = np.full_like(self.rows, FIRST), np.zeros(len(self.rows), np.int64)
+            memory["squares"], memory["times"] = np.full(len(self.rows), FIRST, np.float32), np.zeros(len(self.rows), np.int64)
         at = np.concatenate([*rows, np.arange(self.c0, self.c0 + CONTEXT)])
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         at = at[order]
         starts = np.flatnonzero(np.diff(at, prepend=-1))
-        grad = np.add.reduceat(np.concatenate([*grads, dc])[order], starts, axis=0) / np.float32(size)
+        # pairs of values are added as complex numbers, which takes numpy a third of the time
+        pairs = np.take(np.concatenate([*grads, dc]), order, axis=0).view(np.complex64)
+        grad = np.add.reduceat(pairs, starts, axis=0).view(np.float32) / np.float32(size)
         times, at = np.diff(starts, append=len(at)), at[starts]
         memory["times"][at] += times
-        squares = memory["squares"][at] + grad * grad
+        squares = memory["squares"][at] + np.einsum("nj,nj->n", grad, grad) / np.float32(WIDTH + 1)
         memory["squares"][at] = squares
-        rate = np.full(WIDTH + 1, RATE, np.float32)
-        rate[WIDTH] *= 0.2
-        grad *= rate / np.sqrt(squares)
+        grad *= (RATE / np.sqrt(squares))[:, None]
+        grad[:, WIDTH] *= np.float32(0.2)
         grad[-CONTEXT:] *= np.float32(0.2)  # the rows of C are the last
-        self.rows[at] -= grad
+        self.rows[at] = np.take(self.rows, at, axis=0) - grad
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -283,6 +315,11 @@ def _chosen(q: np.ndarray, columns: np.ndarray, chosen: np.ndarray, shift: bool)
     return out - np.log(scores.sum(1))
 
 
+def _with_vectors(places: np.ndarray) -> np.ndarray:
+    """Places for the model: words without a vector are one."""
+    return np.where(places < VECTORS + 2, places, _OTHER)
+
+
 def _class_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the classes, from those of the places, and of the words in groups."""
     grouped = counts[NEURAL:]
@@ -304,14 +341,15 @@ def _trained(head: tuple, shares: np.ndarray, grouped: np.ndarray, rows: np.ndar
             held, waiting = [], 0
 
         for batch in blocks(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                if held_out(doc) or _part(doc) != round_:
-                    continue
-                held.append(model.stream(np.append(words.of(words_of(text)), _END)))
-                tokens += len(held[-1]) - CONTEXT
-                waiting += len(held[-1])
-                if waiting >= RUN:
-                    step()
+            texts = [t for d, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))) if not held_out(d) and _part(d) == round_]
+            if not texts:
+                continue
+            keys, sizes = keys_of(texts)
+            held.append(model.streams(_with_vectors(words.of(keys)), sizes))
+            tokens += len(keys) + len(texts)
+            waiting += len(held[-1])
+            if waiting >= TRAINED_AT_ONCE:
+                step()
         if waiting:
             step()
         if tokens:
@@ -367,29 +405,35 @@ def _averaged(trained: DataFrame, rows: np.ndarray) -> np.ndarray:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, others array<long>, times array<int>"
 
 
-def _scored(head: tuple, shares: np.ndarray, grouped: np.ndarray, rows: np.ndarray, train_tokens: int, distinct: int):
+def _scored(head: tuple, shares: np.ndarray, grouped: np.ndarray, rows: np.ndarray, train_tokens: int, distinct: int, rest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = Head(*head), LogBilinear(shares, grouped).load(rows)
         base = np.log10((words.counts + SMOOTHING) / (train_tokens + SMOOTHING * (distinct + 1)))
+        share = np.where(np.arange(len(base)) < VECTORS + 2, 0, np.log10((words.counts + SMOOTHING) / rest))
         for batch in blocks(batches):
-            ids, places, others, times = batch.column("doc_id").to_pylist(), [], [], []
-            for text in as_bytes(batch.column("text")):
-                own = words_of(text)
-                at = np.append(words.of(own), _END)
-                rare = Counter(map(own.__getitem__, np.flatnonzero(at[:-1] == 0).tolist()))
-                places.append(at)
-                others.append(list(map(key_of, rare)))
-                times.append(list(rare.values()))
-            sizes = np.array([len(x) for x in places])
-            flat_places = np.concatenate(places)
-            model_part = model.log_probabilities_along(np.concatenate([model.stream(x) for x in places])) / np.log(10)
+            ids = batch.column("doc_id").to_pylist()
+            keys, n_words = keys_of(as_bytes(batch.column("text")))
+            flat = words.of(keys)
+            text = np.repeat(np.arange(len(ids)), n_words)
+            sizes = n_words + 1
+            ends = np.cumsum(sizes) - 1
+            flat_places = np.full(len(flat) + len(ids), _END)
+            flat_places[np.arange(len(flat)) + text] = flat
+            streams = model.streams(_with_vectors(flat), n_words)
+            model_part = model.log_probabilities_along(streams) / np.log(10) + share[flat_places]
             base_part = np.where(flat_places > 0, base[flat_places], 0)
             known = (words.counts[flat_places] > 0) & (flat_places > 0)
-            starts = np.cumsum(sizes) - sizes
+            starts = ends - n_words
+            rare = np.flatnonzero(flat == 0)
+            rare = rare[np.lexsort((keys[rare], text[rare]))]
+            fresh = np.flatnonzero((np.diff(text[rare], prepend=-1) != 0) | np.append(True, np.diff(keys[rare]) != 0)[: len(rare)])
+            others_at = pa.array(np.searchsorted(text[rare][fresh], np.arange(len(ids) + 1)), pa.int32())
+            others = pa.ListArray.from_arrays(others_at, pa.array(keys[rare][fresh]))
+            times = pa.ListArray.from_arrays(others_at, pa.array(np.diff(np.append(fresh, len(rare))), pa.int32()))
             yield pa.record_batch(
                 [
                     batch.column("doc_id"), pa.array([held_out(d) for d in ids]), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(base_part, starts)), pa.array(np.add.reduceat(model_part, starts)), pa.array(others, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
+                    pa.array(np.add.reduceat(base_part, starts)), pa.array(np.add.reduceat(model_part, starts)), others, times,
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "others", "times"],
             )
@@ -419,10 +463,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = materialise(columns.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), f"{folder}/counts")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("key") == key_of(END), F.col("n"))), F.lit(0)).alias("end")).first()
-    top = most_frequent(counts.filter(F.col("key") != key_of(END)))
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("key") == END_KEY, F.col("n"))), F.lit(0)).alias("end")).first()
+    top = most_frequent(counts.filter(F.col("key") != END_KEY))
     head = (top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), totals["end"])
-    known = np.concatenate([[0, totals["end"]], head[1]]).astype(np.float64)
+    known = np.concatenate([[0, totals["end"]], head[1][:VECTORS]]).astype(np.float64)
     known[_OTHER] = max(0, totals["n"] - known.sum())
     classes, grouped = _class_counts(known)
     shares = (classes + 1) / (classes + 1).sum()
@@ -430,9 +474,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     dealt = columns.coalesce(1 + int(totals["n"]) // TASK_TOKENS)
     for round_ in range(ROUNDS):
         rows = _averaged(dealt.mapInArrow(_trained(head, shares, grouped, rows, round_), "i long, n long, v array<float>"), rows)
-    scored = columns.mapInArrow(_scored(head, shares, grouped, rows, totals["n"], totals["v"]), _SCORED)
-    scores = materialise(scored.withColumn("row", F.monotonically_increasing_id()), f"{folder}/scored")
     rest = known[_OTHER] + SMOOTHING * (max(0, totals["v"] - len(known) + 1) + 1)
+    scored = columns.mapInArrow(_scored(head, shares, grouped, rows, totals["n"], totals["v"], rest), _SCORED)
+    scores = materialise(scored.withColumn("row", F.monotonically_increasing_id()), f"{folder}/scored")
     smoothed = F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING)
     rare = scores.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("key"), F.col("o.times").alias("times"))
     found = rare.join(counts, "key", "left").groupBy("row").agg(
