@@ -1,17 +1,20 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 The training texts are cut into shards of bounded size inside the tasks that read them. Each shard gets a suffix array
-over its words (sorted to a depth of 18 words, enough for the longest window); every suffix of every benchmark item is
-binary-searched in it, for all items at once. The interval found holds all places of the suffix's window: these are the
-verbatim matches and their locations. Consecutive matches on one diagonal join into the longest match.
-
-The benchmark is the query side: the driver holds it in blocks of bounded size, and each block is searched in all texts.
-Blocks follow each other over the same rows, so nothing is shuffled, and a text's matches stay with its row.
-
-Words: A-Z lower-cased, then runs of ASCII digits, a-z and non-ASCII characters. A window is ``window`` consecutive
-item words; an item with fewer words, but not none, is one window. Defined cases: null texts have no words; null items
+over its words, once, sorted as deep as the longest window; every suffix of every benchmark item with at least a window's
+words is binary-searched in it by its first window, for all items at once. The interval found holds all places of the
+window: these are the verbatim matches and their locations. Matches that follow each other on one diagonal join into the
+longest match from there, so the common prefix of two suffixes comes out whole; suffixes shorter than a window match
+nothing of their own.
+
+The benchmark is the query side. It is read in blocks of bounded size, one at a time on the driver, and each block's
+windows, without repeats, are a broadcast of bounded size. A task searches its shard for one block after another, so the
+texts are scanned once, nothing is shuffled, and a text's matches stay with its row.
+
+Words: A-Z lower-cased, then runs of ASCII digits, a-z and non-ASCII characters, compared by 64-bit keys. A window is
+``window`` consecutive item words; an item with fewer words, but not none, is one window. Defined cases: null texts have no words; null items
 and items without words match nothing; items with a null id are left out; repeated item ids count once; repeated rows of
-documents each get a row; windows never cross texts; a window of more words than the array is sorted by is refused.
+documents each get a row; windows never cross texts.
 """
 
 from __future__ import annotations
@@ -21,38 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM_TABLE, as_bytes, blocks
+from ._common import ALNUM_TABLE, Rolling, WordKeys, as_bytes, blocks
 
 #: Words of a shard; one text of more makes a shard of its own.
 SHARD_WORDS = 400_000
 #: Bytes of benchmark text that are searched at once.
 BLOCK_BYTES = 8 << 20
+#: Windows that are searched at once.
+SEARCHED = 1 << 16
 _BITS = 21  # of a word's number or a rank: three fit 63 bits
-_DEPTH = 18
-
-
-class _Numbers(dict):
-    """Words to numbers from 1 on; the benchmark's come first and stay."""
-
-    def __init__(self, fixed: dict[bytes, int]) -> None:
-        super().__init__(fixed)
-        self.fixed = fixed
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self) + 1
-        return value
+_keys = WordKeys()
 
-    def make_room(self, words: int) -> None:
-        if len(self) + words >= 1 << _BITS:
-            self.clear()
-            self.update(self.fixed)
 
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(ALNUM_TABLE).split()
+def keys_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of all texts, and the number of words of each."""
+    return _keys.of_texts([(t or b"").translate(ALNUM_TABLE) for t in texts])
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +52,11 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ranks
 
 
-def suffix_array(numbers: np.ndarray) -> np.ndarray:
-    """Positions sorted by their next 18 words at least; a number below all others ends each text."""
+def suffix_array(numbers: np.ndarray, depth: int) -> np.ndarray:
+    """Positions sorted by their next ``depth`` numbers at least; the end is below all numbers. Fewer than 2**31 of them."""
     n = len(numbers)
+    if not n:
+        return np.zeros(0, np.int64)
 
     def shifted(x: np.ndarray, by: int) -> np.ndarray:
         return np.append(x[by:], np.zeros(min(by, n), np.int64))[:n]
@@ -72,167 +64,207 @@ def suffix_array(numbers: np.ndarray) -> np.ndarray:
     def tripled(x: np.ndarray, by: int) -> np.ndarray:
         return (x << (2 * _BITS)) | (shifted(x, by) << _BITS) | shifted(x, 2 * by)
 
-    if n >= 1 << _BITS or n and numbers.max() >= 1 << _BITS:  # one text too long to pack: word by word from the last
-        order = np.arange(n)
-        for at in range(_DEPTH - 1, -1, -1):
-            order = order[np.argsort(shifted(numbers, at)[order], kind="stable")]
-        return order
-    order, ranks = _ranks(tripled(numbers, 1))
-    order, ranks = _ranks(tripled(ranks + 1, 3))
-    tied = np.append(False, np.diff(ranks[order]) == 0)
-    tied[:-1] |= tied[1:]
-    at = np.flatnonzero(tied)
-    if len(at):  # only suffixes that agree in nine words need the next nine
+    if n < 1 << _BITS and numbers.max() < 1 << _BITS:
+        order, ranks = _ranks(tripled(numbers, 1))
+        done = 3
+        if depth > done:
+            order, ranks = _ranks(tripled(ranks + 1, done))
+            done = 9
+    else:
+        order, ranks = _ranks(numbers)
+        done = 1
+    while done < depth:  # only suffixes that agree so far need what follows
+        tied = np.append(False, np.diff(ranks[order]) == 0)
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        keys = (ranks << 32) | shifted(ranks + 1, done)
         rows = order[at]
-        later = shifted(ranks + 1, 9)[rows]
-        order[at] = rows[np.argsort((ranks[rows] << 32) | later, kind="stable")]
+        order[at] = rows[np.argsort(keys[rows], kind="stable")]
+        ranks[order] = np.cumsum(np.append(0, np.diff(keys[order]) != 0))
+        done *= 2
     return order
 
 
-class _Queries:
-    """All windows of a block of benchmark items, as rows of word numbers."""
+class Windows:
+    """The distinct windows of a block of benchmark items, and the items and offsets at which each stands."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int) -> None:
-        self.numbers: dict[bytes, int] = {}
-        rows, sizes, item, at = [], [], [], []
-        for item_id, text in items:
-            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            for p in range(max(len(own) - window + 1, min(len(own), 1))):
-                rows.append((own[p : p + window] + [0] * window)[:window])
-                sizes.append(min(window, len(own)))
-                item.append(item_id)
-                at.append(p)
-        self.rows = np.array(rows, np.int64).reshape(len(rows), window)
-        self.size, self.item, self.at = (np.array(x, np.int64) for x in (sizes, item, at))
-
-    def search(self, text: np.ndarray, order: np.ndarray, upper: bool) -> np.ndarray:
-        """First place in the suffix array at (or, with upper, past) the suffixes that start with each window."""
-        width = self.rows.shape[1]
-        padded = np.append(text, np.zeros(width, np.int64))
-        low, high = np.zeros(len(self.rows), np.int64), np.full(len(self.rows), len(order), np.int64)
-        used = np.arange(width)[None, :] < self.size[:, None]
+        self.words, counts = keys_of([text for _, text in items])
+        begins = np.cumsum(counts) - counts
+        many = np.where(counts >= window, counts - window + 1, np.minimum(counts, 1))  # windows of each item
+        owner = np.repeat(np.arange(len(items)), many)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        start, size = begins[owner] + at, np.minimum(window, counts)[owner]
+        rolling = Rolling()
+        sums = rolling.prefix(self.words)
+        key = (sums[start + size] - sums[start]) * rolling.inverse[start] + size.astype(np.uint64)
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.size = start[first], size[first]
+        order = np.argsort(of, kind="stable")
+        self.item, self.at = np.array([i for i, _ in items], np.int64)[owner][order], at[order]
+        self.pairs = np.searchsorted(of[order], np.arange(len(first) + 1))  # those of each window
+
+
+def _spread(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, low[row] + 0, 1, ...) for count[row] entries of each row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+
+
+class Shard:
+    """The suffix array of some texts, and what has been found in each."""
+
+    def __init__(self, texts: list[bytes | None], window: int) -> None:
+        keys, self.sizes = keys_of(texts)
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.distinct, numbers = np.unique(keys, return_inverse=True)
+        self.text = np.zeros(len(keys) + len(texts), np.int64)  # 0 ends each text
+        self.text[np.arange(len(keys)) + np.repeat(np.arange(len(texts)), self.sizes)] = numbers + 1
+        self.order = suffix_array(self.text, window)
+        self.padded = np.append(self.text, np.zeros(window, np.int64))
+        self.ranges: list[list[dict]] = [[] for _ in texts]
+        self.items: list[set[int]] = [set() for _ in texts]
+        self.matches: list[list[dict]] = [[] for _ in texts]
+
+    def _bound(self, rows: np.ndarray, size: np.ndarray, upper: bool) -> np.ndarray:
+        """First place in the suffix array at (or, with upper, past) the suffixes that start with each row of numbers."""
+        width = rows.shape[1]
+        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.order), np.int64)
+        used = np.arange(width)[None, :] < size[:, None]
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) >> 1
-            found = padded[order[mid][:, None] + np.arange(width)]
-            differs = (found != self.rows[open_]) & used[open_]
+            found = self.padded[self.order[mid][:, None] + np.arange(width)]
+            differs = (found != rows[open_]) & used[open_]
             first = differs.argmax(1)
             row = np.arange(len(open_))
             equal = ~differs[row, first]
-            less = np.where(equal, upper, found[row, first] < self.rows[open_, first])
+            less = np.where(equal, upper, found[row, first] < rows[open_, first])
             low[open_[less]], high[open_[~less]] = mid[less] + 1, mid[~less]
         return low
 
-
-def _longest(size: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Words of the longest verbatim match in each text: windows that follow each other in item and text join."""
-    out = np.zeros(n_docs, np.int64)
-    if len(place):
+    def search(self, windows: Windows, window: int) -> None:
+        """Add the matches of a block's windows."""
+        if not len(windows.start) or not len(self.distinct):
+            return
+        at = np.minimum(np.searchsorted(self.distinct, windows.words), len(self.distinct) - 1)
+        numbers = np.where(self.distinct[at] == windows.words, at + 1, 0)  # 0: not in this shard
+        missing = np.append(0, np.cumsum(numbers == 0))
+        alive = np.flatnonzero(missing[windows.start + windows.size] == missing[windows.start])
+        numbers = np.append(numbers, np.zeros(window, np.int64))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(alive), SEARCHED):
+            own = alive[a : a + SEARCHED]
+            rows, size = numbers[windows.start[own][:, None] + np.arange(window)], windows.size[own]
+            low, high = self._bound(rows, size, False), self._bound(rows, size, True)
+            row, place = _spread(low, high - low)
+            found.append((own[row], self.order[place]))
+        if found and sum(len(w) for w, _ in found):
+            self._keep(windows, *(np.concatenate(x) for x in zip(*found)))
+
+    def _keep(self, windows: Windows, which: np.ndarray, place: np.ndarray) -> None:
+        doc = np.searchsorted(self.starts, place, "right") - 1
+        by = np.lexsort((place, doc))
+        cuts = np.flatnonzero(np.diff(doc[by], prepend=-1))
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist()):
+            d = int(doc[by[a]])
+            begin = place[by[a:b]] - self.starts[d]
+            end = np.maximum.accumulate(begin + windows.size[which[by[a:b]]])
+            cut = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+            self.ranges[d] += [{"a": x, "b": y} for x, y in zip(begin[cut].tolist(), end[np.append(cut[1:], b - a) - 1].tolist())]
+        row, pair = _spread(windows.pairs[which], windows.pairs[which + 1] - windows.pairs[which])
+        item, at, place, size = windows.item[pair], windows.at[pair], place[row], windows.size[which[row]]
         order = np.lexsort((place, place - at, item))
         new = np.append(True, (np.diff(place[order]) != 1) | (np.diff((place - at)[order]) != 0) | (np.diff(item[order]) != 0))
         start = np.flatnonzero(new)
         run = np.diff(np.append(start, len(order))) - 1 + size[order][start]
-        np.maximum.at(out, doc[order][start], run)
+        first = order[start]
+        own = np.searchsorted(self.starts, place[first], "right") - 1
+        for d, i, x, y, n in zip(own.tolist(), item[first].tolist(), at[first].tolist(), (place[first] - self.starts[own]).tolist(), run.tolist()):
+            self.items[d].add(i)
+            self.matches[d].append({"item_id": i, "item_start": x, "start": y, "n_words": n})
+
+    def longest(self) -> list[int]:
+        return [max((m["n_words"] for m in own), default=0) for own in self.matches]
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
+    """Broadcasts of the windows of items whose texts hold ``block_bytes`` at most (or one item), made one at a time."""
+    if window < 1:
+        raise ValueError("a window has at least one word")
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    out: list[Broadcast] = []
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            out.append(benchmark.sparkSession.sparkContext.broadcast(Windows(held, window)))
+        held, size = [], 0
+
+    for row in items.toLocalIterator():
+        text = row["text"].encode()
+        if size + len(text) > block_bytes:
+            flush()
+        held.append((row["item_id"], text))
+        size += len(text)
+    flush()
     return out
 
 
-def _searched(items: list[tuple[int, bytes]], window: int):
-    if not 1 <= window <= _DEPTH:
-        raise ValueError(f"a window has 1 to {_DEPTH} words, as suffixes are sorted by their first {_DEPTH}")
-    queries_of: list[_Queries] = []
-
-    def shard(texts: list[list[bytes]], numbers: _Numbers, queries: _Queries) -> list[tuple]:
-        """(words, hit words, ranges of hit words, items, longest match) for each text."""
-        sizes = np.array([len(t) for t in texts])
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        text = np.zeros(int(sizes.sum()) + len(texts), np.int64)  # 0 ends each text
-        for words, a in zip(texts, starts.tolist()):
-            text[a : a + len(words)] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        if not len(queries.rows):
-            return [(n, [], [], 0) for n in sizes.tolist()]
-        order = suffix_array(text)
-        low, high = queries.search(text, order, False), queries.search(text, order, True)
-        count = high - low
-        query = np.repeat(np.arange(len(count)), count)
-        place = order[np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-        doc = np.searchsorted(starts, place, "right") - 1
-        longest = _longest(queries.size[query], queries.item[query], queries.at[query], place, doc, len(texts))
-        out: list[tuple] = [(n, [], [], m) for n, m in zip(sizes.tolist(), longest.tolist())]
-        by = np.lexsort((place, doc))
-        cuts = np.flatnonzero(np.append(True, np.diff(doc[by]) != 0)) if len(by) else np.zeros(0, np.int64)
-        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist()):
-            rows = by[a:b]
-            d = int(doc[rows[0]])
-            begin = place[rows] - starts[d]
-            end = np.maximum.accumulate(begin + queries.size[query[rows]])
-            cut = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
-            ranges = [{"a": x, "b": y} for x, y in zip(begin[cut].tolist(), end[np.append(cut[1:], len(rows)) - 1].tolist())]
-            out[d] = (out[d][0], ranges, np.unique(queries.item[query[rows]]).tolist(), out[d][3])
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
-        if not queries_of:
-            queries_of.append(_Queries(items, window))
-        queries = queries_of[0]
-        numbers = _Numbers(queries.numbers)
+def _searched(blocks_: list[Broadcast], window: int):
+    """Batches of rows with the shard of their texts, searched for all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Shard]]:
+        def done(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, Shard]:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            shard = Shard(as_bytes(table.column("text")), window)
+            for block in blocks_:
+                shard.search(block.value, window)
+            return table, shard
+
         held: list[pa.RecordBatch] = []
-        texts: list[list[bytes]] = []
+        size = 0
         for batch in blocks(batches, 64):
             held.append(batch)
-            texts += [words_of(x) for x in as_bytes(batch.column("text"))]
-            if sum(map(len, texts)) >= SHARD_WORDS:
-                numbers.make_room(sum(map(len, texts)))
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], shard(texts, numbers, queries)
-                held, texts = [], []
-        if texts:
-            numbers.make_room(sum(map(len, texts)))
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], shard(texts, numbers, queries)
+            size += batch.column("text").nbytes
+            if size >= 6 * SHARD_WORDS:  # bytes; a word with its blank has about six
+                yield done(held)
+                held, size = [], 0
+        if held:
+            yield done(held)
 
     return run
 
 
-_RESULT = "n_words long, ranges array<struct<a:int,b:int>>, items array<long>, longest_match long"
-_FOUND = f"doc_id long, {_RESULT}"
-_CARRIED = f"doc_id long, text string, {_RESULT}"  # for the next block
+_MATCH = "struct<item_id:long,item_start:int,start:int,n_words:int>"
+_FOUND = f"doc_id long, n_words long, ranges array<struct<a:int,b:int>>, items array<long>, matches array<{_MATCH}>"
 
 
-def _matches(items: list[tuple[int, bytes]], window: int, carried: tuple[str, ...]):
-    """Adds a block's matches to those of the blocks before it; ``carried`` names the columns that pass through."""
-    search = _searched(items, window)
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each document: its words, ranges of words inside matches, the items found and the longest verbatim matches with
+    their places in item and document."""
+    search = _searched(benchmark_blocks(benchmark, window, block_bytes), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.int64()), pa.int64()]
-        for batch, found in search(batches):
-            if "ranges" in batch.schema.names:
-                earlier = zip(*(batch.column(c).to_pylist() for c in ("ranges", "items", "longest_match")))
-                found = [(n, r0 + r, list(dict.fromkeys(i0 + i)), max(m0, m)) for (n, r, i, m), (r0, i0, m0) in zip(found, earlier)]
-            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*found), kinds)]
-            yield pa.record_batch([*[batch.column(n) for n in carried], *columns], names=[*carried, "n_words", "ranges", "items", "longest_match"])
+        small = pa.int32()
+        kinds = [pa.int64(), pa.list_(pa.struct([("a", small), ("b", small)])), pa.list_(pa.int64()), pa.list_(pa.struct([("item_id", pa.int64()), ("item_start", small), ("start", small), ("n_words", small)]))]
+        for batch, shard in search(batches):
+            found = (shard.sizes.tolist(), shard.ranges, [sorted(x) for x in shard.items], shard.matches)
+            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, found, kinds)], names=["doc_id", "n_words", "ranges", "items", "matches"])
 
-    return run
+    return _columns(docs).mapInArrow(run, _FOUND)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks whose texts hold ``block_bytes`` at most (or one item), all on the driver."""
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out: list[list[tuple[int, bytes]]] = [[]]
-    size = 0
-    for row in items.toLocalIterator():
-        text = row["text"].encode()
-        if out[-1] and size + len(text) > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((row["item_id"], text))
-        size += len(text)
-    return out
+def match_locations(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each longest verbatim match: doc_id, item_id, and its first word in the item and in the document, n_words."""
+    return find_matches(docs, benchmark, window, block_bytes).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each document: its words, ranges of words inside matches, the items found and the longest match."""
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    *first, last = benchmark_blocks(benchmark, block_bytes)
-    for part in first:
-        columns = columns.mapInArrow(_matches(part, window, ("doc_id", "text")), _CARRIED)
-    return columns.mapInArrow(_matches(last, window, ("doc_id",)), _FOUND)
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _n_hit(ranges: list[dict]) -> int:
@@ -243,33 +275,30 @@ def _n_hit(ranges: list[dict]) -> int:
     return total
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [_n_hit(r) for r in batch.column("ranges").to_pylist()]
-        names = [sorted({str(i) for i in x}) for x in batch.column("items").to_pylist()]
-        yield pa.record_batch(
-            [
-                batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), batch.column("longest_match"),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
-        )
-
-
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document: words, hit words, number and digest of the items found, verdict, longest match."""
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-    return find_matches(docs, benchmark, window, block_bytes).mapInArrow(_digest, schema)
+    search = _searched(benchmark_blocks(benchmark, window, block_bytes), window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, shard in search(batches):
+            hits, names = [_n_hit(r) for r in shard.ranges], [sorted(map(str, x)) for x in shard.items]
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"), pa.array(shard.sizes), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), pa.array(shard.longest(), pa.int64()),
+                ],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
+            )
+
+    return _columns(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a window of the benchmark, with all their columns."""
-    for part in benchmark_blocks(benchmark, block_bytes):
-        search = _searched(part, window)
+    search = _searched(benchmark_blocks(benchmark, window, block_bytes), window)
 
-        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
-            for batch, found in search(batches):
-                yield batch.filter(pa.array([not x[1] for x in found], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, shard in search(batches):
+            yield batch.filter(pa.array([not x for x in shard.ranges], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
