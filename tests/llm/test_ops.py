@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from compare import same
+from vismatch.llm._common import WordKeys
 from vismatch.llm import decontam, licenses, lm_score, mixing, pii, quality, queries, simhash, suffix_dedup, token_files, warc
 
 TOKENIZER = queries.tokenizer_file()
@@ -115,9 +116,47 @@ def test_blocks_of_the_benchmark_agree(spark, docs, data):
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(1)
     for numbers in (rng.integers(1, 4, 500), np.ones(300, np.int64), rng.integers(1, 1 << 21, 50), np.array([1 << 40, 3, 1 << 40, 3])):
-        order = decontam.suffix_array(numbers.astype(np.int64))
-        keys = [tuple(np.append(numbers[i : i + 18], [0] * 18)[:18]) for i in order]
-        assert keys == sorted(keys) and sorted(order) == list(range(len(numbers)))
+        for depth in (1, 3, 10, 18, 60):
+            order = decontam.suffix_array(numbers.astype(np.int64), depth)
+            keys = [tuple(np.append(numbers[i : i + depth], [0] * depth)[:depth]) for i in order]
+            assert keys == sorted(keys) and sorted(order) == list(range(len(numbers)))
+
+
+def matches_of(docs, items, window):
+    """Longest verbatim matches by brute force, and the words that each document has inside windows."""
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    found, hits = set(), Counter()
+    for d, text in docs:
+        w, hit = tokens(text), set()
+        for i, item in items:
+            v = tokens(item)
+            size = min(window, len(v))
+            for x in range(len(v) - size + 1 if v else 0):
+                for y in range(len(w) - size + 1):
+                    if v[x : x + size] == w[y : y + size]:
+                        hit |= set(range(y, y + size))
+                        if x and y and v[x - 1] == w[y - 1] and v[x - 1 : x - 1 + size] == w[y - 1 : y - 1 + size]:
+                            continue
+                        n = size
+                        while x + n < len(v) and y + n < len(w) and v[x + n] == w[y + n]:
+                            n += 1
+                        found.add((d, i, x, y, n))
+        hits[d] = len(hit)
+    return found, hits
+
+
+@pytest.mark.parametrize("window", [1, 4, 25])
+def test_matches_are_those_of_brute_force(spark, monkeypatch, window):
+    rng = random.Random(window)
+    word = lambda: rng.choice(["a", "B", "c,", "\u00e9", "d"])
+    items = [(i, " ".join(word() for _ in range(rng.randrange(40)))) for i in range(12)] + [(99, " ".join("abc"[k % 3] for k in range(60)))]
+    docs = [(d, " ".join(word() for _ in range(rng.randrange(30))) + " " + rng.choice(items)[1] + " z " + rng.choice(items)[1][:50]) for d in range(40)]
+    monkeypatch.setattr(decontam, "SEARCHED", 7)
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want, hits = matches_of(docs, items, window)
+    for size in (8 << 20, 60):
+        assert {tuple(r) for r in decontam.match_locations(*frames, window, size).collect()} == want
+    assert {r.doc_id: r.n_hit for r in decontam.contamination_report(*frames, window).collect()} == hits
 
 
 def test_decontamination_on_odd_tables(spark, odd, empty):
@@ -128,7 +167,7 @@ def test_decontamination_on_odd_tables(spark, odd, empty):
     assert {r.items_sha256 for r in decontam.contamination_report(odd, benchmark.limit(0)).collect()} == {none}
     assert report(decontam.contamination_report(odd.repartition(3), benchmark, block_bytes=1)) == report(decontam.contamination_report(odd, benchmark))
     with pytest.raises(ValueError):
-        decontam.find_matches(odd, benchmark, window=19)
+        decontam.find_matches(odd, benchmark, window=0)
     assert decontam.contamination_report(empty, benchmark).count() == 0
 
 
@@ -509,16 +548,65 @@ def test_steps_along_a_text_are_those_by_contexts():
     assert np.allclose(one.rows, two.rows, atol=1e-4) and not np.allclose(one.rows, start, atol=1e-3)
 
 
+def test_keys_of_words():
+    texts = [b"", None, b"A b\ta", "\u00c9\u00e9 \u6f22".encode(), b" lead and  trail \n", b"x" * 300 + b" y", b"\x00 \x01", b"\n"]
+    keys, counts = lm_score.keys_of(texts)
+    own = [(t or b"").lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in own]
+    assert keys.tolist() == [lm_score._signed(WordKeys.of(w)) for words_ in own for w in words_]
+    assert [len(x) for x in lm_score.keys_of([])] == [0, 0]
+
+
+def test_scores_are_those_of_a_plain_loop(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "VECTORS", 300)
+    vocabulary = [f"w{i}" for i in range(500)]
+    counts = np.arange(500, 0, -1)
+    head = (lm_score.keys_of([" ".join(vocabulary[:450]).encode()])[0], counts[:450], 90)
+    n, v = int(counts.sum()) + 90, 501
+    known = np.concatenate([[0, 90], head[1][:300]]).astype(float)
+    known[0] = n - known.sum()
+    classes, grouped = lm_score._class_counts(known)
+    shares = (classes + 1) / (classes + 1).sum()
+    rng = np.random.default_rng(6)
+    model = lm_score.LogBilinear(shares, grouped)
+    model.rows += rng.standard_normal(model.rows.shape).astype(np.float32) * 0.3
+    texts = [" ".join(rng.choice([*vocabulary, "new"], size)) for size in (0, 1, 3, 40)]
+    rest = known[0] + 0.1 * (v - len(known) + 2)
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    found = next(lm_score._scored(head, shares, grouped, model.rows, n, v, rest)(iter([batch]))).to_pylist()
+    rows, w = model.rows.astype(float), lm_score.WIDTH
+    for text, got in zip(texts, found):
+        places = [vocabulary.index(x) + 2 if x in vocabulary[:450] else 0 for x in text.split()] + [1]
+        seen, total = [model.before] * lm_score.CONTEXT, 0.0
+        for place in places:
+            own = place if place < 302 else 0
+            q = sum(rows[model.c0 + i, :w] * rows[seen[-1 - i], :w] for i in range(lm_score.CONTEXT))
+            softmax = lambda of: np.exp(of[:, :w] @ q + of[:, w]) / np.exp(of[:, :w] @ q + of[:, w]).sum()  # noqa: B023, E731
+            of_class = softmax(rows[model.q0 : model.u0])
+            group = (own - model.own) // lm_score.GROUP
+            total += np.log10(of_class[own if own < model.own else model.own + group])
+            if own >= model.own:
+                first = model.u0 + group * lm_score.GROUP
+                total += np.log10(softmax(rows[first : min(first + lm_score.GROUP, model.c0)])[own - model.own - group * lm_score.GROUP])
+            if place != own:
+                total += np.log10((counts[place - 2] + 0.1) / rest)
+            seen.append(own)
+        assert got["score_head"] == pytest.approx(total, abs=2e-3)
+        assert sum(got["times"]) == places.count(0) and got["n_tokens"] == len(places)
+
+
 def test_every_position_is_a_target(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(lm_score.LogBilinear, "_against_noise", lambda self, q, targets, rng, f=lm_score.LogBilinear._against_noise: (seen.extend(targets.tolist()), f(self, q, targets, rng))[1])
-    monkeypatch.setattr(lm_score, "RUN", 200)
+    monkeypatch.setattr(lm_score, "TRAINED_AT_ONCE", 200)
     import pyarrow as pa
 
     texts = [" ".join(f"w{(i * j) % 40}" for j in range(5 * i)) for i in range(1, 60)]
     counts = Counter(w for t in texts for w in t.encode().split())
     top = counts.most_common()
-    head = (np.array([lm_score.key_of(w) for w, _ in top]), np.array([n for _, n in top]), len(texts))
+    head = (np.array([lm_score._signed(WordKeys.of(w)) for w, _ in top]), np.array([n for _, n in top]), len(texts))
     known = np.concatenate([[0, len(texts)], head[1]]).astype(float)
     classes, grouped = lm_score._class_counts(known)
     shares = (classes + 1) / (classes + 1).sum()

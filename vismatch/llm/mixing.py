@@ -4,20 +4,22 @@ Targets: the sources, by code point with null last, get the weights in turn; tog
 texts have. No source gets more than ``cap`` times its words; what is over goes to the others by weight. That is
 target = min(cap * size, level * weight) with one level for all, found from running sums over the sources.
 
-Inside a source the texts are put in the order of a hash of their id. The mix walks this order again and again until the
+Inside a source the texts are put in the order of a hash of their id and text. The mix walks this order again and again until the
 target is reached, so a text is taken ``floor(target / size of source)`` times, and those before the cut once more.
 
 Curriculum: each weight has a schedule, a multiplier over training time given by knots and linear between them. Its
 integral is the source's cumulative demand; inverting it at the words that come before a text gives the text's training
 position in [0, 1). Documents are range-sorted by position.
 
-Running sums over a source are made in two levels: sums of (source, bucket of the hash), then inside a bucket. Buckets
-hold about ``bucket_rows`` rows of the whole table, so a source with a third of all rows is spread over many. The plan has
-a row for each source and bucket, and rows and texts meet it on both, so no join brings a whole source into one task.
+Running sums over a source are made in two levels: sums of (source, bucket of the hash), then inside a bucket. A source
+has a bucket for about ``bucket_rows`` of its rows, so one with a third of all rows is spread over many. The plan has a
+row for each source and bucket, and rows and texts meet it on both, so no join brings a whole source into one task.
+``mix_report`` inverts the demand at the exact word; ``mix_documents`` does so to within a bucket, whose words it takes
+as spread evenly over its hashes, so that texts meet the plan only and are shuffled once.
 
 Defined cases: null and empty texts have size 0 and are never taken; sources that are null form one source, last; a
-source of size 0 has target 0; repeated rows each count; null ids share one place in the order; an empty table gives an
-empty mix; other columns pass through ``mix_documents``.
+source of size 0 has target 0; repeated rows each count and share one place in the order; an empty table gives an empty
+mix; other columns pass through ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -60,18 +62,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     )
 
 
-def _place(doc_id: Column) -> Column:
-    return F.xxhash64(doc_id, F.lit("mix"))
+def _place(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, F.xxhash64(text), F.lit("mix"))
 
 
-def _bucket(place: Column, buckets: int) -> Column:
-    return F.floor((F.shiftright(place, 48) + 32768) * buckets / 65536).cast("int")
+def _bucket(place: Column, buckets: Column) -> Column:
+    """Buckets follow each other as places do."""
+    return F.floor((F.shiftright(place, 33) + (1 << 30)) * buckets / (1 << 31)).cast("int")
 
 
-def _planned(sizes: DataFrame, folder: str, buckets: int, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+def _bucketed(rows: DataFrame, source: Column, place: Column, counts: DataFrame) -> DataFrame:
+    """rows with _bucket and _buckets, the number of its source's buckets. counts: _source, _buckets, a row a source."""
+    joined = rows.join(counts, source.eqNullSafe(F.col("_source"))).drop("_source")
+    return joined.withColumn("_bucket", _bucket(place, F.col("_buckets")))
+
+
+def _planned(sizes: DataFrame, folder: str, counts: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the words of their source before them, and the plan: for each source (_s) and bucket (_b) the words before
     it and in it, with the source's size, target, whole turns and the cut of the last one."""
-    placed = sizes.withColumn("place", _place(F.col("doc_id"))).withColumn("bucket", _bucket(F.col("place"), buckets))
+    placed = _bucketed(sizes, F.col("source"), F.col("place"), counts).withColumnRenamed("_bucket", "bucket").drop("_buckets")
     sums = materialise(placed.groupBy("source", "bucket").agg(F.sum("size").alias("words")), f"{folder}/sums")
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("words").over(by_source), F.lit(0)).alias("bucket_start"), "words")
@@ -105,18 +114,20 @@ def position(done: Column, total: Column, weight_no: Column, schedules=SCHEDULES
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), _place(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("place"))
 
 
-def _buckets(docs: DataFrame, bucket_rows: int) -> int:
-    return max(1, min(65536, -(-docs.count() // bucket_rows)))
+def _counts(sizes: DataFrame, folder: str, bucket_rows: int) -> DataFrame:
+    """_source and the number of its buckets: a row a source, written so that its size is known where it is joined."""
+    counted = sizes.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count("*") / bucket_rows).cast("long").alias("_buckets"))
+    return materialise(counted, f"{folder}/counts")
 
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each document: size, its source's size and target, words taken, first position; sorted by position."""
     folder = shared_dir(docs.sparkSession)
     sizes = materialise(_sizes(docs), f"{folder}/sizes")
-    rows, _ = _planned(sizes, folder, _buckets(sizes, bucket_rows), weights, cap)
+    rows, _ = _planned(sizes, folder, _counts(sizes, folder, bucket_rows), weights, cap)
     taken = F.col("turns") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - F.col("start")))
     at = F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("mixed").cast("double"), F.col("weight_no"), schedules))
     out = rows.withColumn("taken", taken.cast("long")).withColumn("position", at)
@@ -133,22 +144,22 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SC
     is made on ids and sizes; the texts meet only a table of one row a source and bucket."""
     folder = shared_dir(docs.sparkSession)
     sizes = materialise(_sizes(docs), f"{folder}/sizes")
-    buckets = _buckets(sizes, bucket_rows)
-    rows, plan = _planned(sizes, folder, buckets, weights, cap)
+    counts = _counts(sizes, folder, bucket_rows)
+    rows, plan = _planned(sizes, folder, counts, weights, cap)
     before = rows.filter((2 * (F.col("cut") - F.col("start")) >= F.col("size")) & (F.col("size") > 0) & (F.col("start") < F.col("cut")))
     last = before.groupBy(F.col("source").alias("_l")).agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("last"))
     table = plan.join(last, F.col("_s").eqNullSafe(F.col("_l")), "left").drop("_l")
     table = table.select("_s", "_b", F.struct(*[c for c in table.columns if c not in ("_s", "_b")]).alias("_plan"))
     table = materialise(table, f"{folder}/table")
     # the row as one column, so that no name of its own can clash
-    packed = docs.select(F.struct("*").alias("_row"))
-    place = _place(F.col("_row.doc_id").cast("long"))
-    joined = packed.join(table, F.col("_row.source").cast("string").eqNullSafe(F.col("_s")) & (_bucket(place, buckets) == F.col("_b")))
+    packed = docs.select(F.struct("*").alias("_row"), _place(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_place"))
+    source, place, buckets = F.col("_row.source").cast("string"), F.col("_place"), F.col("_buckets")
+    joined = _bucketed(packed, source, place, counts).join(table, source.eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     key = F.struct(place.alias("place"), F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
     once_more = F.coalesce(key <= F.col("_plan.last"), F.lit(False)).cast("long")
     copies = F.when(size_of(F.col("_row.text").cast("string")) > 0, F.col("_plan.turns") + once_more).otherwise(F.lit(0))
     # words before the text, to within its bucket: a bucket's words are spread evenly over its hashes
-    share = (F.shiftright(place, 16).cast("double") / (1 << 48) + 0.5) * buckets - _bucket(place, buckets)
+    share = (F.shiftright(place, 16).cast("double") / (1 << 48) + 0.5) * buckets - F.col("_bucket")
     start = F.col("_plan.bucket_start") + share * F.col("_plan.words")
     dealt = joined.withColumn("_copies", copies.cast("int")).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     done = start + F.col("_copy") * F.col("_plan.source_size")
