@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vismatch import __main__ as command
 from vismatch.functions import geometry, pixels, vectors
 from vismatch.operators import encode, incremental, index, search, stats
 from vismatch.plans import jobs
 from vismatch.sources import catalogue, sinks
+from vismatch.session import clear_shared, shared_dir
 from vismatch.streaming import ingest
 
 
@@ -79,7 +81,7 @@ def test_images_are_listed_decoded_and_encoded(spark, tmp_path):
     listed = catalogue.list_images(spark, str(tmp_path))
     assert sorted(r.rel_path for r in listed.select("rel_path").collect()) == ["p1/a.jpg", "p1/a.png", "p2/broken.jpg", "p2/deep/B.JPG"]
     images = catalogue.read_images(spark, str(tmp_path))
-    assert images.filter("error is not null").count() >= 1
+    assert [r.path.rsplit("/", 1)[1] for r in images.filter("error is not null").collect()] == ["broken.jpg"]
     encoded = encode.encode(images, encode.ColourGrid()).filter("embedding is not null").collect()
     assert len(encoded) == 3 and all(np.linalg.norm(r.embedding) == pytest.approx(1) for r in encoded)
     records = encode.preprocess(images, encode.WholeImage(), size=32)
@@ -142,3 +144,214 @@ def test_pixels():
 def test_overlapping_boxes_are_suppressed():
     kept = encode.suppress([(0, 0, 10, 10, 0.9), (1, 1, 10, 10, 0.8), (20, 20, 30, 30, 0.5), (0, 0, 1, 1, 0.1)])
     assert [b[4] for b in kept] == [0.9, 0.5]
+
+
+def brute(queries, table, k):
+    out = set()
+    for q, v in queries:
+        d = sorted((float(((np.array(v) - np.array(x)) ** 2).sum()), key) for key, x in table)
+        out |= {(q, rk, key) for rk, (_, key) in enumerate(d[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_nearest_of_many_blocks_are_those_of_brute_force(spark, monkeypatch, scale):
+    monkeypatch.setattr(search, "QUERY_ROWS", 7)
+    monkeypatch.setattr(search, "TABLE_ROWS", 40)
+    rng = np.random.default_rng(8)
+    table = [(f"k{i}", (rng.integers(0, 3, 4) + scale).tolist()) for i in range(300)]  # many ties
+    asked = [(i, x) for i, (_, x) in enumerate(table[::15])]
+    frames = spark.createDataFrame(asked, "qid long, v array<double>"), spark.createDataFrame(table, "key string, v array<double>")
+    assert {(r.qid, r.rk, r.key) for r in search.knn(*frames, "key", 5).collect()} == brute(asked, table, 5)
+    assert search.knn(frames[0], frames[1].limit(0), "key", 5).count() == 0
+    numbered = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(table)], "key long, v array<double>")
+    own = search.knn(numbered.filter("key % 20 = 0").withColumnRenamed("key", "qid"), numbered, "key", 3, exclude_self=True).collect()
+    assert all(r.qid != r.key for r in own) and len(own) == 45
+
+
+def test_plan_of_a_search_does_not_grow_with_the_queries(spark, monkeypatch):
+    rows = spark.range(0, 400).select(F.col("id").alias("key"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    scans = []
+    for block in (1_000, 5):
+        monkeypatch.setattr(search, "QUERY_ROWS", block)
+        plan = search.knn(rows.withColumnRenamed("key", "qid"), rows, "key", 2)._jdf.queryExecution().executedPlan().toString()
+        scans.append(plan.count("Range ("))
+    assert scans == [2, 2]
+
+
+def test_cosines_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "HELD_ROWS", 3)
+    rng = np.random.default_rng(9)
+    images = [(f"p{i % 4}/{i}", f"p{i % 4}", rng.standard_normal(5).tolist()) for i in range(40)]
+    asked = [(i, rng.standard_normal(5).tolist()) for i in range(6)]
+    frames = spark.createDataFrame(asked, "qid long, v array<double>"), spark.createDataFrame(images, "image_id string, part_id string, embedding array<double>")
+    want = {(q, p): max(float(np.dot(v, x)) for _, part, x in images if part == p) for q, v in asked for p in ("p0", "p1", "p2", "p3")}
+    assert {(r.qid, r.part_id): pytest.approx(r.cos) for r in search.all_cosines(*frames).collect()} == want
+    pairs = spark.createDataFrame([(0, "p1"), (0, "p2"), (3, "p0"), (3, "p0"), (5, "no")], "qid long, part_id string")
+    assert {(r.qid, r.part_id): pytest.approx(r.cos) for r in search.best_cosines(frames[0], pairs, frames[1]).collect()} == {k: want[k] for k in ((0, "p1"), (0, "p2"), (3, "p0"))}
+
+
+def test_means_in_many_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 7 == 0 else f"k{i % 5}", rng.standard_normal(3).tolist()) for i in range(60)] + [("k1", None)]
+    df = spark.createDataFrame(rows, "key string, v array<float>").repartition(3)
+    want = {k: np.mean([x for key, x in rows if key == k and x], axis=0) for k in {k for k, _ in rows}}
+    found = {r.key: (r.v, r.n) for r in vectors.vector_mean(df, ["key"], "v", counted="n").collect()}
+    assert set(found) == set(want) and all(found[k][0] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert sum(n for _, n in found.values()) == 60
+    with pytest.raises(Exception, match="elements"):
+        vectors.vector_mean(spark.createDataFrame([("a", [1.0]), ("a", [1.0, 2.0])], "key string, v array<double>").coalesce(1), ["key"], "v").collect()
+    pieces = vectors._summed(["key"], False)
+    monkeypatch.setattr(vectors, "SUMMED_VALUES", 3)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(["a", "b", "a"]), pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])], names=["key", "v"])
+    assert [b.to_pylist() for b in pieces(iter([batch, batch]))] == 2 * [[{"key": "a", "s": [6.0, 8.0], "n": 2}, {"key": "b", "s": [3.0, 4.0], "n": 1}]]
+
+
+def test_index_jobs_keep_versions(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(f"p{i % 9}/{i:03d}", f"p{i % 9}", (rng.standard_normal(6) + i % 9).tolist()) for i in range(240)]
+    images = spark.createDataFrame(rows, "image_id string, part_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, rows[i][2]) for i in range(0, 240, 20)], "qid long, v array<double>")
+    root = str(tmp_path / "index")
+    assert jobs.save_index(images, root).first().index_type_images == "Flat"
+    flat = {(r.qid, r.rk, r.image_id) for r in jobs.nearest_images(asked, root).collect()}
+    assert flat == brute([(r.qid, r.v) for r in asked.collect()], [(i, x) for i, _, x in rows], 5)
+    assert jobs.save_index(images, root, cells=8).first().index_type_images == "IVFFlat"
+    assert {(r.qid, r.rk, r.image_id) for r in jobs.nearest_images(asked, root, probes=8).collect()} == flat
+    found = jobs.answer(asked, root, top=2).collect()
+    assert len(found) == 24 and all(r.sample.startswith(r.part_id + "/") for r in found)
+    (tmp_path / "index/v9/images").mkdir(parents=True)  # a version that broke off has no marker
+    assert sinks.read_set(spark, root, "metadata").first().index_type_images == "IVFFlat"
+    assert sinks.read_set(spark, root, "metadata", back=1).first().index_type_images == "Flat"
+    assert sinks.read_set(spark, root + "-centroids", "centroids").count() == 9
+    with pytest.raises(FileNotFoundError):
+        sinks.read_set(spark, str(tmp_path / "none"), "images")
+
+
+def test_preprocessing_skips_what_is_there(spark, tmp_path):
+    root, table = tmp_path / "raw", str(tmp_path / "table")
+    png(root / "p1/a.png", picture(1))
+    png(root / "p1/a.jpg", picture(2))  # the same output name
+    first = jobs.preprocess_images(spark, str(root), table, encode.WholeImage(), size=16)
+    assert [(r.image_id, r.skipped, r.success) for r in first.collect()] == [("p1/a.jpg", False, True)]
+    png(root / "p2/b.JPG", picture(3))
+    (root / "p2/bad.jpg").write_bytes(b"no image")
+    again = jobs.preprocess_images(spark, str(root), table, encode.WholeImage(), size=16)
+    assert {(r.image_id, r.skipped, tuple(r.operations)) for r in again.collect() if r.success} == {("p1/a.jpg", True, ("skipped_existing",)), ("p2/b.jpg", False, ("detected_crop", "enhance", "letterbox"))}
+    report = jobs.run_report(again).first()
+    assert (report.processed, report.successful, report.failed, report.skipped, report.read_errors) == (3, 1, 1, 1, 1)
+    assert {len(r.pixels) for r in spark.read.parquet(table).filter("success").collect()} == {16 * 16 * 3}
+    assert jobs.preprocess_images(spark, str(root), table, encode.WholeImage(), limit=1, size=16).filter("not skipped").count() == 1
+
+
+def test_uploads_are_answered(spark, tmp_path):
+    for i, part in enumerate(("p1", "p2")):
+        png(tmp_path / f"raw/{part}/a.png", picture(i))
+        (tmp_path / f"raw/{part}/a.png").rename(tmp_path / f"raw/{part}/a.jpg")
+    jobs.load_new_images(spark, str(tmp_path / "raw"), str(tmp_path / "vectors"), encode.ColourGrid)
+    jobs.save_index(sinks.read_latest(spark, str(tmp_path / "vectors")), str(tmp_path / "index"))
+    content = (tmp_path / "raw/p2/a.jpg").read_bytes()
+    uploads = spark.createDataFrame([(1, 1, bytearray(content)), (1, 2, bytearray(b"junk")), (2, 1, bytearray(b"")), (1, 4, bytearray(b"not used"))], "qid long, view_no int, content binary")
+    views = encode.view_vectors(uploads, encode.ColourGrid, pixels.decode_png).collect()
+    assert sorted((r.qid, r.view_no, r.error is None, any(r.embedding)) for r in views) == [(1, 1, True, True), (1, 2, False, False), (2, 1, False, False)]
+    answers = jobs.answer_uploads(uploads, str(tmp_path / "index"), encode.ColourGrid, pixels.decode_png)
+    found = {(r.qid, r.success, r.part_id) for r in sinks.parse_response(answers).filter("is_best or not success").collect()}
+    assert found == {(1, True, "p2"), (2, False, None)} and {r.qid: r.status for r in answers.collect()} == {1: 200, 2: 400}
+
+
+def test_commands(spark, tmp_path, capsys):
+    png(tmp_path / "raw/p1/a.png", picture(1))
+    (tmp_path / "raw/p1/a.png").rename(tmp_path / "raw/p1/a.jpg")
+    at = lambda name: str(tmp_path / name)
+    for line in (["preprocess", at("raw"), at("made"), "--size", "16"], ["extract", at("raw"), at("vectors")], ["centroids", at("vectors"), at("centroids")], ["index", at("vectors"), at("index")], ["search", at("index"), at("raw"), "--output", at("lines")]):
+        command.main(line, spark)
+    assert "1 centroids" in capsys.readouterr().out
+    assert [r.value for r in spark.read.text(at("lines")).collect()] == ["p1\t100.0000"]
+
+
+def test_files_are_found_and_counted(spark, tmp_path):
+    (tmp_path / "b").write_bytes(bytes(1 << 20))
+    assert catalogue.resolve_first(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).endswith("/b")
+    with pytest.raises(FileNotFoundError):
+        catalogue.resolve_first(spark, [str(tmp_path / "a")])
+    assert sinks.stored_megabytes(spark, str(tmp_path / "b")).first()[0] == 1
+    images = spark.createDataFrame([("p/1", "p", [1.0]), ("q/1", "q", [2.0])], "image_id string, part_id string, embedding array<double>")
+    sinks.write_metadata(sinks.table_metadata(images, images.select("part_id"), "here"), str(tmp_path / "meta"))
+    row = sinks.read_metadata(spark, str(tmp_path / "meta")).first()
+    assert (row.total_images, row.total_parts, row.embedding_dim, row.source) == (2, 2, 1, "here") and row.created_at is not None
+
+
+def test_counts_samples_and_first_rows(spark):
+    images = spark.createDataFrame([("a", i) for i in range(3)] + [("b", 9), ("c", 8)], "part_id string, n int")
+    assert [tuple(r) for r in stats.ranked_counts(images).collect()] == [("a", 3), ("b", 1), ("c", 1)]
+    assert stats.random_rows(images, 40).count() == 40 and stats.random_rows(images.limit(0), 4).count() == 0
+    listed, stored = (spark.createDataFrame([(x,) for x in s], "image_id string") for s in ("abc", "a"))
+    assert [r.image_id for r in incremental.first_pending(listed, stored, 1, "image_id").collect()] == ["b"]
+    assert [r.image_id for r in incremental.first_pending(listed, listed, 2, "image_id").collect()] == ["a", "b"]
+    far = spark.createDataFrame([([1e9 + 1, 1e9 + 3],), ([1e9 + 5],), ([],)], "embedding array<double>")
+    row = stats.embedding_stats(far).first()
+    assert (row.mean_v, row.std_v, row.n) == (1e9 + 3, pytest.approx(math.sqrt(8 / 3)), 3)
+
+
+def test_outlines():
+    ring = np.zeros((30, 40), bool)
+    ring[2:12, 3:13] = True
+    ring[4:10, 5:11] = False  # a hole belongs to its set
+    ring[6, 7] = True
+    ring[20:22, 0:40] = True  # a larger box with a smaller outline
+    found = sorted(pixels.outlined(ring))
+    assert found == [(39.0, (0, 20, 40, 22)), (81.0, (3, 2, 13, 12))]
+    rng = np.random.default_rng(1)
+    for diagonal in (False, True):
+        mask = rng.random((25, 31)) < 0.5
+        label = pixels.components(mask, diagonal)
+        assert ((label > 0) == mask).all()
+        near = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
+        seen, number = np.zeros(mask.shape, int), 0
+        for start in zip(*np.nonzero(mask)):
+            if not seen[start]:
+                number, todo = number + 1, [start]
+                seen[start] = number
+                while todo:
+                    y, x = todo.pop()
+                    for dy, dx in near + [(-a, -b) for a, b in near]:
+                        p = (y + dy, x + dx)
+                        if 0 <= p[0] < 25 and 0 <= p[1] < 31 and mask[p] and not seen[p]:
+                            seen[p] = number
+                            todo.append(p)
+        assert len(set(zip(label[mask].tolist(), seen[mask].tolist()))) == number == label.max()
+
+
+def test_colours_survive_lab():
+    image = picture(7, 20, 20).astype(np.uint8)
+    assert np.abs(pixels.bgr_of(pixels.lab_of(image)).astype(int) - image).max() <= 1
+    assert pixels.lab_of(np.full((1, 1, 3), 255, np.uint8))[0, 0] == pytest.approx([100, 0, 0], abs=0.01)
+
+
+def test_png_filters(tmp_path):
+    image = picture(3, 9, 7).astype(np.uint8)
+    rows, before = b"", np.zeros((8, 3), int)
+    for y in range(9):
+        line = np.concatenate([np.zeros((1, 3), int), image[y].astype(int)])
+        mode = y % 5
+        left, up, corner = line[:-1], before[1:], before[:-1]
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        rows += bytes([mode]) + ((line[1:] - (0, left, up, (left + up) // 2, paeth)[mode]) & 255).astype(np.uint8).tobytes()
+        before = line
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    content = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    assert (pixels.decode_png(content)[:, :, ::-1] == image).all()
+    for broken in (b"", b"junk", content[:40]):
+        with pytest.raises(ValueError):
+            pixels.decode_png(broken)
+
+
+def test_shared_folders_can_be_cleared(spark):
+    folder = shared_dir(spark)
+    spark.range(3).write.parquet(f"{folder}/x")
+    assert sinks.exists(spark, folder)
+    clear_shared(spark)
+    assert not sinks.exists(spark, folder)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
+from .. import config
+
 #: Channel means and deviations of the usual image-classification training set, in RGB order.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
@@ -53,15 +58,40 @@ def bilateral(image: np.ndarray, size: int, colour: float, space: float) -> np.n
     return np.clip(np.rint(total / weights), 0, 255).astype(np.uint8)
 
 
+# The primaries of sRGB and the white of daylight (D65), as published.
+_XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+
+
+def lab_of(image: np.ndarray) -> np.ndarray:
+    """CIE L*a*b* of a BGR image: L from 0 to 100."""
+    c = image[:, :, ::-1] / 255.0
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    t = linear @ _XYZ.T / _WHITE
+    f = np.where(t > (6 / 29) ** 3, np.cbrt(t), t / (3 * (6 / 29) ** 2) + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], 2)
+
+
+def bgr_of(lab: np.ndarray) -> np.ndarray:
+    """The BGR image of CIE L*a*b* values."""
+    fy = (lab[..., 0] + 16) / 116
+    f = np.stack([fy + lab[..., 1] / 500, fy, fy - lab[..., 2] / 200], 2)
+    t = np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29)) * _WHITE
+    linear = np.clip(t @ np.linalg.inv(_XYZ).T, 0, None)
+    c = np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * linear ** (1 / 2.4) - 0.055)
+    return np.clip(np.rint(c[:, :, ::-1] * 255), 0, 255).astype(np.uint8)
+
+
 def equalise(image: np.ndarray, clip: float, tiles: int) -> np.ndarray:
-    """Contrast-limited adaptive histogram equalisation of the brightness; colours are scaled along."""
-    light = grey(image)
-    h, w = light.shape
+    """Contrast-limited adaptive histogram equalisation of the lightness in L*a*b*; a and b stay."""
+    lab = lab_of(image)
+    v = np.clip(np.rint(lab[..., 0] * 2.55), 0, 255).astype(np.int64)
+    h, w = v.shape
     tables = np.empty((tiles, tiles, 256))
     for i in range(tiles):
         for j in range(tiles):
-            tile = light[i * h // tiles : max(i * h // tiles + 1, (i + 1) * h // tiles), j * w // tiles : max(j * w // tiles + 1, (j + 1) * w // tiles)]
-            count = np.bincount(np.clip(tile, 0, 255).astype(np.int64).ravel(), minlength=256).astype(np.float64)
+            tile = v[i * h // tiles : max(i * h // tiles + 1, (i + 1) * h // tiles), j * w // tiles : max(j * w // tiles + 1, (j + 1) * w // tiles)]
+            count = np.bincount(tile.ravel(), minlength=256).astype(np.float64)
             limit = max(1.0, clip * tile.size / 256)
             over = np.maximum(count - limit, 0).sum()
             tables[i, j] = np.cumsum(np.minimum(count, limit) + over / 256) * 255 / tile.size
@@ -69,14 +99,16 @@ def equalise(image: np.ndarray, clip: float, tiles: int) -> np.ndarray:
     y0, x0 = np.clip(np.floor(y).astype(int), 0, tiles - 1), np.clip(np.floor(x).astype(int), 0, tiles - 1)
     y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
     fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None, :]
-    v = np.clip(light, 0, 255).astype(np.int64)
     at = lambda a, b: tables[a[:, None], b[None, :], v]
     new = (at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy
-    return np.clip(np.rint(image * (new / np.maximum(light, 1))[:, :, None]), 0, 255).astype(np.uint8)
+    lab[..., 0] = np.clip(new, 0, 255) / 2.55
+    return bgr_of(lab)
 
 
 def enhance(image: np.ndarray) -> np.ndarray:
-    """Smoothing and contrast by the image's smaller side, then sharpening of those over 150 pixels."""
+    """Smoothing and contrast by the image's smaller side, then sharpening of those over 150 pixels.
+
+    Fixed values: the sizes that part the tiers, and each tier's filter settings."""
     m = min(image.shape[:2])
     if m < 100:
         out = bilateral(image, 5, 30, 30)
@@ -132,8 +164,64 @@ def _spread(mask: np.ndarray, by: int) -> np.ndarray:
     return np.logical_or.reduce([padded[i : i + h, j : j + w] for i in range(2 * by + 1) for j in range(2 * by + 1)])
 
 
-def largest_foreground(image: np.ndarray, least: float = 0.12) -> tuple[int, int, int, int] | None:
-    """Bounding box (x1, y1, x2, y2) of the largest connected set of edges; None if it covers less than ``least``.
+def components(mask: np.ndarray, diagonal: bool) -> np.ndarray:
+    """A number from 1 on for each connected set of the mask, 0 elsewhere. Runs of a row are joined to those of the row
+    before, so the work follows the number of runs."""
+    h, w = mask.shape
+    flat = np.zeros((h, w + 2), np.int8)
+    flat[:, 1:-1] = mask
+    steps = np.diff(flat, axis=1)
+    row, start = np.nonzero(steps == 1)
+    end = np.nonzero(steps == -1)[1]
+    up = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1)).tolist()
+    starts, ends, more = start.tolist(), end.tolist(), int(diagonal)
+    for y in range(1, h):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if starts[i] < ends[j] + more and starts[j] < ends[i] + more:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+            if ends[i] < ends[j]:
+                i += 1
+            else:
+                j += 1
+    roots = np.array([root(i) for i in range(len(row))], np.int64)
+    number = np.unique(roots, return_inverse=True)[1] + 1 if len(roots) else roots
+    out = np.zeros((h, w + 1), np.int64)
+    np.add.at(out, (row, start), number)
+    np.add.at(out, (row, end), -number)
+    return np.cumsum(out, axis=1)[:, :w]
+
+
+def outlined(mask: np.ndarray) -> list[tuple[float, tuple[int, int, int, int]]]:
+    """Area inside the outer outline of each connected set, through its pixels' centres, and its bounding box."""
+    h, w = mask.shape
+    ground = components(np.pad(~mask, 1, constant_values=True), False)
+    label = components((ground != ground[0, 0])[1:-1, 1:-1], True)  # holes belong to the set around them
+    n = int(label.max(initial=0))
+    if not n:
+        return []
+    cells = np.stack([label[:-1, :-1], label[:-1, 1:], label[1:, :-1], label[1:, 1:]])
+    inside = (cells > 0).sum(0)
+    area = np.bincount(cells.max(0).ravel(), np.where(inside == 4, 1.0, np.where(inside == 3, 0.5, 0.0)).ravel(), n + 1)
+    ys, xs = np.nonzero(label)
+    low, high = np.full((2, n + 1), max(h, w)), np.full((2, n + 1), -1)
+    for axis, at in enumerate((xs, ys)):
+        np.minimum.at(low[axis], label[ys, xs], at)
+        np.maximum.at(high[axis], label[ys, xs], at)
+    return [(float(area[i]), (int(low[0, i]), int(low[1, i]), int(high[0, i]) + 1, int(high[1, i]) + 1)) for i in range(1, n + 1)]
+
+
+def largest_foreground(image: np.ndarray, least: float = config.LEAST_FOREGROUND) -> tuple[int, int, int, int] | None:
+    """Bounding box (x1, y1, x2, y2) of the set of edges with the largest outline; None if it covers less than ``least``.
 
     Edges are strong gradients of the smoothed brightness and weak ones that touch them; gaps are closed."""
     x = np.arange(-2, 3)
@@ -141,28 +229,18 @@ def largest_foreground(image: np.ndarray, least: float = 0.12) -> tuple[int, int
     smooth = convolve(grey(image), np.outer(bell, bell) / bell.sum() ** 2)
     sobel = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
     strength = np.abs(convolve(smooth, sobel)) + np.abs(convolve(smooth, sobel.T))
-    edges, weak = strength > 150, strength > 50
-    while (grown := _spread(edges, 1) & weak).sum() > edges.sum():
-        edges = grown
-    closed = ~_spread(~_spread(edges, 4), 4)
-    h, w = closed.shape
-    label = np.where(closed, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:  # the largest number spreads through each set
-        padded = np.pad(label, 1)
-        new = np.where(closed, np.maximum.reduce([padded[i : i + h, j : j + w] for i in range(3) for j in range(3)]), 0)
-        if (new == label).all():
-            break
-        label = new
-    best, area = None, 0
-    for one in np.unique(label[label > 0]):
-        ys, xs = np.nonzero(label == one)
-        own = (int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1)
-        if (size := (own[2] - own[0]) * (own[3] - own[1])) > area:
-            best, area = own, size
-    return best if best and area / (h * w) >= least else None
-
-
-def query_crop(image: np.ndarray, target: int, ratio: float = 0.06, least: float = 0.12) -> np.ndarray:
+    weak = components(strength > 50, True)
+    touched = np.zeros(int(weak.max(initial=0)) + 1, bool)
+    touched[weak[strength > 150]] = True
+    touched[0] = False
+    found = outlined(~_spread(~_spread(touched[weak], 4), 4))
+    if not found:
+        return None
+    _, best = max(found, key=lambda f: f[0])
+    return best if (best[2] - best[0]) * (best[3] - best[1]) / strength.size >= least else None
+
+
+def query_crop(image: np.ndarray, target: int, ratio: float = config.QUERY_PADDING, least: float = config.LEAST_FOREGROUND) -> np.ndarray:
     """Padded largest foreground, or else the centre square, stretched to target x target."""
     h, w = image.shape[:2]
     if found := largest_foreground(image, least):
@@ -179,3 +257,43 @@ def query_crop(image: np.ndarray, target: int, ratio: float = 0.06, least: float
 def to_model(image: np.ndarray) -> np.ndarray:
     """RGB floats, normalised for each channel."""
     return (image[:, :, ::-1].astype(np.float32) / 255 - np.array(MEAN, np.float32)) / np.array(DEVIATION, np.float32)
+
+
+def decode_png(content: bytes) -> np.ndarray:
+    """BGR pixels of a PNG of 8 bits a channel that is not interlaced. ValueError if it is anything else."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG image")
+    at, data, head = 8, b"", None
+    try:
+        while at < len(content):
+            size, kind = struct.unpack_from(">I4s", content, at)
+            body = content[at + 8 : at + 8 + size]
+            head, data, at = (struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head), data + (body if kind == b"IDAT" else b""), at + 12 + size
+        w, h, depth, colour, _, _, interlaced = head
+        channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
+        raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * channels)
+    except (struct.error, zlib.error, KeyError, TypeError, ValueError) as e:
+        raise ValueError(f"broken or unusual PNG: {e}") from e
+    if depth != 8 or interlaced:
+        raise ValueError("only 8 bits a channel, not interlaced")
+    out = np.zeros((h + 1, w + 1, channels), np.int64)  # a row and a column of zeros before the image
+    for y in range(h):
+        line, above, now, mode = raw[y, 1:].reshape(w, channels).astype(np.int64), out[y], out[y + 1], raw[y, 0]
+        if mode == 0:
+            now[1:] = line
+        elif mode == 1:
+            now[1:] = np.cumsum(line, axis=0) & 255
+        elif mode == 2:
+            now[1:] = (line + above[1:]) & 255
+        else:
+            for x in range(1, w + 1):
+                left, up, corner = now[x - 1], above[x], above[x - 1]
+                if mode == 3:
+                    near = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+                    near = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                now[x] = (line[x - 1] + near) & 255
+    image = out[1:, 1:].astype(np.uint8)
+    return np.repeat(image[:, :, :1], 3, axis=2) if channels < 3 else image[:, :, 2::-1]

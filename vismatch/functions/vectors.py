@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +31,79 @@ def normalise(v: Column) -> Column:
     return F.transform(bound, lambda s: F.transform(s["v"], lambda x: x / s["norm"]))[0]
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow batch as the rows of a matrix; an error if they differ in length or one is null."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and not (lengths == lengths[0]).all():
+        raise ValueError(f"vectors have {lengths.min()} to {lengths.max()} elements")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 0)
+
+
+#: Values of sums that a task holds before it sends them on.
+SUMMED_VALUES = 1 << 23
+
+
+def _summed(keys: list[str], weighted: bool):
+    """Sums of vectors by key, one numpy addition for each Arrow batch; with ``weighted`` the rows are sums with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple, int] = {}
+        sums, counts = np.zeros((0, 0)), np.zeros(0, np.int64)
+        kinds: list[pa.DataType] = []
+
+        def flush() -> pa.RecordBatch:
+            n = len(place)
+            columns = [pa.array(c, k) for c, k in zip(zip(*place), kinds)]
+            offsets = pa.array(np.arange(0, n * sums.shape[1] + 1, max(1, sums.shape[1]))[: n + 1], pa.int32())
+            return pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, pa.array(sums[:n].ravel())), pa.array(counts[:n])], names=[*keys, "s", "n"])
+
+        for batch in batches:
+            batch = batch.filter(batch.column("v").is_valid())
+            if not batch.num_rows:
+                continue
+            kinds = [batch.column(k).type for k in keys]
+            x = matrix(batch.column("v"))
+            if sums.shape[1] not in (0, x.shape[1]):
+                raise ValueError(f"vectors have {sums.shape[1]} and {x.shape[1]} elements")
+            at = np.array([place.setdefault(k, len(place)) for k in zip(*(batch.column(k).to_pylist() for k in keys))])
+            if len(place) > len(sums):
+                more = 2 * len(place)
+                sums = np.concatenate([sums.reshape(-1, x.shape[1]), np.zeros((more, x.shape[1]))])
+                counts = np.concatenate([counts, np.zeros(more, np.int64)])
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            own = at[order[starts]]
+            sums[own] += np.add.reduceat(x[order], starts, axis=0, dtype=np.float64)
+            counts[own] += np.add.reduceat(batch.column("n").to_numpy()[order], starts) if weighted else np.diff(np.append(starts, len(at)))
+            if len(place) * x.shape[1] > SUMMED_VALUES:
+                yield flush()
+                place, sums, counts = {}, np.zeros((0, x.shape[1])), np.zeros(0, np.int64)
+        if place:
+            yield flush()
+
+    return run
+
+
+def vector_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """Sum s and number n of the vectors of each key, partly summed: a task sends a row for each key that it meets."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, F.col(vector).alias("v")).mapInArrow(_summed(keys, False), f"{kinds}, s array<double>, n long")
+
+
+def merged_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of vector_sums added up: one row for each key."""
+    dealt = sums.select(*keys, F.col("s").alias("v"), "n").repartition(*keys).sortWithinPartitions(*keys)
+    partly = dealt.mapInArrow(_summed(keys, True), sums.schema)
+    # a task with more keys than it may hold sends them in the order of keys, so each is whole but those it breaks off at
+    first = partly.groupBy(*keys).agg(F.collect_list(F.struct("s", "n")).alias("parts"))
+    added = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["s"], lambda a, p: F.zip_with(a, p["s"], lambda x, y: x + y))
+    return first.select(*keys, added.alias("s"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n"))
+
+
 def vector_mean(df: DataFrame, keys: list[str], vector: str, out: str = "v", counted: str | None = None) -> DataFrame:
-    """Mean vector for each key; sums are combined before the shuffle, element by element."""
-    long_ = df.select(*keys, F.posexplode(doubles(F.col(vector))).alias("dim", "x"))
-    means = long_.groupBy(*keys, "dim").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    entries = F.sort_array(F.collect_list(F.struct("dim", "x")))
-    more = [F.max("n").alias(counted)] if counted else []
-    return means.groupBy(*keys).agg(F.transform(entries, lambda e: e["x"]).alias(out), *more)
+    """Mean vector for each key. Null vectors do not count."""
+    sums = merged_sums(vector_sums(df, keys, vector), keys)
+    return sums.select(*keys, F.transform("s", lambda x: x / F.col("n")).alias(out), *([F.col("n").alias(counted)] if counted else []))
 
 
 def long_form(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .. import config
 from ..functions import pixels
 
 
@@ -32,6 +33,19 @@ class Detector(Protocol):
         """Boxes x1, y1, x2, y2 with their confidence."""
 
 
+_made: dict[str, Encoder] = {}
+
+
+def of_worker(encoder: Encoder | Callable[[], Encoder]) -> Encoder:
+    """The encoder itself, or the one that its maker made for this process."""
+    if hasattr(encoder, "encode") and not isinstance(encoder, type):
+        return encoder
+    name = f"{encoder.__module__}.{encoder.__qualname__}"
+    if name not in _made:
+        _made[name] = encoder()
+    return _made[name]
+
+
 class ColourGrid:
     """Mean colours of an 8 x 8 grid, centred and scaled to length 1. A stand-in, not a trained encoder."""
 
@@ -49,7 +63,7 @@ class WholeImage:
         return [(0.0, 0.0, float(image.shape[1]), float(image.shape[0]), 1.0)]
 
 
-def suppress(boxes: list[tuple[float, ...]], conf: float = 0.25, iou: float = 0.45) -> list[tuple[float, ...]]:
+def suppress(boxes: list[tuple[float, ...]], conf: float = config.CONFIDENCE, iou: float = config.OVERLAP) -> list[tuple[float, ...]]:
     """Boxes of at least ``conf``, best first, without those that overlap a better one by more than ``iou``."""
     kept: list[tuple[float, ...]] = []
     for b in sorted((b for b in boxes if b[4] >= conf), key=lambda b: -b[4]):
@@ -81,10 +95,11 @@ def _map_rows(df: DataFrame, each: Callable[[dict], dict], schema: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+# The fields of a processing record.
 _RECORD = "success boolean, operations array<string>, original_size string, final_size string, detection_confidence double, processing_time double, skipped boolean, error string"
 
 
-def preprocess(images: DataFrame, detector: Detector, size: int = 384, keep_aspect: bool = True, padding: float = 0.3) -> DataFrame:
+def preprocess(images: DataFrame, detector: Detector, size: int = config.SIZE, keep_aspect: bool = True, padding: float = config.PADDING) -> DataFrame:
     """Detected part (or centre square), enhanced and resized: path, image bytes of size x size x 3, and a record each."""
 
     def one(image: dict) -> tuple[np.ndarray, list[str], str, float]:
@@ -105,7 +120,7 @@ def preprocess(images: DataFrame, detector: Detector, size: int = 384, keep_aspe
 
     def each(row: dict) -> dict:
         began = time.perf_counter()
-        record = {"path": row["path"], "skipped": False, "success": False, "operations": [], "detection_confidence": 0.0, "error": row["error"]}
+        record = {"path": row["path"], "skipped": False, "success": False, "operations": [], "detection_confidence": 0.0, "error": row["error"] and f"read: {row['error']}"}
         if row["error"] is None:
             try:
                 out, ops, before, confidence = one(row["image"])
@@ -117,14 +132,16 @@ def preprocess(images: DataFrame, detector: Detector, size: int = 384, keep_aspe
     return _map_rows(images.select("path", "image", "error"), each, f"path string, pixels binary, {_RECORD}")
 
 
-def encode(images: DataFrame, encoder: Encoder, size: int = 224) -> DataFrame:
-    """path, embedding and error for each row of read_images; a row that fails keeps its error, and no vector."""
+def encode(images: DataFrame, encoder: Encoder | Callable[[], Encoder], size: int = config.QUERY_SIZE) -> DataFrame:
+    """path, embedding and error for each row of read_images; a row that fails keeps its error, and no vector.
+
+    encoder: an encoder, or a class or function of a module that makes one, which each worker process calls once."""
 
     def each(row: dict) -> dict:
         if row["error"] is not None:
             return {"path": row["path"], "error": row["error"]}
         try:
-            return {"path": row["path"], "embedding": encoder.encode(pixels.query_crop(pixels_of(row["image"]), size)).tolist()}
+            return {"path": row["path"], "embedding": of_worker(encoder).encode(pixels.query_crop(pixels_of(row["image"]), size)).tolist()}
         except ValueError as e:
             return {"path": row["path"], "error": str(e)}
 
@@ -139,3 +156,21 @@ def image_measures(images: DataFrame) -> DataFrame:
         return {"path": row["path"], "blur": pixels.blur_metric(own), "over_exposed": pixels.over_exposed(own)}
 
     return _map_rows(images.filter(F.col("error").isNull()).select("path", "image"), each, "path string, blur double, over_exposed double")
+
+
+def view_vectors(views: DataFrame, encoder: Encoder | Callable[[], Encoder], decode: Callable[[bytes], np.ndarray], size: int = config.QUERY_SIZE, permissive: bool = True) -> DataFrame:
+    """qid, view_no, embedding and error of the first views of each query, from uploaded bytes (qid, view_no, content).
+
+    A view that fails keeps its slot: with the zero vector if permissive, else with none."""
+    own = views.filter(F.col("view_no") <= config.VIEWS).select(F.col("qid").cast("long").alias("qid"), F.col("view_no").cast("int").alias("view_no"), "content")
+
+    def each(row: dict) -> dict:
+        out = {"qid": row["qid"], "view_no": row["view_no"], "error": None}
+        try:
+            if not row["content"]:
+                raise ValueError("the upload is empty")
+            return out | {"embedding": of_worker(encoder).encode(pixels.query_crop(decode(row["content"]), size)).tolist()}
+        except ValueError as e:
+            return out | {"embedding": [0.0] * of_worker(encoder).dim if permissive else None, "error": str(e)}
+
+    return _map_rows(own, each, "qid long, view_no int, embedding array<double>, error string")

@@ -18,3 +18,9 @@ def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
 def first_rows(catalogue: DataFrame, n: int, *order: str) -> DataFrame:
     """A test run's rows: the first n by a stated order."""
     return catalogue.orderBy(*order).limit(n)
+
+
+def first_pending(catalogue: DataFrame, stored: DataFrame, n: int, *order: str, key: str = "image_id") -> DataFrame:
+    """A test run's rows: the first n that are pending, or the first n of all if none is."""
+    todo = pending(catalogue, stored, key)
+    return first_rows(catalogue if todo.isEmpty() else todo, n, *order)

@@ -1,42 +1,68 @@
-"""Cell index for approximate search: k-means cells, vectors stored by cell, the nearest cells probed."""
+"""Cell index for approximate search: k-means cells, vectors stored by cell and block, the nearest cells probed."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config
+from ..functions import vectors
 from . import search
-
-FLAT_ROWS = 100_000
+from .meet import meet
 
 
 def cells_for(rows: int) -> int:
     """Number of cells; 0 for a table that is searched whole."""
-    return 0 if rows <= FLAT_ROWS else min(10_000, max(100, rows // 100))
+    return 0 if rows <= config.FLAT_ROWS else min(10_000, max(100, rows // 100))
 
 
 def build_cells(table: DataFrame, key: str, cells: int, train_rows: int = 100_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(centres: cell, v; members: cell, key, v). Trained on a sample of bounded size; every row is assigned."""
+    """(centres: cell, v, blocks; members: cell, block, key, v). Trained on a sample of about ``train_rows`` rows; every
+    row is assigned. A cell's members are divided into blocks of about ``HELD_ROWS`` rows, so no task holds a large cell."""
     rows = table.count()
-    sample = table.sample(min(1.0, train_rows / max(rows, 1)), seed).select(array_to_vector("v").alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=20).fit(sample)
-    spark = table.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, v array<double>")
-    members = model.setPredictionCol("cell").transform(table.withColumn("features", array_to_vector("v"))).select("cell", key, "v")
+    own = table.select(key, vectors.doubles(F.col("v")).alias("v")).withColumn("features", array_to_vector("v"))
+    sample = own.select("features").sample(min(1.0, train_rows / max(rows, 1)), seed)
+    model = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(sample)
+    found = model.setPredictionCol("cell").transform(own).select("cell", key, "v")
+    sizes = found.groupBy("cell").agg(F.ceil(F.count("*") / search.HELD_ROWS).cast("int").alias("blocks"))  # a row a cell
+    block = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
+    members = found.join(sizes, "cell").select("cell", block.alias("block"), key, "v")
+    rows_ = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    centres = table.sparkSession.createDataFrame(rows_, "cell int, v array<double>").join(sizes, "cell")
     return centres, members
 
 
-def write_members(members: DataFrame, path: str) -> None:
-    members.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+def by_cell(members: DataFrame) -> DataFrame:
+    """Members in the order in which they are stored: a cell's rows stand together, so its row groups can be skipped to."""
+    return members.repartitionByRange("cell", "block").sortWithinPartitions("cell", "block")
 
 
-def probe(queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int, cells: int) -> DataFrame:
-    """The k nearest members in the ``cells`` nearest cells of each query: qid, rk, key, l2. The join is on the cell."""
-    from ..functions import vectors
+class _NearestHeld:
+    """The k nearest of the members held, for each query that passes."""
+
+    def __init__(self, ids: pa.Array, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+
+    def feed(self, ids: pa.Array, q: np.ndarray) -> pa.RecordBatch:
+        rows, cols, d = search.near_pairs(q, self.x, self.k, np.full(len(q), np.inf))
+        found, _, _ = search.best_of(pa.table({"row": rows, "key": self.ids.take(pa.array(cols)), "l2": d}), self.k)
+        found = found.combine_chunks()
+        columns = [ids.take(found.column("row").combine_chunks()), found.column("key").combine_chunks(), found.column("l2").combine_chunks()]
+        return pa.RecordBatch.from_arrays(columns, names=["qid", "key", "l2"])
 
-    near = search.knn(queries, centres, "cell", cells).select("qid", "cell").join(queries.select("qid", F.col("v").alias("q")), "qid")
-    found = members.join(near, "cell").withColumn("l2", vectors.squared_distance(F.col("q"), F.col("v")))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("l2", key))
-    return found.select("qid", key, "l2").withColumn("rk", rank).filter(F.col("rk") <= k).select("qid", "rk", key, "l2")
+    def done(self) -> None:
+        return None
+
+
+def probe(queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int, cells: int) -> DataFrame:
+    """The k nearest members in the ``cells`` nearest cells of each query: qid, rk, key, l2. Only queries are copied."""
+    kind = members.schema[key].dataType.simpleString()
+    near = search.knn(queries, centres, "cell", cells).select("qid", "cell").join(centres.select("cell", "blocks"), "cell")
+    passing = near.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries.select("qid", "v"), "qid")
+    found = meet(members, passing, ["cell", "block"], key, "qid", lambda ids, x: _NearestHeld(ids, x, k), f"qid long, key {kind}, l2 double")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("l2", "key"))
+    return found.withColumn("rk", rank).filter(F.col("rk") <= k).select("qid", "rk", F.col("key").alias(key), "l2")

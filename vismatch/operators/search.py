@@ -1,111 +1,152 @@
 """Exact search, re-ranking and scores.
 
-The query side is read in blocks of bounded size; each block goes to the tasks and meets every stored vector there by
-one matrix product an Arrow batch. A task sends on its best k of each query only, so the shuffle holds
-k x queries x tasks rows, whatever the number of vectors, and no vector is shuffled.
+Queries and vectors meet in blocks by one shuffle: a task holds a block of queries and their best k so far, and the
+vectors of its block pass in Arrow batches, by one matrix product each. Nothing goes through the driver, the plan has the
+same number of scans for any number of queries, and the last step sorts k rows a query and vector block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .meet import every, meet, spread
+
+#: Queries that a task holds, and vectors that pass it for each block, in large tables.
+QUERY_ROWS, TABLE_ROWS = 4_096, 65_536
+#: Vectors that a task holds where queries pass, and the fewest rows that are worth a block.
+HELD_ROWS, FEWEST_ROWS = 4_096, 512
+_PAIR_VALUES = 1 << 22
+
+
+def _exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs, as subtracted: products lose small distances."""
+    step = max(1, _PAIR_VALUES // max(1, q.shape[1]))
+    parts = [((q[rows[at : at + step]] - x[cols[at : at + step]]) ** 2).sum(1) for at in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def near_pairs(q: np.ndarray, x: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, squared distance) of all pairs that can be among the k nearest of a row; ties are all there.
+
+    limit: distance of the k-th best so far. Products choose the pairs with room for their rounding."""
+    squares = (q**2).sum(1)[:, None] + (x**2).sum(1)
+    d = squares - 2 * (q @ x.T)
+    room = 1e-9 * squares.max(initial=0) + 1e-300
+    n = min(k, d.shape[1])
+    reach = np.minimum(np.partition(d, n - 1, axis=1)[:, n - 1], limit) + room
+    rows, cols = np.nonzero(d <= reach[:, None])
+    return rows, cols, _exact(q, x, rows, cols)
+
+
+def best_of(found: pa.Table, k: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The k nearest of each row of (row, key, l2), ties by key; and the rows that have k, with the distance of the last."""
+    found = found.sort_by([("row", "ascending"), ("l2", "ascending"), ("key", "ascending")])
+    row = found.column("row").to_numpy()
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    last = np.flatnonzero(place == k - 1)
+    return found.filter(pa.array(place < k)), row[last], found.column("l2").to_numpy()[last]
+
+
+class _Nearest:
+    """The best k of each held query among the vectors that pass."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k = ids, q, k
+        self.limit = np.full(len(q), np.inf)
+        self.best: pa.Table | None = None
+
+    def feed(self, ids: pa.Array, x: np.ndarray) -> None:
+        rows, cols, d = near_pairs(self.q, x, self.k, self.limit)
+        found = pa.table({"row": rows, "key": ids.take(pa.array(cols)), "l2": d})
+        if self.best is not None:
+            found = pa.concat_tables([self.best, found])
+        self.best, full, distance = best_of(found, self.k)
+        self.limit[full] = distance
+
+    def done(self) -> pa.RecordBatch | None:
+        if self.best is None:
+            return None
+        found = self.best.combine_chunks()
+        columns = [self.ids.take(found.column("row").combine_chunks()), found.column("key").combine_chunks(), found.column("l2").combine_chunks()]
+        return pa.RecordBatch.from_arrays(columns, names=["qid", "key", "l2"])
+
+
+def _blocks(queries: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers of the query block and the vector block at which they meet."""
+    asked, rows = queries.count(), table.count()
+    parallel = table.sparkSession.sparkContext.defaultParallelism
+    q_blocks, t_blocks = max(1, -(-asked // QUERY_ROWS)), max(1, -(-rows // TABLE_ROWS), min(parallel, rows // FEWEST_ROWS))
+    held = queries.withColumn("qb", spread("qid", q_blocks)).withColumn("tb", every(t_blocks))
+    return held, table.withColumn("tb", spread(key, t_blocks)).withColumn("qb", every(q_blocks))
 
-#: Queries that meet the vectors at once.
-BLOCK_ROWS = 1_024
 
+def knn(queries: DataFrame, table: DataFrame, key: str, k: int, exclude_self: bool = False) -> DataFrame:
+    """The k rows of table (key, v) nearest to each query (qid, v) by squared distance; ties by key. qid, rk, key, l2."""
+    kind = table.schema[key].dataType.simpleString()
+    held, passing = _blocks(queries.select("qid", "v"), table.select(F.col(key).alias("key"), "v"), "key")
+    wanted = k + 1 if exclude_self else k
+    found = meet(held, passing, ["qb", "tb"], "qid", "key", lambda ids, q: _Nearest(ids, q, wanted), f"qid long, key {kind}, l2 double")
+    if exclude_self:
+        found = found.filter(F.col("qid") != F.col("key"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("l2", "key"))
+    return found.withColumn("rk", rank).filter(F.col("rk") <= k).select("qid", "rk", F.col("key").alias(key), "l2")
 
-def query_blocks(queries: DataFrame, rows: int = BLOCK_ROWS, more: tuple[str, ...] = ()) -> Iterator[list[tuple]]:
-    """(qid, vector, more...) in blocks; one block at a time is held."""
-    held: list[tuple] = []
-    for row in queries.select("qid", vectors.doubles(F.col("v")).alias("v"), *more).toLocalIterator():
-        held.append((row[0], np.array(row[1], np.float64), *row[2:]))
-        if len(held) == rows:
-            yield held
-            held = []
-    if held:
-        yield held
 
+class _BestPerPart:
+    """The best dot product of each held query with each part that passes."""
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    def __init__(self, ids: pa.Array, q: np.ndarray) -> None:
+        self.ids, self.q = ids, q
 
+    def feed(self, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        parts = ids.dictionary_encode()
+        code = parts.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        best = np.maximum.reduceat(self.q @ x[order].T, starts, axis=1)
+        rows, cols = (a.ravel() for a in np.indices(best.shape))
+        return pa.record_batch([self.ids.take(pa.array(rows)), parts.dictionary.take(pa.array(code[order][starts][cols])), best.ravel()], names=["qid", "part_id", "cos"])
 
-def _union(parts: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
-    out = None
-    for part in parts:
-        out = part if out is None else out.unionByName(part)
-    return empty() if out is None else out
+    def done(self) -> None:
+        return None
 
 
-def knn(queries: DataFrame, table: DataFrame, key: str, k: int, exclude_self: bool = False) -> DataFrame:
-    """The k rows of table (key, v) nearest to each query (qid, v) by squared distance; ties by key. qid, rk, key, l2."""
-    kind = table.schema[key].dataType.simpleString()
+def all_cosines(queries: DataFrame, images: DataFrame) -> DataFrame:
+    """Best dot product of each query with each part's images, for all parts: qid, part_id, cos."""
+    held, passing = _blocks(queries.select("qid", "v"), images.select("image_id", "part_id", F.col("embedding").alias("v")), "image_id")
+    found = meet(held, passing, ["qb", "tb"], "qid", "part_id", _BestPerPart, "qid long, part_id string, cos double")
+    return found.groupBy("qid", "part_id").agg(F.max("cos").alias("cos"))
 
-    def nearest(block: list[tuple]):
-        ids, q = [b[0] for b in block], np.stack([b[1] for b in block])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys, x = batch.column("key"), _matrix(batch.column("v"))
-                for at in range(0, len(q), 64):
-                    part = q[at : at + 64]
-                    d = np.stack([((x - row) ** 2).sum(1) for row in part])  # as subtracted: products would lose small distances
-                    n = min(k + 1, d.shape[1])
-                    limit = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                    rows, cols = np.nonzero(d <= limit)  # ties stay, the window below decides
-                    yield pa.record_batch([pa.array([ids[at + r] for r in rows.tolist()], pa.int64()), keys.take(pa.array(cols)), pa.array(d[rows, cols])], names=["qid", "key", "l2"])
-
-        return run
-
-    source = table.select(F.col(key).alias("key"), vectors.doubles(F.col("v")).alias("v"))
-    parts = [source.mapInArrow(nearest(b), f"qid long, key {kind}, l2 double") for b in query_blocks(queries)]
-    found = _union(parts, lambda: source.limit(0).select(F.lit(0).cast("long").alias("qid"), "key", F.lit(0.0).alias("l2")))
-    if exclude_self:
-        found = found.filter(F.col("qid") != F.col("key"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("l2", "key"))
-    return found.withColumn("rk", rank).filter(F.col("rk") <= k).select("qid", "rk", F.col("key").alias(key), "l2")
+
+class _BestOfHeld:
+    """The best dot product of each query that passes with the images held, all of one part."""
+
+    def __init__(self, ids: pa.Array, x: np.ndarray) -> None:
+        self.part, self.x = ids[0].as_py(), x
+
+    def feed(self, ids: pa.Array, q: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([ids, pa.array([self.part] * len(ids), pa.string()), (q @ self.x.T).max(1)], names=["qid", "part_id", "cos"])
+
+    def done(self) -> None:
+        return None
 
 
 def best_cosines(queries: DataFrame, candidates: DataFrame, images: DataFrame, image_key: str = "part_id") -> DataFrame:
     """Best dot product of each query with the images of each of its candidate parts: qid, part_id, cos.
 
-    queries: qid, v; candidates: qid, part_id; images: image_key (what is compared with part_id), embedding."""
-    listed = queries.join(candidates.groupBy("qid").agg(F.collect_set("part_id").alias("parts")), "qid")
-
-    def scored(block: list[tuple]):
-        ids, q = np.array([b[0] for b in block]), np.stack([b[1] for b in block])
-        wanted: dict[str, list[int]] = {}
-        for i, b in enumerate(block):
-            for part in b[2]:
-                wanted.setdefault(part, []).append(i)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                parts = batch.column("part").dictionary_encode()
-                names, code = parts.dictionary.to_pylist(), parts.indices.to_numpy(zero_copy_only=False)
-                rows = []
-                for c, name in enumerate(names):
-                    if name in wanted:
-                        own = _matrix(batch.column("v").take(pa.array(np.flatnonzero(code == c))))
-                        best = (own @ q[wanted[name]].T).max(0)
-                        rows += [(int(ids[i]), name, float(s)) for i, s in zip(wanted[name], best)]
-                if rows:
-                    yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["qid", "part_id", "cos"])
-
-        return run
-
-    source = images.select(F.col(image_key).alias("part"), vectors.doubles(F.col("embedding")).alias("v"))
-    parts = [source.mapInArrow(scored(b), "qid long, part_id string, cos double") for b in query_blocks(listed, more=("parts",))]
-    found = _union(parts, lambda: source.limit(0).select(F.lit(0).cast("long").alias("qid"), F.col("part").alias("part_id"), F.lit(0.0).alias("cos")))
+    queries: qid, v; candidates: qid, part_id; images: image_key (what is compared with part_id), embedding. Images of a
+    part are held in blocks of about ``HELD_ROWS`` rows; the queries that have the part as a candidate pass each."""
+    own = images.select(F.col(image_key).alias("part_id"), F.col("embedding").alias("v"), F.xxhash64("image_id").alias("_h"))
+    sizes = own.groupBy("part_id").agg(F.ceil(F.count("*") / HELD_ROWS).cast("int").alias("blocks"))
+    held = own.join(sizes, "part_id").withColumn("block", F.pmod("_h", "blocks").cast("int"))
+    listed = candidates.select("qid", "part_id").distinct().join(sizes, "part_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    passing = listed.join(queries.select("qid", "v"), "qid")
+    found = meet(held.withColumn("id", F.col("part_id")), passing, ["part_id", "block"], "id", "qid", _BestOfHeld, "qid long, part_id string, cos double")
     return found.groupBy("qid", "part_id").agg(F.max("cos").alias("cos"))
 
 

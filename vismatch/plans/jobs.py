@@ -1,22 +1,55 @@
-"""The catalogue's jobs: load new images, rebuild centroids, answer queries."""
+"""The catalogue's jobs: preprocess and load new images, rebuild centroids and index, answer queries.
+
+Each job writes a new version beside the others and marks it last, so a job that breaks off changes nothing for readers,
+and the version before can be read again."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import paths, vectors
-from ..operators import encode, incremental, search
+from ..operators import encode, incremental, index, search, stats
+from ..session import shared_dir
 from ..sources import catalogue, sinks
 
 
+def preprocess_images(spark: SparkSession, root: str, table: str, detector: encode.Detector, force: bool = False, limit: int | None = None, **options) -> DataFrame:
+    """Preprocess the images under root that the table lacks, append them to it, and return a record for each image.
+
+    Output names end in .jpg and keep the folders; of images that share one the first by path is processed. Images that
+    are there already have a record with the operation ``skipped_existing``. The records are written before they return."""
+    listed = catalogue.list_images(spark, root).withColumn("image_id", paths.with_jpg(F.col("rel_path")))
+    listed = listed.groupBy("image_id").agg(F.min("path").alias("path"))
+    done = spark.read.parquet(table).filter("success").select("image_id") if sinks.exists(spark, table) else None
+    todo = listed if done is None else incremental.pending(listed, done, force=force)
+    if limit is not None:
+        todo = incremental.first_rows(listed if todo.isEmpty() else todo, limit, "image_id")
+    made = encode.preprocess(catalogue.read_images(spark, root).join(todo, "path").select("path", "image", "error"), detector, **options)
+    made.join(todo, "path").write.mode("append").parquet(run := f"{table.rstrip('/')}/run={sinks.stamp()}")
+    records = spark.read.parquet(run).drop("pixels")
+    if done is None or force:
+        return records
+    skipped = {"success": F.lit(True), "skipped": F.lit(True), "operations": F.array(F.lit("skipped_existing")), "processing_time": F.lit(0.0)}
+    kept = listed.join(done, "image_id", "left_semi")
+    kept = kept.select(*[skipped.get(f.name, F.col(f.name) if f.name in listed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in records.schema])
+    return records.unionByName(kept)
+
+
 def load_new_images(spark: SparkSession, root: str, table: str, encoder: encode.Encoder, force: bool = False) -> DataFrame:
-    """Encode the images under root that the table lacks, write a new version of it, and return the failures."""
+    """Encode the images under root that the table lacks, write a new version of it, and return the failures.
+
+    Each image is encoded once: vectors and failures are written first, then read for both."""
     listed = catalogue.list_parts(spark, root)
     stored = None if force or not sinks.versions(spark, table) else sinks.read_latest(spark, table)
     todo = listed if stored is None else incremental.pending(listed, stored)
-    images = catalogue.read_images(spark, root).join(todo.select("path", "image_id", "part_id"), "path")
-    encoded = encode.encode(images, encoder).join(todo.select("path", "image_id", "part_id"), "path")
+    images = catalogue.read_images(spark, root).join(todo.select("path"), "path")
+    encode.encode(images, encoder).join(todo.select("path", "image_id", "part_id"), "path").write.parquet(folder := f"{shared_dir(spark)}/encoded")
+    encoded = spark.read.parquet(folder)
     new = encoded.filter("embedding is not null").select("image_id", "part_id", "embedding")
     sinks.write_version(new if stored is None else incremental.appended(stored.select(*new.columns), new), table)
     return encoded.filter("embedding is null").select("path", "error")
@@ -27,7 +60,61 @@ def build_centroids(images: DataFrame) -> DataFrame:
     return vectors.vector_mean(images.withColumn("part_id", paths.part_of(F.col("image_id"))), ["part_id"], "embedding", counted="n_images")
 
 
-def answer(queries: DataFrame, images: DataFrame, **options) -> DataFrame:
-    """Search with centroids built from the images, and a sample image for each part found."""
-    found = search.search(queries, build_centroids(images).select("part_id", "v"), images, **options)
+def save_centroids(images: DataFrame, root: str, source: str = "") -> DataFrame:
+    """Build the centroids, write them with their metadata as a new version, and return what was written."""
+    spark = images.sparkSession
+    folder = shared_dir(spark)
+    build_centroids(images).write.parquet(f"{folder}/centroids")
+    built = spark.read.parquet(f"{folder}/centroids")
+    sinks.write_set({"centroids": built, "metadata": sinks.table_metadata(images, built, source)}, root)
+    return sinks.read_set(spark, root, "centroids")
+
+
+def save_index(images: DataFrame, root: str, cells: int | None = None, source: str = "") -> DataFrame:
+    """Write an index of the images (image_id, part_id, embedding) as a new version, and return its metadata.
+
+    Up to ``FLAT_ROWS`` rows it holds the images alone and is searched whole; beyond, or with cells given, its members
+    stand by cell. It has the centroids too."""
+    spark = images.sparkSession
+    own = images.select("image_id", "part_id", vectors.doubles(F.col("embedding")).alias("embedding"))
+    cells = index.cells_for(own.count()) if cells is None else cells
+    centroids = save_centroids(own, f"{root.rstrip('/')}-centroids", source)
+    kind = F.lit("IVFFlat" if cells else "Flat")
+    tables = {"images": own, "centroids": centroids, "metadata": sinks.table_metadata(own, centroids, source).withColumn("index_type_images", kind)}
+    if cells:
+        centres, members = index.build_cells(own.select("image_id", F.col("embedding").alias("v")), "image_id", cells)
+        tables |= {"members": index.by_cell(members), "centres": centres.coalesce(1)}
+    sinks.write_set(tables, root)
+    return sinks.read_set(spark, root, "metadata")
+
+
+def nearest_images(queries: DataFrame, root: str, k: int = config.TOP, probes: int = 8) -> DataFrame:
+    """The k nearest images of a stored index, whole or by its cells: qid, rk, image_id, l2."""
+    spark = queries.sparkSession
+    if sinks.read_set(spark, root, "metadata").first()["index_type_images"] == "Flat":
+        return search.knn(queries, sinks.read_set(spark, root, "images").select("image_id", F.col("embedding").alias("v")), "image_id", k)
+    return index.probe(queries, sinks.read_set(spark, root, "centres"), sinks.read_set(spark, root, "members"), "image_id", k, probes)
+
+
+def answer(queries: DataFrame, root: str, **options) -> DataFrame:
+    """Search a stored index with its stored centroids, with a sample image for each part found."""
+    spark = queries.sparkSession
+    images = sinks.read_set(spark, root, "images")
+    found = search.search(queries, sinks.read_set(spark, root, "centroids").select("part_id", "v"), images, **options)
     return found.join(search.sample_per_part(images), "part_id", "left")
+
+
+def answer_uploads(uploads: DataFrame, root: str, encoder: encode.Encoder, decode: Callable[[bytes], np.ndarray], **options) -> DataFrame:
+    """JSON documents for uploaded images (qid, view_no, content): qid, status, body. Up to three views of a query are
+    fused, broken ones as zero vectors; a query without a usable view gets status 400."""
+    folder = f"{shared_dir(uploads.sparkSession)}/views"
+    encode.view_vectors(uploads, encoder, decode).write.parquet(folder)
+    views = uploads.sparkSession.read.parquet(folder)
+    failed = sinks.failures(views)
+    fused = search.fuse_views(views).join(failed.select("qid"), "qid", "left_anti")
+    return sinks.response(answer(fused, root, **options)).unionByName(failed)
+
+
+def run_report(records: DataFrame) -> DataFrame:
+    """Counters, rates and times of a preprocessing run."""
+    return stats.run_stats(records.withColumn("detected", F.col("detection_confidence") > 0).fillna(False, ["detected", "skipped", "success"]))

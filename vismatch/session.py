@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,7 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="vismatch-")
-    return f"{base.rstrip('/')}/vismatch-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/vismatch-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder whose tables nobody reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this session's operators have written to the shared folder. Results that are still to be read go too."""
+    for folder in _folders.pop(spark.sparkContext.applicationId, []):
+        drop(spark, folder)
 
 
 def local_session(cores: int = 8, partitions: int = 8, **more: str) -> SparkSession:

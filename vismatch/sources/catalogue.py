@@ -24,8 +24,10 @@ def list_parts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images in BGR; files that can't be decoded keep a row with an error."""
-    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
+    """Decoded images in BGR, any depth; files that can't be decoded keep a row with an error."""
+    either = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in paths.EXTENSIONS)
+    source = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true")
+    images = source.option("pathGlobFilter", f"*{{{either}}}").load(root)  # other files are not read
     broken = F.col("image.height") < 0
     path = F.regexp_replace("image.origin", "^file:///", "file:/")  # as the other file sources write it
     return images.select(path.alias("path"), F.when(~broken, F.col("image")).alias("image"), F.when(broken, F.lit("not decodable")).alias("error"))

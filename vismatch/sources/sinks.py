@@ -7,10 +7,24 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
+
+METADATA = "created_at timestamp, total_images long, total_parts long, embedding_dim int, index_type_images string, index_type_centroids string, source string"
+
+
+def stamp() -> str:
+    """A name that sorts by time."""
+    return f"{time.time_ns():020d}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
 
 def write_version(df: DataFrame, root: str) -> str:
     """Write a new version beside the others; Spark's committer marks it complete, so a failed write is never read."""
-    path = f"{root.rstrip('/')}/v{time.time_ns():020d}"
+    path = f"{root.rstrip('/')}/v{stamp()}"
     df.write.parquet(path)
     return path
 
@@ -34,21 +48,63 @@ def read_latest(spark: SparkSession, root: str, back: int = 0) -> DataFrame:
     return spark.read.parquet(found[-1 - back])
 
 
+def write_set(tables: dict[str, DataFrame], root: str) -> str:
+    """Write tables that belong together as a new version beside the others. A marker is written last: a set that breaks
+    off is never read, and readers of the version before go on reading that."""
+    path = f"{root.rstrip('/')}/v{stamp()}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker).close()
+    return path
+
+
+def read_set(spark: SparkSession, root: str, name: str, back: int = 0) -> DataFrame:
+    """A table of the newest complete set, or of the one ``back`` before it."""
+    found = versions(spark, root)
+    if len(found) <= back:
+        raise FileNotFoundError(f"no such version in {root}")
+    return spark.read.parquet(f"{found[-1 - back]}/{name}")
+
+
 def table_metadata(images: DataFrame, parts: DataFrame, source: str) -> DataFrame:
     """One row: when, how many images and parts, their dimension and the kind of index."""
     own = images.agg(F.count("*").alias("total_images"), F.max(F.size("embedding")).alias("embedding_dim"))
-    kind = F.when(F.col("total_images") > 100_000, "IVFFlat").otherwise("Flat")
-    return own.join(parts.agg(F.count("*").alias("total_parts"))).select(F.current_timestamp().alias("created_at"), "total_images", "total_parts", "embedding_dim", kind.alias("index_type_images"), F.lit("Flat").alias("index_type_centroids"), F.lit(source).alias("source"))
+    kind = F.when(F.col("total_images") > config.FLAT_ROWS, "IVFFlat").otherwise("Flat")
+    return own.withColumn("total_parts", parts.agg(F.count("*")).scalar()).select(F.current_timestamp().alias("created_at"), "total_images", "total_parts", "embedding_dim", kind.alias("index_type_images"), F.lit("Flat").alias("index_type_centroids"), F.lit(source).alias("source"))
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata as written, with the types of its fields."""
+    return spark.read.schema(METADATA).json(path)
+
+
 def response(results: DataFrame) -> DataFrame:
-    """A JSON document for each query: its results by rank."""
-    rows = F.sort_array(F.collect_list(F.struct("rk", "part_id", "distance", "similarity", "is_best")))
-    return results.groupBy("qid").agg(F.to_json(F.struct(F.lit(True).alias("success"), rows.alias("results"))).alias("body"))
+    """A JSON document for each query: its results by rank, with a sample image where the results have one."""
+    fields = ["rk", "part_id", "distance", "similarity", "is_best", *(["sample"] if "sample" in results.columns else [])]
+    rows = F.sort_array(F.collect_list(F.struct(*fields)))
+    return results.groupBy("qid").agg(F.lit(200).alias("status"), F.to_json(F.struct(F.lit(True).alias("success"), rows.alias("results"))).alias("body"))
+
+
+def failures(views: DataFrame) -> DataFrame:
+    """A JSON document for each query without a usable view (qid, error): status 400, or 500 if it is no fault of the upload."""
+    usable = F.count_if(F.col("error").isNull())
+    message = F.min("error")
+    status = F.when(F.min(F.coalesce(F.col("error").startswith("internal: "), F.lit(False))), F.lit(500)).otherwise(F.lit(400))
+    failed = views.groupBy("qid").agg(usable.alias("usable"), message.alias("error"), status.alias("status")).filter("usable = 0")
+    return failed.select("qid", "status", F.to_json(F.struct(F.lit(False).alias("success"), "error")).alias("body"))
+
+
+def parse_response(bodies: DataFrame) -> DataFrame:
+    """The results of JSON documents (qid, body) as rows again."""
+    row = "struct<rk:int,part_id:string,distance:double,similarity:double,is_best:boolean,sample:string>"
+    parsed = F.from_json("body", f"struct<success:boolean,results:array<{row}>,error:string>")
+    return bodies.select("qid", parsed.alias("p")).select("qid", "p.success", "p.error", F.explode_outer("p.results").alias("r")).select("qid", "success", "error", "r.*")
 
 
 def write_lines(results: DataFrame, path: str) -> None:
@@ -57,8 +113,12 @@ def write_lines(results: DataFrame, path: str) -> None:
 
 
 def health(images: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row: status and table sizes."""
-    return images.agg(F.count("*").alias("images_count")).join(parts.agg(F.count("*").alias("centroids_count"))).select(F.lit("ok").alias("status"), "centroids_count", "images_count")
+    """One row: status, table sizes, dimension of the vectors and kind of index."""
+    own = images.agg(F.count("*").alias("images_count"), F.max(F.size("embedding")).alias("embedding_dim"))
+    kind = F.when(F.col("images_count") > config.FLAT_ROWS, "IVFFlat").otherwise("Flat")
+    counted = own.withColumn("centroids_count", parts.agg(F.count("*")).scalar())
+    status = F.when((F.col("images_count") > 0) & (F.col("centroids_count") > 0), "ok").otherwise("empty")
+    return counted.select(status.alias("status"), "centroids_count", "images_count", "embedding_dim", kind.alias("index_type"))
 
 
 def stored_megabytes(spark: SparkSession, path: str) -> DataFrame:

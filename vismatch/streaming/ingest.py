@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions import vectors
 
 
 def ingest(source: DataFrame, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
@@ -21,16 +26,35 @@ def read_ingested(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).drop("batch")
 
 
-def centroid_state(images: DataFrame) -> DataFrame:
-    """Sums and counts by part and dimension: states of disjoint increments add up."""
-    x = images.select("part_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
-    return x.groupBy("part_id", "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+_STATE = "n long, s array<double>"
+
+
+def _added(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The group's count and sum so far, with the partial sums of this micro-batch."""
+    n, total = state.get if state.exists else (0, None)
+    total = None if total is None else np.array(total)
+    for frame in frames:
+        own = np.sum(np.stack(frame["s"].to_numpy()), axis=0)
+        total, n = own if total is None else total + own, n + int(frame["n"].sum())
+    state.update((n, total.tolist()))
+    yield pd.DataFrame({"part_id": [key[0]], "n": [n], "s": [total.tolist()]})
+
 
+def run_centroids(images: DataFrame, target: str, checkpoint: str) -> None:
+    """Add all new images of a stream (part_id, embedding) to the running sums and counts of their parts.
+
+    The state lives in the checkpoint. A micro-batch sends one partial sum for each part and task, and writes the parts
+    that it changed to target; a batch that is run again replaces its own rows."""
+    partly = vectors.vector_sums(images, ["part_id"], "embedding")
+    running = partly.groupBy("part_id").applyInPandasWithState(_added, f"part_id string, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-def merged_state(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy("part_id", "dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    running.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def centroids_of(state: DataFrame) -> DataFrame:
-    entries = F.sort_array(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("x"))))
-    return state.groupBy("part_id").agg(F.transform(entries, lambda e: e["x"]).alias("v"), F.max("n").alias("n_images"))
+def read_centroids(spark: SparkSession, target: str) -> DataFrame:
+    """part_id, v, n_images: the newest centroid of each part."""
+    newest = spark.read.parquet(target).groupBy("part_id").agg(F.max_by(F.struct("n", "s"), "batch").alias("c"))
+    return newest.select("part_id", F.transform("c.s", lambda x: x / F.col("c.n")).alias("v"), F.col("c.n").alias("n_images"))
