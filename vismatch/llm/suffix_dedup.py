@@ -14,16 +14,20 @@ one keeps the groups of equal seeds small.
    suffix, by which the array is sorted), the document, and a 48-bit hash for each left extension ``o`` that chose it.
    A context that a task has sent before is sent as its hash only.
 2. The records are dealt and sorted by seed; equal ones are neighbours. Records of a seed that stands alone go. For the
-   others, equal extension hashes are matched.
+   others, equal extension hashes are matched: a hash of ``min_words`` words stands for the words of both sides.
+   Records of a seed that has more than ``HOT`` of them never meet in one task: they are added up by context, then by
+   extension hash, each time before they are shuffled, and what is found comes back to them by context.
 3. Matched extensions that follow each other form spans; a document's overlapping spans are merged.
 
-Defined cases: texts that are null or shorter than ``min_words`` words have no spans; rows with a null document id take
-no part, as no result row could name them; rows that repeat an id count as copies of each other, and their common span
+Defined cases: texts that are null or shorter than ``min_words`` words have no spans; rows with a null document id count
+as places after all others, so what they share with a document makes that document's span, but no result row names them;
+rows that repeat an id count as copies of each other, and their common span
 is reported once, as first. The first occurrence is the one with the smallest id, then the smallest start.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, Rolling, WordHash, as_bytes, blocks
+from ._common import Rolling, WordHash, as_bytes, blocks, materialise, shared_dir
 
 _SAMPLES = "seed long, context long, doc_id long, start int, n int, times int, hashes binary"
 _SPANS = "doc_id long, is_first boolean, start_word int, end_word int, first_doc_id long"
+#: Records of a seed from which it is matched by its extensions, not in one task.
+HOT = 200_000
+_NO_ID = (1 << 63) - 1  # stands for null, after all ids
 #: Contexts that a task remembers as sent.
 _REMEMBERED = 300_000
 #: Share of the documents on which common seeds are counted, and the share of all seeds from which one is common. At
@@ -96,8 +103,9 @@ def _kept_suffixes(min_words: int, seed_words: int, common: np.ndarray):
             parts, blobs = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 words = (text or b"").split()
-                if doc is None or len(words) < min_words:
+                if len(words) < min_words:
                     continue
+                doc = _NO_ID if doc is None else doc
                 prefix = rolling.prefix(hashed.of(words))
                 seeds, whole = rolling.windows(prefix, seed_words), rolling.windows(prefix, min_words)
                 order = seeds >> np.uint64(1)
@@ -181,7 +189,7 @@ def _matched(seed, context, doc, start, n, times, blobs, min_words: int) -> pa.R
     out = []
     lead_of = lead[entry]
     for flag, rows, of in (
-        (False, np.flatnonzero(np.arange(len(entry)) != lead_of), repeated),
+        (False, np.flatnonzero((doc != doc[lead_of]) | (start != start[lead_of])), repeated),
         (False, lead, repeated & ~is_first),
         (True, lead, repeated & is_first),
     ):
@@ -229,6 +237,22 @@ def _flush(held: list[pa.RecordBatch], min_words: int) -> pa.RecordBatch | None:
     return _matched(*cols, table.column("hashes").chunk(0) if table.num_rows else [], min_words)
 
 
+def _matched_hot(records: DataFrame, min_words: int) -> DataFrame:
+    """The spans of records whose seeds are hot, by aggregations that combine before they shuffle."""
+    place = F.struct("doc_id", "start")
+    entries = records.groupBy("seed", "context").agg(F.sum("times").alias("found"), F.min(place).alias("lead"), F.max("hashes").alias("hashes"), F.first("n").alias("n"))
+    offsets = entries.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    windows = offsets.select("seed", "context", "found", "lead", "o", F.substring(F.hex("hashes"), 12 * F.col("o") + 1, F.lit(12)).alias("hash"))
+    first = F.min(F.struct(F.col("lead.doc_id").alias("doc_id"), (F.col("lead.start") + F.col("o")).alias("at")))
+    totals = windows.groupBy("seed", "hash").agg(F.sum("found").alias("total"), first.alias("first")).filter("total > 1")
+    repeated = windows.join(totals, ["seed", "hash"]).select("seed", "context", "o", "first")
+    found = repeated.groupBy("seed", "context").agg(F.collect_list(F.struct("o", "first")).alias("windows"))  # as many as the context has
+    spans = records.select("seed", "context", "doc_id", "start", "n", "times").join(found, ["seed", "context"]).withColumn("w", F.explode("windows"))
+    at = F.col("start") + F.col("w.o")
+    is_first = (F.col("doc_id") == F.col("w.first.doc_id")) & (at == F.col("w.first.at"))
+    return spans.select("doc_id", is_first.alias("is_first"), at.cast("int").alias("start_word"), (at + min_words + (F.col("times") - 1) * F.col("n")).cast("int").alias("end_word"), F.col("w.first.doc_id").alias("first_doc_id"))
+
+
 def find_repeats(docs: DataFrame, min_words: int = 50, seed_words: int = 10) -> DataFrame:
     """Spans of words that lie in a run of ``min_words`` words found at another place too.
 
@@ -239,8 +263,15 @@ def find_repeats(docs: DataFrame, min_words: int = 50, seed_words: int = 10) ->
     if not 0 < seed_words <= min_words:
         raise ValueError("seed_words must lie between 1 and min_words")
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kept = columns.mapInArrow(_kept_suffixes(min_words, seed_words, common_seeds(columns, seed_words)), _SAMPLES)
-    spans = kept.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compared(min_words), _SPANS)
+    folder = shared_dir(docs.sparkSession)
+    kept = materialise(columns.mapInArrow(_kept_suffixes(min_words, seed_words, common_seeds(columns, seed_words)), _SAMPLES), f"{folder}/kept")
+    hot = materialise(kept.groupBy("seed").agg(F.count("*").alias("records")).filter(F.col("records") > HOT).select("seed"), f"{folder}/hot")
+    many = not hot.isEmpty()
+    calm = kept.join(hot, "seed", "left_anti").select(*kept.columns) if many else kept
+    spans = calm.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compared(min_words), _SPANS)
+    if many:
+        spans = spans.unionByName(_matched_hot(kept.join(hot, "seed", "left_semi"), min_words))
+    spans = spans.filter(F.col("doc_id") != _NO_ID)
     own = Window.partitionBy("doc_id", "is_first").orderBy("start_word", "end_word")
     before = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(before >= F.col("start_word"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0))
@@ -252,33 +283,36 @@ def find_repeats(docs: DataFrame, min_words: int = 50, seed_words: int = 10) ->
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches):
-        texts = []
-        for text, spans in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
-            if spans and text is not None:
-                gone = {i for a, b in ((s["start_word"], s["end_word"]) for s in spans) for i in range(a, b)}
-                text, rest, word = b"", text, 0
-                while rest:  # a word with the blanks before it
-                    body = rest.lstrip(BLANKS)
-                    if not body:
-                        text += rest
-                        break
-                    size = len(rest) - len(body) + len(body.split(None, 1)[0])
-                    if word not in gone:
-                        text += rest[:size]
-                    rest, word = rest[size:], word + 1
-            texts.append(None if text is None else text.decode("utf-8", "replace"))
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).select([c for c in batch.schema.names if c != "spans"])
+_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+
+
+def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """text without the words of the spans and the blanks before them."""
+    ends = [0, *(m.end() for m in _WORD.finditer(text))]  # bytes up to the end of so many words
+    out, done = [], 0
+    for a, b in sorted(spans):
+        if a > done:
+            out.append(text[ends[done] : ends[a]])
+        done = max(done, b)
+    return b"".join([*out, text[ends[done] :]])
+
+
+def _without(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            columns = dict(zip(names, batch.column("_row").flatten()))
+            old = as_bytes(columns["text"])
+            spans = [[(s["start_word"], s["end_word"]) for s in own or ()] for own in batch.column("_spans").to_pylist()]
+            new = [cut(t, own) if t is not None and own else t for t, own in zip(old, spans)]
+            columns["text"] = pa.array(new, pa.binary()).cast(columns["text"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the words of every span that is not first cut out of the texts; other columns stay."""
-    per = (
-        spans.filter("not is_first")
-        .groupBy(F.col("doc_id").alias("_span_doc"))
-        .agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    )
-    joined = docs.join(per, docs["doc_id"] == per["_span_doc"], "left").drop("_span_doc")
-    return joined.mapInArrow(_cut, docs.schema)
+    """docs with the words of every span that is not first cut out of the texts; other columns, of any names, stay."""
+    per = spans.filter("not is_first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    packed = docs.select(F.struct("*").alias("_row"))  # no name of its own can clash
+    joined = packed.join(per, F.col("_row.doc_id") == F.col("_id"), "left").select("_row", "_spans")
+    return joined.mapInArrow(_without(docs.columns), docs.schema)
