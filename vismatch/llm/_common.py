@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from ..session import drop as drop
 from ..session import shared_dir as shared_dir
 
 #: White space of the word contracts; ``bytes.split()`` splits on exactly these six.

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, blocks, materialise, shared_dir
+from ._common import as_bytes, blocks, drop, materialise, shared_dir
 
 RADIUS = 3
 SHINGLE = 3
@@ -300,6 +300,7 @@ def components(links: DataFrame, folder: str, most_rounds: int = 60) -> DataFram
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/round{round_}")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        drop(links.sparkSession, f"{folder}/round{round_ - 1}")
         if now == before:
             break
         before = now

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, blocks, materialise, mix, shared_dir
+from ._common import as_bytes, blocks, drop, materialise, mix, shared_dir
 
 END_ID = 2
 SCALE_BITS = 20
@@ -464,6 +464,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str) -> None:
     table = [(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)]
     docs.sparkSession.createDataFrame(table, "id long, frequency long").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
     units.drop("counts").mapInArrow(_coded(frequencies, dtype), f"{_UNITS}, payload binary").write.mode("overwrite").parquet(f"{path}/blocks")
+    drop(docs.sparkSession, f"{path}/ids")
 
 
 def _decoded(frequencies: np.ndarray, with_ids: bool):
