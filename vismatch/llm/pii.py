@@ -38,7 +38,7 @@ PHONE = (
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-PATTERN = "|".join((EMAIL, DATE, SSN, PHONE, IP, CARD, SECRET))
+PATTERN = f"{EMAIL}|(?=[0-9(+])(?:{DATE}|{SSN}|{PHONE}|{IP}|{CARD})|{SECRET}"  # letters skip what begins otherwise
 
 #: A country code with at least two digits after it, which every match of PHONE that begins with a plus has.
 COUNTRY = r"^[+](?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})(?=(?:[^0-9]*[0-9]){2})"
