@@ -455,7 +455,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str) -> None:
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = columns.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
+    order = F.col("doc_id"), F.xxhash64("text")  # rows that share an id, or have none, are many tasks' work too
+    dealt = columns.repartitionByRange(*order).sortWithinPartitions(*order)
     units = materialise(dealt.mapInArrow(_tokenised(tokenizer), f"{_UNITS}, ids binary, counts binary"), f"{path}/ids")
     counts = np.zeros(size, np.int64)
     for row in units.filter("counts is not null").select("counts").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
