@@ -265,9 +265,13 @@ def test_commands(spark, tmp_path, capsys):
     png(tmp_path / "raw/p1/a.png", picture(1))
     (tmp_path / "raw/p1/a.png").rename(tmp_path / "raw/p1/a.jpg")
     at = lambda name: str(tmp_path / name)
+    assert command.main(["extract", at("none"), at("vectors")], spark) == 1
     for line in (["preprocess", at("raw"), at("made"), "--size", "16"], ["extract", at("raw"), at("vectors")], ["centroids", at("vectors"), at("centroids")], ["index", at("vectors"), at("index")], ["search", at("index"), at("raw"), "--output", at("lines")]):
-        command.main(line, spark)
-    assert "1 centroids" in capsys.readouterr().out
+        assert command.main(line, spark) == 0
+    printed = capsys.readouterr().out
+    assert "1 centroids" in printed and "1 images found" in printed
+    assert tuple(jobs.health(spark, at("index"), encode.ColourGrid()).first()) == ("ok", True, True, 1, 1)
+    assert tuple(jobs.health(spark, at("nothing")).first()) == ("empty", False, False, 0, 0)
     assert [r.value for r in spark.read.text(at("lines")).collect()] == ["p1\t100.0000"]
 
 
@@ -355,3 +359,29 @@ def test_shared_folders_can_be_cleared(spark):
     assert sinks.exists(spark, folder)
     clear_shared(spark)
     assert not sinks.exists(spark, folder)
+
+
+def test_pages_and_uploads(spark):
+    images = spark.createDataFrame([(x,) for x in "dbace"], "image_id string")
+    assert [tuple(r) for r in catalogue.page(images, 1, 2).orderBy("position").collect()] == [("b", 1), ("c", 2)]
+    rows = [(1, 0, "", b"x"), (1, 1, "a.JPG", b"x"), (1, 2, "b.gif", b"x"), (1, 3, "c.png", b"y"), (1, 4, None, b"x"), (2, 0, "d.jpeg", None)]
+    uploads = spark.createDataFrame([(q, p, n, c and bytearray(c)) for q, p, n, c in rows], "qid long, position int, name string, content binary")
+    assert [(r.qid, r.view_no, bytes(r.content)) for r in catalogue.upload_views(uploads).orderBy("view_no").collect()] == [(1, 1, b"x"), (1, 2, b"y")]
+
+
+def test_images_can_be_transformed_before_they_are_encoded(spark, tmp_path):
+    png(tmp_path / "a.png", picture(1))
+    images = catalogue.read_images(spark, str(tmp_path))
+    plain, turned = (encode.encode(images, encode.ColourGrid(), transform=t).first().embedding for t in (None, lambda image: image[::-1]))
+    assert plain != turned and len(turned) == encode.ColourGrid.dim
+
+
+def test_a_corrupt_table_is_an_error(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "table/v1"))
+    assert sinks.read_latest(spark, str(tmp_path / "table")).count() == 3
+    for file in (tmp_path / "table/v1").glob("part-*"):
+        file.write_bytes(b"broken")
+    for crc in (tmp_path / "table/v1").glob(".part-*"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sinks.read_latest(spark, str(tmp_path / "table")).agg(F.sum("id")).collect()

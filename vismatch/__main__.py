@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("table")
     one.add_argument("--size", type=int, default=config.SIZE)
     one.add_argument("--padding", type=float, default=config.PADDING)
+    one.add_argument("--confidence", type=float, default=config.CONFIDENCE)
+    one.add_argument("--overlap", type=float, default=config.OVERLAP)
     one.add_argument("--stretch", action="store_true", help="do not keep the aspect")
     one.add_argument("--force", action="store_true", help="process images that are there already")
     one.add_argument("--limit", type=int, help="only the first so many, for a test")
@@ -42,15 +44,23 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--stage-one", type=int, default=config.STAGE_ONE)
     one.add_argument("--no-rerank", action="store_true")
     one.add_argument("--output", help="write lines of id and score there")
+    one = jobs_.add_parser("health", help="what a stored index holds")
+    one.add_argument("index")
     return out
 
 
-def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
+def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """0, or 1 if what the job reads is not there."""
     own = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("vismatch").getOrCreate()
     ship(spark)
+    for source in (getattr(own, name, None) for name in ("images", "vectors" if own.job in ("centroids", "index") else "images")):
+        if source is not None and not sinks.exists(spark, source):
+            print(source, "is not there")
+            return 1
     if own.job == "preprocess":
-        records = jobs.preprocess_images(spark, own.images, own.table, encode.WholeImage(), own.force, own.limit, size=own.size, padding=own.padding, keep_aspect=not own.stretch)
+        print(catalogue.list_images(spark, own.images).count(), "images found")
+        records = jobs.preprocess_images(spark, own.images, own.table, encode.WholeImage(), own.force, own.limit, size=own.size, padding=own.padding, keep_aspect=not own.stretch, confidence=own.confidence, overlap=own.overlap)
         jobs.run_report(records).show(vertical=True, truncate=False)
     elif own.job == "extract":
         jobs.load_new_images(spark, own.images, own.vectors, encode.ColourGrid(), own.force).show(truncate=False)
@@ -58,6 +68,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         print(jobs.save_centroids(sinks.read_latest(spark, own.vectors), own.target, own.vectors).count(), "centroids")
     elif own.job == "index":
         jobs.save_index(sinks.read_latest(spark, own.vectors), own.target, source=own.vectors).show(vertical=True, truncate=False)
+    elif own.job == "health":
+        jobs.health(spark, own.index, encode.ColourGrid()).show(vertical=True)
     else:
         encoded = encode.encode(catalogue.read_images(spark, own.images), encode.ColourGrid())
         queries = encoded.filter("embedding is not null").select("path", F.xxhash64("path").alias("qid"), F.col("embedding").alias("v"))
@@ -66,7 +78,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             sinks.write_lines(found, own.output)
         else:
             found.join(queries.select("qid", "path"), "qid").orderBy("path", "rk").select("path", "rk", "part_id", "similarity", "sample").show(1_000, truncate=False)
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    raise SystemExit(main())

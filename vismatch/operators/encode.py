@@ -28,6 +28,11 @@ class Encoder(Protocol):
         """A unit vector of ``dim`` elements for a BGR image."""
 
 
+class ImageTransform(Protocol):
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        """The BGR image that is encoded, made from a decoded one."""
+
+
 class Detector(Protocol):
     def detect(self, image: np.ndarray) -> list[tuple[float, float, float, float, float]]:
         """Boxes x1, y1, x2, y2 with their confidence."""
@@ -99,13 +104,13 @@ def _map_rows(df: DataFrame, each: Callable[[dict], dict], schema: str) -> DataF
 _RECORD = "success boolean, operations array<string>, original_size string, final_size string, detection_confidence double, processing_time double, skipped boolean, error string"
 
 
-def preprocess(images: DataFrame, detector: Detector, size: int = config.SIZE, keep_aspect: bool = True, padding: float = config.PADDING) -> DataFrame:
+def preprocess(images: DataFrame, detector: Detector, size: int = config.SIZE, keep_aspect: bool = True, padding: float = config.PADDING, confidence: float = config.CONFIDENCE, overlap: float = config.OVERLAP) -> DataFrame:
     """Detected part (or centre square), enhanced and resized: path, image bytes of size x size x 3, and a record each."""
 
     def one(image: dict) -> tuple[np.ndarray, list[str], str, float]:
         own = pixels_of(image)
         h, w = own.shape[:2]
-        boxes = suppress(detector.detect(own))
+        boxes = suppress(detector.detect(own), confidence, overlap)
         if boxes:
             x1, y1, x2, y2 = (int(v) for v in boxes[0][:4])
             dx, dy = int((x2 - x1) * padding), int((y2 - y1) * padding)
@@ -132,16 +137,19 @@ def preprocess(images: DataFrame, detector: Detector, size: int = config.SIZE, k
     return _map_rows(images.select("path", "image", "error"), each, f"path string, pixels binary, {_RECORD}")
 
 
-def encode(images: DataFrame, encoder: Encoder | Callable[[], Encoder], size: int = config.QUERY_SIZE) -> DataFrame:
+def encode(images: DataFrame, encoder: Encoder | Callable[[], Encoder], size: int = config.QUERY_SIZE, transform: ImageTransform | None = None) -> DataFrame:
     """path, embedding and error for each row of read_images; a row that fails keeps its error, and no vector.
 
-    encoder: an encoder, or a class or function of a module that makes one, which each worker process calls once."""
+    encoder: an encoder, or a class or function of a module that makes one, which each worker process calls once. transform: what is
+    done to an image first; without one its foreground is cut out and brought to size."""
+
+    shown = transform or (lambda image: pixels.query_crop(image, size))
 
     def each(row: dict) -> dict:
         if row["error"] is not None:
             return {"path": row["path"], "error": row["error"]}
         try:
-            return {"path": row["path"], "embedding": of_worker(encoder).encode(pixels.query_crop(pixels_of(row["image"]), size)).tolist()}
+            return {"path": row["path"], "embedding": of_worker(encoder).encode(shown(pixels_of(row["image"]))).tolist()}
         except ValueError as e:
             return {"path": row["path"], "error": str(e)}
 

@@ -115,6 +115,16 @@ def answer_uploads(uploads: DataFrame, root: str, encoder: encode.Encoder, decod
     return sinks.response(answer(fused, root, **options)).unionByName(failed)
 
 
+def health(spark: SparkSession, root: str, encoder: encode.Encoder | None = None) -> DataFrame:
+    """One row: whether a model and a stored index are there, and the sizes of the index's tables."""
+    there = bool(sinks.versions(spark, root))
+    loaded = {"model_loaded": F.lit(encoder is not None), "indexes_loaded": F.lit(there)}
+    if not there:
+        return spark.range(1).select(F.lit("empty").alias("status"), *[v.alias(k) for k, v in loaded.items()], F.lit(0).cast("long").alias("centroids_count"), F.lit(0).cast("long").alias("images_count"))
+    found = sinks.health(sinks.read_set(spark, root, "images"), sinks.read_set(spark, root, "centroids"))
+    return found.select("status", *[v.alias(k) for k, v in loaded.items()], "centroids_count", "images_count")
+
+
 def run_report(records: DataFrame) -> DataFrame:
     """Counters, rates and times of a preprocessing run."""
     return stats.run_stats(records.withColumn("detected", F.col("detection_confidence") > 0).fillna(False, ["detected", "skipped", "success"]))

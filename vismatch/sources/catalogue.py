@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -16,6 +16,24 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     return files.filter(paths.is_image(F.col("path"))).select("path", rel.alias("rel_path"), "length", "modificationTime")
 
 
+def page(images: DataFrame, first: int, rows: int) -> DataFrame:
+    """Images ``first`` to ``first + rows - 1`` in the order of their ids, counted from 0, with their position.
+
+    The ids before the page's end are ordered by a limit, so that no more of them are sorted than it takes."""
+    found = images.orderBy("image_id").limit(first + rows)
+    place = (F.row_number().over(Window.orderBy("image_id")) - 1).cast("long")
+    return found.withColumn("position", place).filter(F.col("position") >= first)
+
+
+def upload_views(uploads: DataFrame) -> DataFrame:
+    """qid, view_no and content of the uploads (qid, position, name, content) that have a name with an image's suffix.
+
+    Views are numbered after that, so an upload that cannot be decoded later keeps its slot."""
+    valid = uploads.filter(F.col("content").isNotNull() & F.coalesce(paths.is_image(F.col("name")), F.lit(False)))
+    number = F.row_number().over(Window.partitionBy("qid").orderBy("position"))
+    return valid.select("qid", number.alias("view_no"), "content")
+
+
 def list_parts(spark: SparkSession, root: str) -> DataFrame:
     """Two levels, <part>/<name>.jpg with a lower-case suffix: path, part_id, image_name, image_id."""
     files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.jpg").select("path")
