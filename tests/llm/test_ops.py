@@ -615,6 +615,10 @@ def test_keys_of_words():
     assert counts.tolist() == [len(w) for w in own]
     assert keys.tolist() == [lm_score._signed(WordKeys.of(w)) for words_ in own for w in words_]
     assert [len(x) for x in lm_score.keys_of([])] == [0, 0]
+    cut = WordKeys()
+    cut.AT_ONCE = 8  # texts are cut, and words of more than 32 bytes hashed one by one
+    texts += [b"word " * 50 + b"y" * 40 + b" end", b"z" * 33]
+    assert [x.tolist() for x in cut.of_texts([(t or b"").lower() for t in texts])] == [x.view(np.uint64).tolist() if i == 0 else x.tolist() for i, x in enumerate(lm_score.keys_of(texts))]
 
 
 def test_scores_are_those_of_a_plain_loop(monkeypatch):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +98,7 @@ class WordKeys:
 
     def __init__(self) -> None:
         self.rolling = Rolling()
+        self.blanks = re.compile(b"[" + BLANKS + b"]")
         self.blank = np.zeros(256, bool)
         self.blank[list(BLANKS)] = True
 
@@ -110,15 +112,40 @@ class WordKeys:
 
     def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all words, text after text, and the number of words of each text."""
-        keys, counts, held, size = [], [], [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= self.AT_ONCE:
+        keys, counts, owners, held, size = [np.zeros(0, np.uint64)], [], [], [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
                 self._hash(held, keys, counts)
-                held, size = [], 0
-        self._hash(held, keys, counts)
-        return np.concatenate(keys), np.concatenate(counts)
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            for piece in self._pieces(text):
+                owners.append(i)
+                if len(piece) > 4 * self.AT_ONCE:  # it has a very long word
+                    flush()
+                    words = piece.split()
+                    keys.append(np.array([self.of(w) for w in words], np.uint64))
+                    counts.append([len(words)])
+                    continue
+                held.append(piece)
+                size += len(piece)
+                if size >= self.AT_ONCE:
+                    flush()
+        flush()
+        total = np.zeros(len(texts), np.int64)
+        if owners:
+            np.add.at(total, owners, np.concatenate(counts).astype(np.int64))
+        return np.concatenate(keys), total
+
+    def _pieces(self, text: bytes) -> Iterator[bytes]:
+        """A text cut at blanks into pieces of about AT_ONCE bytes, so that memory does not follow its length."""
+        at = 0
+        while len(text) - at > self.AT_ONCE and (found := self.blanks.search(text, at + self.AT_ONCE)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:]
 
     def _hash(self, texts: list[bytes], keys: list, counts: list) -> None:
         data = b" " + b" ".join(texts) + b" "

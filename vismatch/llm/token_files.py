@@ -257,6 +257,9 @@ class Tokens:
                 continue
             while at >= 0:
                 cut = text.find(b" ", at + self.AT_ONCE)
+                if (len(text) if cut < 0 else cut) - at > 4 * self.AT_ONCE:  # a unit too long to hash: the text is coded whole
+                    parts[i].append(None)
+                    break
                 held.append((i, text[at:] if cut < 0 else text[at:cut], at == 0))
                 size += len(held[-1][1])
                 at = cut + 1 if cut >= 0 else -1
