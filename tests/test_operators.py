@@ -201,11 +201,13 @@ def test_means_in_many_pieces(spark, monkeypatch):
     assert sum(n for _, n in found.values()) == 60
     with pytest.raises(Exception, match="elements"):
         vectors.vector_mean(spark.createDataFrame([("a", [1.0]), ("a", [1.0, 2.0])], "key string, v array<double>").coalesce(1), ["key"], "v").collect()
-    pieces = vectors._summed(["key"], False)
+    pieces = vectors._summed(["key"])
     monkeypatch.setattr(vectors, "SUMMED_VALUES", 3)
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array(["a", "b", "a"]), pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])], names=["key", "v"])
+    whole = list(vectors._merged(["key"], True)(iter([b for key in "ab" for b in (x.filter(pa.array([k == key for k in x.column("key").to_pylist()])) for x in pieces(iter([batch, batch])))])))
+    assert [r for b in whole for r in b.to_pylist()] == [{"key": "a", "s": [3.0, 4.0], "n": 4}, {"key": "b", "s": [3.0, 4.0], "n": 2}]
     assert [b.to_pylist() for b in pieces(iter([batch, batch]))] == 2 * [[{"key": "a", "s": [6.0, 8.0], "n": 2}, {"key": "b", "s": [3.0, 4.0], "n": 1}]]
 
 

@@ -43,8 +43,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 SUMMED_VALUES = 1 << 23
 
 
-def _summed(keys: list[str], weighted: bool):
-    """Sums of vectors by key, one numpy addition for each Arrow batch; with ``weighted`` the rows are sums with counts."""
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _summed(keys: list[str]):
+    """Sums of vectors by key, one numpy addition for each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[tuple, int] = {}
@@ -54,8 +58,7 @@ def _summed(keys: list[str], weighted: bool):
         def flush() -> pa.RecordBatch:
             n = len(place)
             columns = [pa.array(c, k) for c, k in zip(zip(*place), kinds)]
-            offsets = pa.array(np.arange(0, n * sums.shape[1] + 1, max(1, sums.shape[1]))[: n + 1], pa.int32())
-            return pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, pa.array(sums[:n].ravel())), pa.array(counts[:n])], names=[*keys, "s", "n"])
+            return pa.record_batch([*columns, _lists(sums[:n]), pa.array(counts[:n])], names=[*keys, "s", "n"])
 
         for batch in batches:
             batch = batch.filter(batch.column("v").is_valid())
@@ -74,7 +77,7 @@ def _summed(keys: list[str], weighted: bool):
             starts = np.flatnonzero(np.diff(at[order], prepend=-1))
             own = at[order[starts]]
             sums[own] += np.add.reduceat(x[order], starts, axis=0, dtype=np.float64)
-            counts[own] += np.add.reduceat(batch.column("n").to_numpy()[order], starts) if weighted else np.diff(np.append(starts, len(at)))
+            counts[own] += np.diff(np.append(starts, len(at)))
             if len(place) * x.shape[1] > SUMMED_VALUES:
                 yield flush()
                 place, sums, counts = {}, np.zeros((0, x.shape[1])), np.zeros(0, np.int64)
@@ -84,26 +87,56 @@ def _summed(keys: list[str], weighted: bool):
     return run
 
 
+def _merged(keys: list[str], mean: bool):
+    """Sums of a key added up; its rows follow each other, so only the last key of a batch is carried on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: tuple | None = None  # key, sum, number
+        kinds: list[pa.DataType] = []
+
+        def rows(found: list[tuple], sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
+            return pa.record_batch([*columns, _lists(sums / counts[:, None] if mean else sums), pa.array(counts)], names=[*keys, "s", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.column(k).type for k in keys]
+            own, x, n = list(zip(*(batch.column(k).to_pylist() for k in keys))), matrix(batch.column("s")), batch.column("n").to_numpy()
+            starts = np.array([0, *(i for i in range(1, len(own)) if own[i] != own[i - 1])])
+            sums, counts = np.add.reduceat(x, starts, axis=0), np.add.reduceat(n, starts)
+            found = [own[i] for i in starts.tolist()]
+            if open_ is not None and len(open_[1]) != sums.shape[1]:
+                raise ValueError(f"vectors have {len(open_[1])} and {sums.shape[1]} elements")
+            if open_ is not None and open_[0] == found[0]:
+                sums[0] += open_[1]
+                counts[0] += open_[2]
+            elif open_ is not None:
+                yield rows([open_[0]], open_[1][None], np.array([open_[2]]))
+            if len(found) > 1:
+                yield rows(found[:-1], sums[:-1], counts[:-1])
+            open_ = found[-1], sums[-1], int(counts[-1])
+        if open_ is not None:
+            yield rows([open_[0]], open_[1][None], np.array([open_[2]]))
+
+    return run
+
+
 def vector_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Sum s and number n of the vectors of each key, partly summed: a task sends a row for each key that it meets."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, F.col(vector).alias("v")).mapInArrow(_summed(keys, False), f"{kinds}, s array<double>, n long")
+    return df.select(*keys, F.col(vector).alias("v")).mapInArrow(_summed(keys), f"{kinds}, s array<double>, n long")
 
 
-def merged_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of vector_sums added up: one row for each key."""
-    dealt = sums.select(*keys, F.col("s").alias("v"), "n").repartition(*keys).sortWithinPartitions(*keys)
-    partly = dealt.mapInArrow(_summed(keys, True), sums.schema)
-    # a task with more keys than it may hold sends them in the order of keys, so each is whole but those it breaks off at
-    first = partly.groupBy(*keys).agg(F.collect_list(F.struct("s", "n")).alias("parts"))
-    added = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["s"], lambda a, p: F.zip_with(a, p["s"], lambda x, y: x + y))
-    return first.select(*keys, added.alias("s"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n"))
+def merged_sums(sums: DataFrame, keys: list[str], mean: bool = False) -> DataFrame:
+    """Rows of vector_sums added up: one row for each key; with ``mean`` the sums divided by their numbers."""
+    return sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merged(keys, mean), sums.schema)
 
 
 def vector_mean(df: DataFrame, keys: list[str], vector: str, out: str = "v", counted: str | None = None) -> DataFrame:
     """Mean vector for each key. Null vectors do not count."""
-    sums = merged_sums(vector_sums(df, keys, vector), keys)
-    return sums.select(*keys, F.transform("s", lambda x: x / F.col("n")).alias(out), *([F.col("n").alias(counted)] if counted else []))
+    means = merged_sums(vector_sums(df, keys, vector), keys, mean=True)
+    return means.select(*keys, F.col("s").alias(out), *([F.col("n").alias(counted)] if counted else []))
 
 
 def long_form(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

@@ -63,10 +63,8 @@ def build_centroids(images: DataFrame) -> DataFrame:
 def save_centroids(images: DataFrame, root: str, source: str = "") -> DataFrame:
     """Build the centroids, write them with their metadata as a new version, and return what was written."""
     spark = images.sparkSession
-    folder = shared_dir(spark)
-    build_centroids(images).write.parquet(f"{folder}/centroids")
-    built = spark.read.parquet(f"{folder}/centroids")
-    sinks.write_set({"centroids": built, "metadata": sinks.table_metadata(images, built, source)}, root)
+    metadata = lambda path: sinks.centroid_metadata(spark.read.parquet(f"{path}/centroids"), source)
+    sinks.write_set(spark, {"centroids": build_centroids(images), "metadata": metadata}, root)
     return sinks.read_set(spark, root, "centroids")
 
 
@@ -84,7 +82,7 @@ def save_index(images: DataFrame, root: str, cells: int | None = None, source: s
     if cells:
         centres, members = index.build_cells(own.select("image_id", F.col("embedding").alias("v")), "image_id", cells)
         tables |= {"members": index.by_cell(members), "centres": centres.coalesce(1)}
-    sinks.write_set(tables, root)
+    sinks.write_set(spark, tables, root)
     return sinks.read_set(spark, root, "metadata")
 
 

@@ -136,7 +136,7 @@ def _ivf(spark, sf_dir, cells: int, probed: int) -> DataFrame:
     images = _images(spark, sf_dir)
     centres, members = index.build_cells(_vectors(images), "vec_id", cells)
     root = f"{shared_dir(spark)}/index"
-    sinks.write_set({"members": index.by_cell(members), "centres": centres.coalesce(1)}, root)
+    sinks.write_set(spark, {"members": index.by_cell(members), "centres": centres.coalesce(1)}, root)
     found = index.probe(_asked(images), sinks.read_set(spark, root, "centres"), sinks.read_set(spark, root, "members"), "vec_id", TOP, probed)
     return _long_rank(_rounded(found, "l2"))
 

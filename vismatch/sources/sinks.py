@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +49,13 @@ def read_latest(spark: SparkSession, root: str, back: int = 0) -> DataFrame:
     return spark.read.parquet(found[-1 - back])
 
 
-def write_set(tables: dict[str, DataFrame], root: str) -> str:
-    """Write tables that belong together as a new version beside the others. A marker is written last: a set that breaks
+def write_set(spark: SparkSession, tables: dict[str, DataFrame | Callable[[str], DataFrame]], root: str) -> str:
+    """Write tables that belong together as a new version beside the others; a function makes a table from the version's
+    path, where the tables before it are written. A marker is written last: a set that breaks
     off is never read, and readers of the version before go on reading that."""
     path = f"{root.rstrip('/')}/v{stamp()}"
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
+        (df(path) if callable(df) else df).write.parquet(f"{path}/{name}")
     marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker).close()
     return path
@@ -75,6 +76,12 @@ def table_metadata(images: DataFrame, parts: DataFrame, source: str) -> DataFram
     return own.withColumn("total_parts", parts.agg(F.count("*")).scalar()).select(F.current_timestamp().alias("created_at"), "total_images", "total_parts", "embedding_dim", kind.alias("index_type_images"), F.lit("Flat").alias("index_type_centroids"), F.lit(source).alias("source"))
 
 
+def centroid_metadata(centroids: DataFrame, source: str) -> DataFrame:
+    """One row about centroids (part_id, v, n_images): when, how many of how many images, their dimension. Images are not read."""
+    found = centroids.agg(F.count("*").alias("total_parts"), F.sum("n_images").alias("total_images"), F.max(F.size("v")).alias("embedding_dim"))
+    return found.select(F.current_timestamp().alias("created_at"), "total_parts", "total_images", "embedding_dim", F.lit("mean").alias("data_type"), F.lit(source).alias("source"))
+
+
 def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("overwrite").json(path)
 
