@@ -375,11 +375,12 @@ def _pictures(spark, sf_dir) -> DataFrame:
 g AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, least(255.0, greatest(0.0, round((e * 4 + 0.5) * 255))) AS g FROM p),
 l AS (SELECT c.vec_id, sum(n.g) - 4 * max(c.g) AS v FROM g c, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS s(dy, dx), g n
   WHERE n.vec_id = c.vec_id AND n.y = 7 - abs(7 - abs(c.y + dy)) AND n.x = 7 - abs(7 - abs(c.x + dx)) GROUP BY c.vec_id, c.y, c.x)
-SELECT vec_id, round(var_pop(v), 2) AS blur FROM l GROUP BY vec_id"""
+SELECT vec_id, CAST(round(var_pop(v) * 4096) AS BIGINT) AS blur_4096 FROM l GROUP BY vec_id"""
 )
 def blur_metric(spark, sf_dir):
+    """The metric of 64 grey pixels in its own unit, 1 / 4096, in which it is whole: no rounding falls on a tie."""
     measured = encode.image_measures(_pictures(spark, sf_dir))
-    return _rounded(measured.select(F.col("path").cast("long").alias("vec_id"), "blur"), "blur", to=2)
+    return measured.select(F.col("path").cast("long").alias("vec_id"), F.round(F.col("blur") * 4096).cast("long").alias("blur_4096"))
 
 
 @_registered()
