@@ -8,8 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, lm_score, mixing, pii, quality, simhash, suffix_dedup, token_files, warc
-
+from . import decontam, licenses, lm_score, mixing, phrases, pii, quality, simhash, suffix_dedup, token_counts, token_files, vector_codes, warc
 
 
 def pii_key() -> str:
@@ -26,6 +25,15 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_vocabulary() -> str:
+    """The vocabulary whose tokens are counted: VISMATCH_WORD_TOKENIZER, or the one that the public_tokenizers package brings."""
+    if found := os.environ.get("VISMATCH_WORD_TOKENIZER"):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,6 +79,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(_table(spark, sf_dir, "documents"), pii_key())
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OP2 = rf"""
@@ -120,6 +140,45 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS largest FROM e)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS NOT DISTINCT FROM largest THEN NULL ELSE largest END AS refers_to FROM m"""
 
+_OP11 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM g) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+s AS (SELECT lang, a AS longer, w, unnest(range(2, k)) AS size, k FROM c),
+i AS (SELECT lang, longer, array_to_string(list_slice(w, p, p + size - 1), ' ') AS phrase FROM (SELECT *, unnest(range(1, k - size + 2)) AS p FROM s)),
+x AS (SELECT lang, phrase, max(longer) AS longer FROM i GROUP BY ALL),
+d AS (SELECT c.* FROM c LEFT JOIN x USING (lang, phrase) WHERE x.longer IS NULL OR 100 * x.longer < 100 * c.a),
+u AS (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS cut FROM d),
+z AS (SELECT u.lang, u.phrase, u.a, l.a AS l, r.a AS r, n.n, ((1000::HUGEINT * u.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score, cut
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, u.k), ' ') JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """The rounds written out: e<i> are the codebooks (part, entry, s), m<i> the nearest entries, 16 * distance + entry."""
+    nearest = """(SELECT p.r, p.part, min(list_sum(list_transform(list_zip(p.s, e.s), lambda y: (y[1] - y[2]) * (y[1] - y[2])))::HUGEINT * 16 + e.entry) AS m
+FROM p JOIN e{i} e ON e.part = p.part GROUP BY ALL)"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""m{i} AS MATERIALIZED {nearest.format(i=i)},
+t{i} AS (SELECT part, m % 16 AS entry, place, sum(x)::HUGEINT AS x, count(*) AS n FROM (SELECT p.part, m, unnest(p.s) AS x, unnest(range(len(p.s))) AS place FROM p JOIN m{i} m ON m.r = p.r AND m.part = p.part) GROUP BY ALL),
+u{i} AS (SELECT part, entry, list(((x - ((x % n) + n) % n) // n)::BIGINT ORDER BY place) AS s FROM t{i} GROUP BY ALL),
+e{i + 1} AS MATERIALIZED (SELECT e.part, e.entry, coalesce(u.s, e.s) AS s FROM e{i} e LEFT JOIN u{i} u ON u.part = e.part AND u.entry = e.entry)""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, list_slice(c, part * len(c) // 8 + 1, (part + 1) * len(c) // 8) AS s FROM k, (SELECT unnest(range(8)) AS part)),
+e0 AS (SELECT part, r - 1 AS entry, s FROM p WHERE r <= 16), {", ".join(steps)},
+f AS MATERIALIZED {nearest.format(i=rounds)},
+v AS (SELECT k.r, k.vec_id, k.label, string_agg(printf('%02x', (m % 16)::INTEGER), '' ORDER BY part) AS code, sum(m // 16)::BIGINT AS error FROM f JOIN k ON k.r = f.r GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v, h"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -133,8 +192,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_pii": op10_pii,
+        "op11_phrases": op11_phrases,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op3_decontamination": _OP3, "op8_warc": _OP8}
+    return {"op2_quality_rules": _OP2, "op3_decontamination": _OP3, "op8_warc": _OP8, "op11_phrases": _OP11, "op12_vector_codes": _vector_codes_sql()}
