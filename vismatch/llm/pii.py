@@ -2,7 +2,7 @@
 
 Found in whole texts: e-mail addresses, ISO dates, US social security numbers, telephone numbers, IPv4 addresses,
 card numbers of 13 to 19 digits, and secrets in hexadecimal of 32 to 64 digits. Dates, addresses, security and card
-numbers are validated (calendar, octets, reserved areas, Luhn); what fails stays as it is. Telephone numbers have no
+numbers are validated (calendar, octets without leading zeros, reserved areas, Luhn); what fails stays as it is. Telephone numbers have no
 check digit, so their form decides.
 
 Each value is permuted inside its own format by a keyed balanced Feistel network whose round function is SHA-256, so
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The patterns, tried in this order at each place.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}"  # a host has 127 labels at most; without a bound each would deepen the stack
 DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = (
@@ -159,7 +159,7 @@ def _kind(m: str) -> str:
         f"case when {m} like '%@%' then 'email'"
         f" when {m} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then if(try_to_date({m}, 'yyyy-MM-dd') is not null, 'date', null)"
         f" when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({area} not in ('000', '666') and {area} < '900' and substr({m}, 5, 2) <> '00' and substr({m}, 8) <> '0000', 'ssn', null)"
-        f" when {m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then if(forall(split({m}, '[.]'), o -> cast(o as int) < 256), 'ip', null)"
+        f" when {m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then if(forall(split({m}, '[.]'), o -> cast(o as int) < 256 and (o = '0' or o not like '0%')), 'ip', null)"
         f" when {m} rlike '^[+(]|^[0-9]{{3}}-' then 'phone'"
         f" when length({m}) >= 32 then 'secret'"
         f" else if({_valid_card(m)}, 'card', null) end"
