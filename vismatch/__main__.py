@@ -6,16 +6,27 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import config
-from .operators import encode
+from .functions import paths
+from .operators import encode, search
 from .plans import jobs
-from .session import ship
+from .session import shared_dir, ship
 from .sources import catalogue, sinks
 
 
+def made(command: argparse.ArgumentParser, what: str, default: str) -> None:
+    """The options that name an encoder or a detector, and what it is made with."""
+    command.add_argument(f"--{what}", default=default, help="module:name of a class or function that makes it")
+    command.add_argument("--option", action="append", default=[], metavar="NAME=VALUE", help=f"passed to the {what}, as device=cuda")
+
+
+def maker(own: argparse.Namespace, what: str):
+    return encode.named(getattr(own, what), **dict(x.split("=", 1) for x in own.option))
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="vismatch")
     jobs_ = out.add_subparsers(dest="job", required=True)
@@ -29,10 +40,14 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--stretch", action="store_true", help="do not keep the aspect")
     one.add_argument("--force", action="store_true", help="process images that are there already")
     one.add_argument("--limit", type=int, help="only the first so many, for a test")
+    one.add_argument("--test", type=int, nargs="?", const=100, dest="limit", help="the first 100, or so many")
+    made(one, "detector", "vismatch.operators.encode:WholeImage")
     one = jobs_.add_parser("extract", help="encode new images")
     one.add_argument("images")
     one.add_argument("vectors")
     one.add_argument("--force", action="store_true")
+    one.add_argument("--listing", help="a table of the catalogue; only folders that changed are listed")
+    made(one, "encoder", "vismatch.operators.encode:ColourGrid")
     for name, text in (("centroids", "mean vector of each part"), ("index", "index of the vectors, and centroids")):
         one = jobs_.add_parser(name, help=text)
         one.add_argument("vectors")
@@ -40,6 +55,8 @@ def parser() -> argparse.ArgumentParser:
     one = jobs_.add_parser("search", help="parts most like the images in a folder, an image a query")
     one.add_argument("index")
     one.add_argument("images")
+    one.add_argument("--views", action="store_true", help="the images of one folder are views of one query; the first three by name are fused")
+    made(one, "encoder", "vismatch.operators.encode:ColourGrid")
     one.add_argument("--top", type=int, default=config.TOP)
     one.add_argument("--stage-one", type=int, default=config.STAGE_ONE)
     one.add_argument("--no-rerank", action="store_true")
@@ -60,10 +77,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 1
     if own.job == "preprocess":
         print(catalogue.list_images(spark, own.images).count(), "images found")
-        records = jobs.preprocess_images(spark, own.images, own.table, encode.WholeImage(), own.force, own.limit, size=own.size, padding=own.padding, keep_aspect=not own.stretch, confidence=own.confidence, overlap=own.overlap)
+        records = jobs.preprocess_images(spark, own.images, own.table, maker(own, "detector"), own.force, own.limit, size=own.size, padding=own.padding, keep_aspect=not own.stretch, confidence=own.confidence, overlap=own.overlap)
         jobs.run_report(records).show(vertical=True, truncate=False)
     elif own.job == "extract":
-        jobs.load_new_images(spark, own.images, own.vectors, encode.ColourGrid(), own.force).show(truncate=False)
+        jobs.load_new_images(spark, own.images, own.vectors, maker(own, "encoder"), own.force, own.listing).show(truncate=False)
     elif own.job == "centroids":
         print(jobs.save_centroids(sinks.read_latest(spark, own.vectors), own.target, own.vectors).count(), "centroids")
     elif own.job == "index":
@@ -71,13 +88,20 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif own.job == "health":
         jobs.health(spark, own.index, encode.ColourGrid()).show(vertical=True)
     else:
-        encoded = encode.encode(catalogue.read_images(spark, own.images), encode.ColourGrid())
-        queries = encoded.filter("embedding is not null").select("path", F.xxhash64("path").alias("qid"), F.col("embedding").alias("v"))
-        found = jobs.answer(queries.select("qid", "v"), own.index, top=own.top, stage_one=own.stage_one, rerank=not own.no_rerank)
+        encoded = encode.encode(catalogue.read_images(spark, own.images), maker(own, "encoder")).filter("embedding is not null")
+        encoded.withColumn("query", paths.folder(F.col("path")) if own.views else F.col("path")).write.parquet(folder := f"{shared_dir(spark)}/encoded")
+        views = spark.read.parquet(folder)
+        number = Window.partitionBy("query").orderBy("path")
+        names = views.select("query").distinct().withColumn("qid", F.monotonically_increasing_id())
+        names.write.parquet(f"{folder}-names")  # ids that no two queries share, fixed by being written
+        names = spark.read.parquet(f"{folder}-names")
+        numbered = views.withColumn("view_no", F.row_number().over(number)).join(names, "query").select("qid", "view_no", "embedding")
+        queries = search.fuse_views(numbered, config.VIEWS)
+        found = jobs.answer(queries, own.index, top=own.top, stage_one=own.stage_one, rerank=not own.no_rerank)
         if own.output:
             sinks.write_lines(found, own.output)
         else:
-            found.join(queries.select("qid", "path"), "qid").orderBy("path", "rk").select("path", "rk", "part_id", "similarity", "sample").show(1_000, truncate=False)
+            found.join(names, "qid").orderBy("query", "rk").select("query", "rk", "part_id", "similarity", "sample").show(1_000, truncate=False)
     return 0
 
 

@@ -32,6 +32,11 @@ def parent(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
+def folder(path: Column) -> Column:
+    """What stands before the last slash."""
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -1,4 +1,5 @@
-"""Cell index for approximate search: k-means cells, vectors stored by cell and block, the nearest cells probed."""
+"""Cell index: members stored by the nearest of some centres. Approximate search probes the nearest cells; exact search
+visits the cells whose balls a query's k-th distance reaches. Cells that no query visits are not read."""
 
 from __future__ import annotations
 
@@ -6,12 +7,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import vectors
-from . import search
+from ..session import shared_dir
+from ..sources import layout
+from . import balls, search
 from .meet import meet
 
 
@@ -20,25 +23,26 @@ def cells_for(rows: int) -> int:
     return 0 if rows <= config.FLAT_ROWS else min(10_000, max(100, rows // 100))
 
 
-def build_cells(table: DataFrame, key: str, cells: int, train_rows: int = 100_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(centres: cell, v, blocks; members: cell, block, key, v). Trained on a sample of about ``train_rows`` rows; every
-    row is assigned. A cell's members are divided into blocks of about ``HELD_ROWS`` rows, so no task holds a large cell."""
+def train_centres(table: DataFrame, cells: int, train_rows: int = 100_000, seed: int = 1) -> np.ndarray:
+    """Centres by k-means on a sample of about ``train_rows`` rows of table (v)."""
     rows = table.count()
-    own = table.select(key, vectors.doubles(F.col("v")).alias("v")).withColumn("features", array_to_vector("v"))
-    sample = own.select("features").sample(min(1.0, train_rows / max(rows, 1)), seed)
-    model = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(sample)
-    found = model.setPredictionCol("cell").transform(own).select("cell", key, "v")
-    sizes = found.groupBy("cell").agg(F.ceil(F.count("*") / search.HELD_ROWS).cast("int").alias("blocks"))  # a row a cell
-    block = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
-    members = found.join(sizes, "cell").select("cell", block.alias("block"), key, "v")
-    rows_ = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centres = table.sparkSession.createDataFrame(rows_, "cell int, v array<double>").join(sizes, "cell")
-    return centres, members
+    sample = vectors.unpacked(table.select("v").sample(min(1.0, train_rows / max(rows, 1)), seed), "v")
+    model = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(sample.select(array_to_vector(vectors.doubles(F.col("v"))).alias("features")))
+    return np.array(model.clusterCenters())
 
 
-def by_cell(members: DataFrame) -> DataFrame:
-    """Members in the order in which they are stored: a cell's rows stand together, so its row groups can be skipped to."""
-    return members.repartitionByRange("cell", "block").sortWithinPartitions("cell", "block")
+def write_cells(table: DataFrame, key: str, cells: int, path: str, train_rows: int = 100_000, seed: int = 1) -> None:
+    """Write ``path/members`` (cell, key, d, v, a folder for each cell) and ``path/centres`` (cell, v, n, radius, blocks).
+
+    The centres are trained on a sample; each row is assigned once, and written. What the centres' rows say of their cells
+    is read from the written cells and distances alone."""
+    spark = table.sparkSession
+    centres = train_centres(table, cells, train_rows, seed)
+    layout.write_by_cell(balls.assigned(table, key, centres), f"{path}/members")
+    held = spark.read.parquet(f"{path}/members").groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"))  # a row a cell
+    held = held.withColumn("blocks", F.ceil(F.col("n") / layout.BLOCK_ROWS).cast("int"))
+    rows = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, v array<double>")
+    rows.join(held, "cell").coalesce(1).write.parquet(f"{path}/centres")
 
 
 class _NearestHeld:
@@ -58,11 +62,39 @@ class _NearestHeld:
         return None
 
 
-def probe(queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int, cells: int) -> DataFrame:
-    """The k nearest members in the ``cells`` nearest cells of each query: qid, rk, key, l2. Only queries are copied."""
-    kind = members.schema[key].dataType.simpleString()
-    near = search.knn(queries, centres, "cell", cells).select("qid", "cell").join(centres.select("cell", "blocks"), "cell")
-    passing = near.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries.select("qid", "v"), "qid")
-    found = meet(members, passing, ["cell", "block"], key, "qid", lambda ids, x: _NearestHeld(ids, x, k), f"qid long, key {kind}, l2 double")
+def in_cells(visits: DataFrame, queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int) -> DataFrame:
+    """The k nearest members in the cells that each query visits (qid, cell): qid, rk, key, l2.
+
+    The visits are written first. Cells without any are left out of the scan; the others' members are held in blocks,
+    each by one task, while the queries that visit the cell pass: only queries are copied."""
+    spark, kind = members.sparkSession, members.schema[key].dataType.simpleString()
+    visits.select("qid", "cell").write.parquet(folder := f"{shared_dir(spark)}/visits")
+    visits = spark.read.parquet(folder)
+    cells = [r["cell"] for r in visits.select("cell").distinct().collect()]  # 10,000 at most
+    blocks = F.broadcast(centres.select("cell", "blocks"))
+    held = layout.of_cells(members, cells).join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    passing = visits.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries.select("qid", "v"), "qid")
+    found = meet(held, passing, ["cell", "block"], key, "qid", lambda ids, x: _NearestHeld(ids, x, k), f"qid long, key {kind}, l2 double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("l2", "key"))
     return found.withColumn("rk", rank).filter(F.col("rk") <= k).select("qid", "rk", F.col("key").alias(key), "l2")
+
+
+def probe(queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int, cells: int) -> DataFrame:
+    """The k nearest members in the ``cells`` nearest cells of each query: qid, rk, key, l2."""
+    return in_cells(search.knn(queries, centres, "cell", cells), queries, centres, members, key, k)
+
+
+def exact(queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int, first: int = 2) -> DataFrame:
+    """The k nearest of all members, as by comparing all: qid, rk, key, l2.
+
+    The k-th distance in a query's ``first`` nearest cells bounds its reach; the cells whose balls the reach meets are
+    visited. Others are neither compared nor shuffled with it. A query with fewer than k members there visits all."""
+    spark = members.sparkSession
+    probe(queries, centres, members, key, k, first).filter(F.col("rk") == k).select("qid", F.sqrt("l2").alias("reach")).write.parquet(folder := f"{shared_dir(spark)}/reach")
+    bounded = queries.select("qid", "v").join(spark.read.parquet(folder), "qid", "left").fillna(float("inf"), ["reach"])
+    return in_cells(balls.cells_in_reach(bounded, centres), queries, centres, members, key, k)
+
+
+def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(centres, members) as written."""
+    return spark.read.parquet(f"{path}/centres"), spark.read.parquet(f"{path}/members")

@@ -29,18 +29,29 @@ class Group(Protocol):
     def done(self) -> pa.RecordBatch | None: ...
 
 
-def _side(df: DataFrame, side: int, group: list[str], ids: dict[str, Column], v: Column) -> DataFrame:
-    return df.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.lit(side).alias("side"), *[c.alias(n) for n, c in ids.items()], v.alias("v"))
+def _side(df: DataFrame, side: int, group: list[str], ids: dict[str, Column], v: dict[str, Column]) -> DataFrame:
+    return df.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.lit(side).alias("side"), *[c.alias(n) for n, c in (ids | v).items()])
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of rows of one side, packed or not."""
+    packed = "p" in batch.schema.names and batch.column("p").null_count == 0
+    return matrix(batch.column("p" if packed else "v")).astype(np.float64)
 
 
 def meet(held: DataFrame, passing: DataFrame, group: list[str], held_id: str, passing_id: str, begin: Callable[[pa.Array, np.ndarray], Group], schema: str) -> DataFrame:
-    """Rows that ``begin``'s groups give. Both sides have the group's columns, their id and a vector v."""
+    """Rows that ``begin``'s groups give. Both sides have the group's columns, their id and a vector v,
+    an array or packed."""
     kinds = [df.schema[c].dataType for df, c in ((held, held_id), (passing, passing_id))]
     none = [F.lit(None).cast(k) for k in kinds]
-    floats = all(df.schema["v"].dataType.simpleString() == "array<float>" for df in (held, passing))
-    v = F.col("v").cast("array<float>" if floats else "array<double>")  # floats are shuffled as floats
-    first = _side(held, 0, group, {"a": F.col(held_id), "b": none[1]}, v)
-    later = _side(passing, 1, group, {"a": none[0], "b": F.col(passing_id)}, v)
+    kind = {df.schema["v"].dataType.simpleString() for df in (held, passing)}
+    if "binary" in kind:  # packed vectors and arrays travel in columns of their own
+        empty = {"binary": F.lit(None).cast("array<double>"), "array": F.lit(None).cast("binary")}
+        column = lambda df: {"v": F.col("v").cast("array<double>"), "p": empty["array"]} if df.schema["v"].dataType.simpleString() != "binary" else {"v": empty["binary"], "p": F.col("v")}
+    else:  # floats are shuffled as floats
+        column = lambda df: {"v": F.col("v").cast("array<float>" if kind == {"array<float>"} else "array<double>")}
+    first = _side(held, 0, group, {"a": F.col(held_id), "b": none[1]}, column(held))
+    later = _side(passing, 1, group, {"a": none[0], "b": F.col(passing_id)}, column(passing))
     keys = [f"g{i}" for i in range(len(group))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +64,7 @@ def meet(held: DataFrame, passing: DataFrame, group: list[str], held_id: str, pa
             if not waiting:
                 return None
             ids = pa.concat_arrays([b.column("a") for b in waiting])
-            own = begin(ids, np.concatenate([matrix(b.column("v")).astype(np.float64) for b in waiting]))
+            own = begin(ids, np.concatenate([_vectors(b) for b in waiting]))
             waiting = []
             return own
 
@@ -77,7 +88,7 @@ def meet(held: DataFrame, passing: DataFrame, group: list[str], held_id: str, pa
                 open_ = open_ or started()
                 for at in range(0, part.num_rows, SLICE_ROWS) if open_ is not None else ():
                     piece = part.slice(at, SLICE_ROWS)
-                    if (out := open_.feed(piece.column("b"), matrix(piece.column("v")).astype(np.float64))) is not None:
+                    if (out := open_.feed(piece.column("b"), _vectors(piece))) is not None:
                         yield out
         if open_ is not None and (out := open_.done()) is not None:
             yield out

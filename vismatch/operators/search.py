@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..session import shared_dir
+from ..sources import layout
 from .meet import every, meet, spread
 
 #: Queries that a task holds, and vectors that pass it for each block, in large tables.
 QUERY_ROWS, TABLE_ROWS = 4_096, 65_536
-#: Vectors that a task holds where queries pass, and the fewest rows that are worth a block.
-HELD_ROWS, FEWEST_ROWS = 4_096, 512
+#: Images of a part that a task holds where queries pass, and the fewest rows that are worth a block.
+HELD_ROWS, FEWEST_ROWS = layout.BLOCK_ROWS, 512
 _PAIR_VALUES = 1 << 22
 
 
@@ -136,17 +138,28 @@ class _BestOfHeld:
         return None
 
 
-def best_cosines(queries: DataFrame, candidates: DataFrame, images: DataFrame, image_key: str = "part_id") -> DataFrame:
+def best_cosines(queries: DataFrame, candidates: DataFrame, images: DataFrame, image_key: str = "part_id", sizes: DataFrame | None = None) -> DataFrame:
     """Best dot product of each query with the images of each of its candidate parts: qid, part_id, cos.
 
-    queries: qid, v; candidates: qid, part_id; images: image_key (what is compared with part_id), embedding. Images of a
-    part are held in blocks of about ``HELD_ROWS`` rows; the queries that have the part as a candidate pass each."""
-    own = images.select(F.col(image_key).alias("part_id"), F.col("embedding").alias("v"), F.xxhash64("image_id").alias("_h"))
-    sizes = own.groupBy("part_id").agg(F.ceil(F.count("*") / HELD_ROWS).cast("int").alias("blocks"))
-    held = own.join(sizes, "part_id").withColumn("block", F.pmod("_h", "blocks").cast("int"))
-    listed = candidates.select("qid", "part_id").distinct().join(sizes, "part_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    passing = listed.join(queries.select("qid", "v"), "qid")
-    found = meet(held.withColumn("id", F.col("part_id")), passing, ["part_id", "block"], "id", "qid", _BestOfHeld, "qid long, part_id string, cos double")
+    queries: qid, v; candidates: qid, part_id, read several times; images: image_key (what is compared with part_id),
+    embedding. Images of parts that no query asks for are left out before any exchange. Of images stored by part, with
+    their sizes, only the homes of candidates are read; others meet the candidates in a semi-join. The rest is held in
+    blocks of about ``HELD_ROWS`` rows, while the queries that have the part as a candidate pass each."""
+    listed = candidates.select("qid", "part_id").distinct()
+    if sizes is not None:
+        passing = layout.homes_of(listed, sizes)
+        own = layout.of_homes(images, passing.select("home").distinct())
+        held, group = own.select("home", "part_id", F.col("embedding").alias("v")), ["home"]
+    else:
+        wanted = listed.select("part_id").distinct()
+        few = wanted.limit(layout.BROADCAST_ROWS + 1).count() <= layout.BROADCAST_ROWS
+        own = images.select(F.col(image_key).alias("part_id"), F.col("embedding").alias("v"), F.xxhash64("image_id").alias("_h"))
+        own = own.join(F.broadcast(wanted) if few else wanted, "part_id", "left_semi")
+        blocks = own.groupBy("part_id").agg(F.ceil(F.count("*") / HELD_ROWS).cast("int").alias("blocks"))
+        held, group = own.join(blocks, "part_id").withColumn("block", F.pmod("_h", "blocks").cast("int")), ["part_id", "block"]
+        passing = listed.join(blocks, "part_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    passing = passing.join(queries.select("qid", "v"), "qid")
+    found = meet(held.withColumn("id", F.col("part_id")), passing, group, "id", "qid", _BestOfHeld, "qid long, part_id string, cos double")
     return found.groupBy("qid", "part_id").agg(F.max("cos").alias("cos"))
 
 
@@ -154,15 +167,20 @@ def _ranked(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
 
 
-def search(queries: DataFrame, parts: DataFrame, images: DataFrame, top: int = 5, stage_one: int = 200, rerank: bool = True, id_match: str = "part") -> DataFrame:
+def search(queries: DataFrame, parts: DataFrame, images: DataFrame, top: int = 5, stage_one: int = 200, rerank: bool = True, id_match: str = "part", sizes: DataFrame | None = None) -> DataFrame:
     """Nearest parts by centroid, then by their best image: qid, rk, part_id, distance, similarity, is_best.
 
-    parts: part_id, v. images: image_id, part_id, embedding. With id_match 'part' a candidate meets the images of its part;
-    with 'exact' its id must equal an image's id. Queries without any such image fall back to the centroids' order."""
+    parts: part_id, v. images: image_id, part_id, embedding; or images stored by part, and their sizes. With id_match 'part' a candidate meets the images of its part;
+    with 'exact' its id must equal an image's id. Queries without any such image fall back to the centroids' order. The
+    candidates are written once."""
     near = knn(queries, parts, "part_id", stage_one if rerank else top)
+    if rerank:
+        near.write.parquet(folder := f"{shared_dir(queries.sparkSession)}/candidates")
+        near = queries.sparkSession.read.parquet(folder)
     by_centroid = near.filter(F.col("rk") <= top).select("qid", "rk", "part_id", F.col("l2").alias("distance"), vectors.percent_of_distance(F.col("l2")).alias("similarity"))
     if rerank:
-        cosines = best_cosines(queries, near.select("qid", "part_id"), images, {"part": "part_id", "exact": "image_id"}[id_match])
+        key = {"part": "part_id", "exact": "image_id"}[id_match]
+        cosines = best_cosines(queries, near.select("qid", "part_id"), images, key, sizes if id_match == "part" else None)
         by_image = _ranked(cosines, F.desc("cos"), "part_id").filter(F.col("rk") <= top)
         by_image = by_image.select("qid", "rk", "part_id", (1 - F.col("cos")).alias("distance"), vectors.percent_of_cosine(F.col("cos")).alias("similarity"))
         by_centroid = by_image.unionByName(by_centroid.join(by_image.select("qid").distinct(), "qid", "left_anti"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,18 +45,23 @@ def embedding_stats(images: DataFrame) -> DataFrame:
     return total.select((near + mean).alias("mean_v"), F.sqrt(F.greatest(zero, F.col("q") / F.col("n") - mean * mean)).alias("std_v"), "min_v", "max_v", "n")
 
 
-def run_stats(records: DataFrame) -> DataFrame:
-    """Counters, rates and times over records of (success, skipped, detected, processing_time, and error if there is one).
-
-    Errors are counted by where they arose: reading, saving, or in between."""
+def counters(records: DataFrame, detected: Column | None = None) -> list[Column]:
+    """Counters of records of (success, skipped, detected, processing_time, and error if there is one), as aggregates for a
+    query or for an observation of the rows as they are written. Errors are counted by where they arose: reading, saving,
+    or in between."""
     flag = lambda c: F.coalesce(F.count_if(c), F.lit(0)).cast("long")
     error = F.col("error")
     errors = [flag(error.startswith("read: ")).alias("read_errors"), flag(error.startswith("save: ")).alias("save_errors"), flag(error.isNotNull() & ~error.rlike("^(read|save): ")).alias("other_errors")]
-    counted = records.agg(
-        F.count("*").alias("processed"), flag(F.col("success") & ~F.col("skipped")).alias("successful"), flag(~F.col("success")).alias("failed"), flag(F.col("skipped")).alias("skipped"),
-        flag(F.col("detected")).alias("detections"), F.sum("processing_time").alias("total_time"), F.avg("processing_time").alias("mean_time"), *(errors if "error" in records.columns else []),
-    )
+    return [
+        F.count(F.lit(1)).alias("processed"), flag(F.col("success") & ~F.col("skipped")).alias("successful"), flag(~F.col("success")).alias("failed"), flag(F.col("skipped")).alias("skipped"),
+        flag(F.col("detected") if detected is None else detected).alias("detections"), F.sum("processing_time").alias("total_time"), F.avg("processing_time").alias("mean_time"), *(errors if "error" in records.columns else []),
+    ]
+
+
+def run_stats(records: DataFrame) -> DataFrame:
+    """Counters, rates and times over records."""
     share = lambda c: 100.0 * F.col(c) / F.nullif(F.col("processed"), F.lit(0))
+    counted = records.agg(*counters(records))
     return counted.withColumn("success_rate", share("successful")).withColumn("detection_rate", share("detections")).withColumn("per_second", F.col("processed") / F.nullif(F.col("total_time"), F.lit(0.0)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import geometry, paths, vectors
-from .operators import encode, incremental, index, search, stats
+from .operators import centroids, encode, incremental, index, search, stats
 from .plans import jobs
 from .session import shared_dir
 from .sources import catalogue, sinks
@@ -40,6 +40,11 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.image_table(_table(spark, sf_dir, "embeddings"))
 
 
+def _floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images with vectors as they are in the table, which are stored packed."""
+    return catalogue.image_table(_table(spark, sf_dir, "embeddings"), "array<float>").drop("ordinal")
+
+
 def _centroids(images: DataFrame) -> DataFrame:
     """Centroids as the job stores them."""
     return jobs.save_centroids(images, f"{shared_dir(images.sparkSession)}/centroids").select("part_id", "v")
@@ -69,7 +74,15 @@ cand AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY l2, part_id) AS
 
 @_registered(f"WITH {_IMG} SELECT part_id, dim, round(v, 6) + 0.0 AS v FROM cd")
 def part_centroids(spark, sf_dir):
-    return _rounded(vectors.long_form(jobs.build_centroids(_images(spark, sf_dir)), ["part_id"], "v"), "v")
+    return _rounded(vectors.long_form(centroids.of_images(_images(spark, sf_dir)), ["part_id"], "v"), "v")
+
+
+@_registered(f"WITH {_IMG} SELECT part_id, dim, round(v, 6) + 0.0 AS v FROM cd")
+def part_centroids_stored(spark, sf_dir):
+    """Means of images that are stored by part first."""
+    root = shared_dir(spark)
+    made = jobs.save_centroids(jobs.save_images(_floats(spark, sf_dir), f"{root}/images"), f"{root}/centroids")
+    return _rounded(vectors.long_form(made, ["part_id"], "v"), "v")
 
 
 @_registered(f"WITH {_IMG} SELECT qid, rk, part_id, round(l2, 6) + 0.0 AS l2, round(greatest(0.0, least(100.0, 100.0 * exp(-l2 / 2))), 4) + 0.0 AS similarity FROM cand WHERE rk <= {TOP}")
@@ -92,6 +105,15 @@ def search_rerank(spark, sf_dir):
     return _long_rank(_rounded(_rounded(found, "distance"), "similarity", to=4))
 
 
+@_registered(_SQL["search_rerank"].replace("rk = 1 AS is_best", "rk = 1 AS is_best, (SELECT min(image_id) FROM img i WHERE i.part_id = r.part_id) AS sample"))
+def answer_of_index(spark, sf_dir):
+    """The answers of a stored index: candidates' images are read by their homes, samples come from the parts' sizes."""
+    root = f"{shared_dir(spark)}/index"
+    jobs.save_index(_floats(spark, sf_dir), root, cells=0)
+    found = jobs.answer(_asked(_images(spark, sf_dir)), root, top=TOP, stage_one=STAGE_ONE)
+    return _long_rank(_rounded(_rounded(found, "distance"), "similarity", to=4))
+
+
 _FALLBACK = f"WITH {_IMG} SELECT qid, rk, part_id, round(l2, 6) + 0.0 AS distance, round(greatest(0.0, least(100.0, 100.0 * exp(-l2 / 2))), 4) + 0.0 AS similarity FROM cand WHERE rk <= {TOP}"
 
 
@@ -131,13 +153,12 @@ def flat_knn_images(spark, sf_dir):
     return _long_rank(_rounded(search.knn(_asked(images), _vectors(images), "vec_id", TOP), "l2"))
 
 
-def _ivf(spark, sf_dir, cells: int, probed: int) -> DataFrame:
-    """The search of an index that is built and stored first."""
+def _ivf(spark, sf_dir, cells: int, probed: int | None) -> DataFrame:
+    """The search of cells that are written first; of all cells in reach with probed None."""
     images = _images(spark, sf_dir)
-    centres, members = index.build_cells(_vectors(images), "vec_id", cells)
-    root = f"{shared_dir(spark)}/index"
-    sinks.write_set(spark, {"members": index.by_cell(members), "centres": centres.coalesce(1)}, root)
-    found = index.probe(_asked(images), sinks.read_set(spark, root, "centres"), sinks.read_set(spark, root, "members"), "vec_id", TOP, probed)
+    index.write_cells(_vectors(images), "vec_id", cells, path := shared_dir(spark))
+    centres, members = index.read_cells(spark, path)
+    found = index.exact(_asked(images), centres, members, "vec_id", TOP) if probed is None else index.probe(_asked(images), centres, members, "vec_id", TOP, probed)
     return _long_rank(_rounded(found, "l2"))
 
 
@@ -158,6 +179,12 @@ def ivf_search_probe(spark, sf_dir):
     return _ivf(spark, sf_dir, 64, PROBED)
 
 
+@_registered(_FLAT)
+def flat_knn_in_reach(spark, sf_dir):
+    """Exact search of 64 cells: those whose balls a query's reach meets."""
+    return _ivf(spark, sf_dir, 64, None)
+
+
 @_registered("SELECT 'p' || label AS part_id, count(*) AS n FROM embeddings GROUP BY label")
 def class_counts(spark, sf_dir):
     return stats.ranked_counts(_images(spark, sf_dir))

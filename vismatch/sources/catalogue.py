@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import sinks
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
@@ -36,11 +39,46 @@ def upload_views(uploads: DataFrame) -> DataFrame:
 
 def list_parts(spark: SparkSession, root: str) -> DataFrame:
     """Two levels, <part>/<name>.jpg with a lower-case suffix: path, part_id, image_name, image_id."""
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.jpg").select("path")
+    return _named(spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.jpg").select("path"))
+
+
+def _named(files: DataFrame) -> DataFrame:
     named = files.withColumn("part_id", paths.parent(F.col("path"))).withColumn("image_name", paths.file_name(F.col("path")))
     return named.withColumn("image_id", F.concat_ws("/", "part_id", "image_name"))
 
 
+#: Milliseconds in which a folder's time may not tell a change; such a folder is listed again the next time.
+UNSETTLED_MS = 2_000
+
+
+def refresh_listing(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """What list_parts gives, kept as a versioned table: path, part_id, image_name, image_id.
+
+    The driver lists the folders under root alone. Folders whose time has changed since the table's newest version are
+    listed, by a job of Spark's if they are many; rows of the others come from the table, and rows of folders that are
+    gone leave it. Without any change nothing is written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    now = time.time() * 1000
+    found = [(s.getPath().getName(), s.getPath().toString(), s.getModificationTime()) for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place) if s.isDirectory()]
+    folders = {name: (path, when) for name, path, when in found}
+    stored = sinks.read_latest(spark, table) if sinks.versions(spark, table) else None
+    known = {} if stored is None else {r["part_id"]: r["folder_time"] for r in stored.filter("path is null").select("part_id", "folder_time").collect()}  # a row a folder
+    changed = [name for name, (_, when) in folders.items() if known.get(name) != when]
+    kept = [name for name in folders if name not in set(changed)]
+    if stored is None or changed or len(kept) < len(known):
+        schema = "path string, part_id string, image_name string, image_id string, folder_time long"
+        times = [(None, name, None, None, folders[name][1] if folders[name][1] < now - UNSETTLED_MS else -1) for name in changed]
+        new = spark.createDataFrame(times, schema)
+        if changed:
+            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load([folders[name][0] for name in changed]).select("path")
+            new = new.unionByName(_named(files).withColumn("folder_time", F.lit(None).cast("long")))
+        if stored is not None:
+            names = spark.createDataFrame([(name,) for name in kept], "part_id string")
+            new = new.unionByName(stored.join(names, "part_id", "left_semi").select(*new.columns))
+        sinks.write_version(new, table)
+    return sinks.read_latest(spark, table).filter("path is not null").drop("folder_time")
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded images in BGR, any depth; files that can't be decoded keep a row with an error."""
     either = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in paths.EXTENSIONS)
@@ -61,12 +99,12 @@ def resolve_first(spark: SparkSession, candidates: list[str]) -> str:
     raise FileNotFoundError(f"none of {candidates} exists")
 
 
-def image_table(embeddings: DataFrame) -> DataFrame:
+def image_table(embeddings: DataFrame, kind: str = "array<double>") -> DataFrame:
     """image_id, part_id, ordinal and vector of rows of (vec_id, embedding, label)."""
     part = F.concat(F.lit("p"), F.col("label").cast("string"))
     return embeddings.select(
         F.concat(part, F.lit("/img"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_id"), part.alias("part_id"), F.col("vec_id").alias("ordinal"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("embedding").cast(kind).alias("embedding"),
     )
 
 

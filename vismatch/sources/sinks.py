@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import drop
 
 METADATA = "created_at timestamp, total_images long, total_parts long, embedding_dim int, index_type_images string, index_type_centroids string, source string"
 
@@ -30,43 +31,98 @@ def write_version(df: DataFrame, root: str) -> str:
     return path
 
 
+def _mark(spark: SparkSession, path: str) -> None:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker).close()
+
+
+def children(spark: SparkSession, root: str, prefix: str) -> list[str]:
+    """Paths of what stands in a folder under names that begin so, in order; none if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(p.toString() for p in found if p.getName().startswith(prefix))
+
+
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Complete versions, oldest first."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")]
-    return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return [p for p in children(spark, root, "v") if exists(spark, f"{p}/_SUCCESS")]
+
+
+def pieces(spark: SparkSession, version: str) -> list[str]:
+    """The folders whose rows make up a version: its own, or those that an increment names in ``_pieces``."""
+    if not exists(spark, listed := f"{version}/_pieces"):
+        return [version]
+    root = version.rsplit("/", 1)[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(listed)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return [f"{root}/{name}" for name in text.split()]
+
+
+def append_version(df: DataFrame, root: str) -> str:
+    """Write a new version that has the rows of the newest one and those of df. Only df's rows are written; the others
+    stay where they are, named by the new version, and versions before stay as they were. One writer at a time."""
+    spark, before = df.sparkSession, versions(df.sparkSession, root)
+    if not before:
+        return write_version(df, root)
+    kept = [p.removeprefix(before[-1].rsplit("/", 1)[0] + "/") for p in pieces(spark, before[-1])]
+    path = f"{root.rstrip('/')}/v{stamp()}"
+    df.select(*spark.read.parquet(pieces(spark, before[-1])[0]).columns).write.parquet(f"{path}/rows")
+    listed = spark._jvm.org.apache.hadoop.fs.Path(path, "_pieces")
+    out = listed.getFileSystem(spark._jsc.hadoopConfiguration()).create(listed)
+    out.write(bytearray("\n".join([*kept, f"{path.rsplit('/', 1)[1]}/rows"]).encode()))
+    out.close()
+    _mark(spark, path)
+    return path
+
+
+def compact(spark: SparkSession, root: str) -> str:
+    """Write the newest version's rows together as a version of their own, which later increments build on."""
+    return write_version(read_latest(spark, root), root)
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete all but the newest versions; folders with rows that a kept version names stay."""
+    found = versions(spark, root)
+    needed = {p for v in found[-keep:] for p in (v, *pieces(spark, v))}
+    for version in found[:-keep]:
+        if not any(p == version or p.startswith(f"{version}/") for p in needed):
+            drop(spark, version)
+        else:  # its rows are needed, but it is no version to read any more
+            drop(spark, f"{version}/_SUCCESS")
 
 
 def read_latest(spark: SparkSession, root: str, back: int = 0) -> DataFrame:
     """The newest complete version, or the one ``back`` before it."""
-    found = versions(spark, root)
-    if len(found) <= back:
-        raise FileNotFoundError(f"no such version in {root}")
-    return spark.read.parquet(found[-1 - back])
+    return spark.read.parquet(*pieces(spark, set_path(spark, root, back)))
 
 
-def write_set(spark: SparkSession, tables: dict[str, DataFrame | Callable[[str], DataFrame]], root: str) -> str:
+def write_set(spark: SparkSession, tables: dict[str, DataFrame | Callable[[str], DataFrame | None]], root: str) -> str:
     """Write tables that belong together as a new version beside the others; a function makes a table from the version's
-    path, where the tables before it are written. A marker is written last: a set that breaks
+    path, where the tables before it are written, or writes tables there itself and gives None. A marker is written last: a set that breaks
     off is never read, and readers of the version before go on reading that."""
     path = f"{root.rstrip('/')}/v{stamp()}"
     for name, df in tables.items():
-        (df(path) if callable(df) else df).write.parquet(f"{path}/{name}")
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker).close()
+        made = df(path) if callable(df) else df
+        if made is not None:
+            made.write.parquet(f"{path}/{name}")
+    _mark(spark, path)
     return path
 
 
-def read_set(spark: SparkSession, root: str, name: str, back: int = 0) -> DataFrame:
-    """A table of the newest complete set, or of the one ``back`` before it."""
+def set_path(spark: SparkSession, root: str, back: int = 0) -> str:
+    """The folder of the newest complete set, or of the one ``back`` before it."""
     found = versions(spark, root)
     if len(found) <= back:
         raise FileNotFoundError(f"no such version in {root}")
-    return spark.read.parquet(f"{found[-1 - back]}/{name}")
+    return found[-1 - back]
+
+
+def read_set(spark: SparkSession, root: str, name: str, back: int = 0) -> DataFrame:
+    """A table of a set."""
+    return spark.read.parquet(f"{set_path(spark, root, back)}/{name}")
 
 
 def table_metadata(images: DataFrame, parts: DataFrame, source: str) -> DataFrame:
