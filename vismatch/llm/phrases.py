@@ -96,20 +96,33 @@ class Words:
             out = mix(out[:-1] * _STEP + self.hash[j:])
         return out
 
-    def table(self, at: np.ndarray, k: int, times: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        """Rows lang, phrase, h, n for the phrases of k words that begin at the places."""
+    def table(self, at: np.ndarray, k: int, times: np.ndarray) -> pa.RecordBatch:
+        """Rows lang, phrase, n for the phrases of k words that begin at the places."""
         words = [self.vocabulary.take(pa.array(self.word[at + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0]
-        return pa.record_batch([self.langs.take(pa.array(self.lang[at])), phrase, hashes[at].view(np.int64), times], names=["lang", "phrase", "h", "n"])
+        return pa.record_batch([self.langs.take(pa.array(self.lang[at])), phrase, times], names=["lang", "phrase", "n"])
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and with a null phrase those of all words of a language."""
     for texts, langs in _slices(batches):
         w = Words(texts, langs)
-        yield w.table(w.first, 1, w.times, w.hash)
+        yield w.table(w.first, 1, w.times)
         total = np.bincount(w.lang, minlength=len(w.langs))
-        yield pa.record_batch([w.langs, pa.nulls(len(total), pa.string()), np.zeros(len(total), np.int64), total], names=["lang", "phrase", "h", "n"])
+        yield pa.record_batch([w.langs, pa.nulls(len(total), pa.string()), total], names=["lang", "phrase", "n"])
+
+
+def _hashed(k: int):
+    """The hashes of phrases of k words, as at their places in texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 65_536):
+                part = batch.slice(at, 65_536)
+                w = Words(as_bytes(part.column("phrase")), part.column("lang").to_pylist())
+                yield pa.record_batch([w.hashes(k)[::k].view(np.int64)], names=["h"])
+
+    return run
 
 
 class Frequent:
@@ -119,10 +132,10 @@ class Frequent:
         self.bits, self.log = bits, log
 
     @classmethod
-    def of(cls, level: DataFrame, rows: int) -> Frequent:
+    def of(cls, level: DataFrame, k: int, rows: int) -> Frequent:
         log = min(LARGEST_LOG, max(15, math.ceil(math.log2(32 * max(rows, 1)))))
         number = F.shiftrightunsigned("h", 64 - log) + 1
-        parts = level.groupBy(F.bitmap_bucket_number(number).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("m"))
+        parts = level.select("lang", "phrase").mapInArrow(_hashed(k), "h long").groupBy(F.bitmap_bucket_number(number).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("m"))
         bits = np.zeros(1 << log - 3, np.uint8)
         for b, m in parts.collect():  # 4 KB each, 2 ** (log - 15) rows at most
             bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
@@ -148,22 +161,22 @@ def _longer(k: int, frequent: Broadcast):
             ids = w.code[at]
             for j in range(1, k):
                 _, first, ids, times = np.unique(ids * np.int64(len(w.first)) + w.code[at + j], return_index=True, return_inverse=True, return_counts=True)
-            yield w.table(at[first], k, times, w.hashes(k))
+            yield w.table(at[first], k, times)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int, folder: str) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n: all its words), and for k = 1 to ``longest`` the phrases of k words found ``least`` times or more: lang, phrase, h, a."""
-    rows = "lang string, phrase string, h long, n long"
+    """(lang, n: all its words), and for k = 1 to ``longest`` the phrases of k words found ``least`` times or more: lang, phrase, a."""
+    rows = "lang string, phrase string, n long"
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    added = lambda emitted: emitted.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("n").alias("a"))
+    added = lambda emitted: emitted.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     single = materialise(added(own.mapInArrow(_single, rows)).filter(f"phrase is null or a >= {least}"), f"{folder}/level1")
     totals, levels = single.filter("phrase is null").select("lang", F.col("a").alias("n")), [single.filter("phrase is not null")]
     for k in range(2, longest + 1):
         if not (found := levels[-1].count()):
             break
-        shared = docs.sparkSession.sparkContext.broadcast(Frequent.of(levels[-1], found))
+        shared = docs.sparkSession.sparkContext.broadcast(Frequent.of(levels[-1], k - 1, found))
         levels.append(materialise(added(own.mapInArrow(_longer(k, shared), rows)).filter(f"a >= {least}"), f"{folder}/level{k}"))
         shared.unpersist()
     return totals, levels
