@@ -195,12 +195,23 @@ def run_table(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     return materialise(counted.mapInArrow(_encoded(tokenizer), "key string, n long, tokens long"), f"{folder}/runs")
 
 
+def frequent_runs(table: DataFrame, most: int) -> DataFrame:
+    """key, tokens of the most frequent runs, ``most`` at most: those from a number of occurrences on, steps of an eighth of
+    a power of two, which a count by steps finds. What is left out is no more frequent than ``most`` others."""
+    step = table.withColumn("step", F.floor(8 * F.log2("n")))
+    sizes, least = 0, None
+    for row in sorted(step.groupBy("step").agg(F.count("*").alias("runs")).collect(), reverse=True):  # 512 rows at most
+        if (sizes := sizes + row["runs"]) > most:
+            break
+        least = row["step"]
+    return step.filter(F.lit(False) if least is None else F.col("step") >= least).select("key", "tokens")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each document."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     table = run_table(docs, tokenizer, folder)
-    head = table.orderBy(F.desc("n"), "key").limit(HEAD).select("key", "tokens")
-    known = spark.sparkContext.broadcast({r["key"]: r["tokens"] for r in head.collect()})
+    known = spark.sparkContext.broadcast({r["key"]: r["tokens"] for r in frequent_runs(table, HEAD).collect()})
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(own.mapInArrow(_by_text(special_bytes(tokenizer), known), "row long, doc_id long, n_bytes long, tokens long, key string, times long"), f"{folder}/texts")
     rest = rows.filter("key is not null").join(table.select("key", F.col("tokens").alias("each")), "key")
