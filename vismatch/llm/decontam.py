@@ -8,8 +8,10 @@ longest match from there, so the common prefix of two suffixes comes out whole;
 nothing of their own.
 
 The benchmark is the query side. It is read in blocks of bounded size, one at a time on the driver, and each block's
-windows, without repeats, are a broadcast of bounded size. A task searches its shard for one block after another, so the
-texts are scanned once, nothing is shuffled, and a text's matches stay with its row.
+windows, without repeats, are a broadcast of bounded size. A task searches its shard for one block after another and holds
+one block's windows at a time, so the texts are scanned once, nothing is shuffled, and a text's matches stay with its row.
+A text's items are those of its windows, each window counted once; its longest match is followed from place to place.
+Pairs of items and places are only listed where their locations are asked for (``find_matches``).
 
 Words: A-Z lower-cased, then runs of ASCII digits, a-z and non-ASCII characters, compared by 64-bit keys. A window is
 ``window`` consecutive item words; an item with fewer words, but not none, is one window. Defined cases: null texts have no words; null items
@@ -104,6 +106,7 @@ class Windows:
         self.start, self.size = start[first], size[first]
         order = np.argsort(of, kind="stable")
         self.item, self.at = np.array([i for i, _ in items], np.int64)[owner][order], at[order]
+        self.where = (start + owner)[order]  # ascending for each window; neighbours differ by 1 in an item, by more across two
         self.pairs = np.searchsorted(of[order], np.arange(len(first) + 1))  # those of each window
 
 
@@ -116,8 +119,9 @@ def _spread(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Shard:
     """The suffix array of some texts, and what has been found in each."""
 
-    def __init__(self, texts: list[bytes | None], window: int) -> None:
+    def __init__(self, texts: list[bytes | None], window: int, located: bool) -> None:
         keys, self.sizes = keys_of(texts)
+        self.located, self.longest = located, [0] * len(texts)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.distinct, numbers = np.unique(keys, return_inverse=True)
         self.text = np.zeros(len(keys) + len(texts), np.int64)  # 0 ends each text
@@ -173,6 +177,15 @@ class Shard:
             end = np.maximum.accumulate(begin + windows.size[which[by[a:b]]])
             cut = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
             self.ranges[d] += [{"a": x, "b": y} for x, y in zip(begin[cut].tolist(), end[np.append(cut[1:], b - a) - 1].tolist())]
+            self.longest[d] = max(self.longest[d], _longest(windows, which[by[a:b]], begin))
+        once = np.unique(doc * np.int64(len(windows.start)) + which)  # each window of a text, however often it stands there
+        for d, w in zip((once // len(windows.start)).tolist(), (once % len(windows.start)).tolist()):
+            self.items[d].update(windows.item[windows.pairs[w] : windows.pairs[w + 1]].tolist())
+        if self.located:
+            self._locate(windows, which, place)
+
+    def _locate(self, windows: Windows, which: np.ndarray, place: np.ndarray) -> None:
+        """Add the longest matches on each diagonal: as many rows as there are, which is what the caller asks for."""
         row, pair = _spread(windows.pairs[which], windows.pairs[which + 1] - windows.pairs[which])
         item, at, place, size = windows.item[pair], windows.at[pair], place[row], windows.size[which[row]]
         order = np.lexsort((place, place - at, item))
@@ -182,11 +195,27 @@ class Shard:
         first = order[start]
         own = np.searchsorted(self.starts, place[first], "right") - 1
         for d, i, x, y, n in zip(own.tolist(), item[first].tolist(), at[first].tolist(), (place[first] - self.starts[own]).tolist(), run.tolist()):
-            self.items[d].add(i)
             self.matches[d].append({"item_id": i, "item_start": x, "start": y, "n_words": n})
 
-    def longest(self) -> list[int]:
-        return [max((m["n_words"] for m in own), default=0) for own in self.matches]
+
+def _longest(windows: Windows, which: np.ndarray, begin: np.ndarray) -> int:
+    """Words of the longest match of a text whose windows begin at these places, in order. It goes from place to place with
+    the items' places that match so far, so a window that many items share costs as many steps at each of its places, and
+    never its items times its places at once."""
+    size = windows.size[which]
+    longest = int(size.max())
+    full = np.flatnonzero(size == longest)  # shorter windows are whole items
+    before, active, lengths = -2, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for w, place in zip(which[full].tolist(), begin[full].tolist()):
+        where = windows.where[windows.pairs[w] : windows.pairs[w + 1]]
+        if place == before + 1:
+            at = np.minimum(np.searchsorted(active, where - 1), len(active) - 1)
+            lengths = np.where(active[at] == where - 1, lengths[at] + 1, 1)
+        else:
+            lengths = np.ones(len(where), np.int64)
+        before, active = place, where
+        longest = max(longest, int(size[full[0]]) - 1 + int(lengths.max()))
+    return longest
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
@@ -214,15 +243,23 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK
     return out
 
 
-def _searched(blocks_: list[Broadcast], window: int):
+def _value(block: Broadcast, several: bool) -> Windows:
+    """A block's windows. Of several blocks a worker holds one at a time; the next shard loads it from the broadcast's file."""
+    value = block.value
+    if several:
+        block.__dict__.pop("_value", None)
+    return value
+
+
+def _searched(blocks_: list[Broadcast], window: int, located: bool = False):
     """Batches of rows with the shard of their texts, searched for all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Shard]]:
         def done(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, Shard]:
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            shard = Shard(as_bytes(table.column("text")), window)
+            shard = Shard(as_bytes(table.column("text")), window, located)
             for block in blocks_:
-                shard.search(block.value, window)
+                shard.search(_value(block, len(blocks_) > 1), window)
             return table, shard
 
         held: list[pa.RecordBatch] = []
@@ -246,7 +283,7 @@ _FOUND = f"doc_id long, n_words long, ranges array<struct<a:int,b:int>>, items a
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each document: its words, ranges of words inside matches, the items found and the longest verbatim matches with
     their places in item and document."""
-    search = _searched(benchmark_blocks(benchmark, window, block_bytes), window)
+    search = _searched(benchmark_blocks(benchmark, window, block_bytes), window, located=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = pa.int32()
@@ -285,7 +322,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
             yield pa.record_batch(
                 [
                     batch.column("doc_id"), pa.array(shard.sizes), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), pa.array(shard.longest(), pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), pa.array(shard.longest, pa.int64()),
                 ],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
             )
