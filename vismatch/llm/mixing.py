@@ -17,7 +17,8 @@ row for each source and bucket, and rows and texts meet it on both, so no join b
 ``mix_report`` inverts the demand at the exact word; ``mix_documents`` does so to within a bucket, whose words it takes
 as spread evenly over its hashes, so that texts meet the plan only and are shuffled once.
 
-Defined cases: null and empty texts have size 0 and are never taken; sources that are null form one source, last; a
+Defined cases: null and empty texts have size 0, are never taken and take no part in the order, since any number of them
+may share a place; sources that are null form one source, last; a
 source of size 0 has target 0; repeated rows each count and share one place in the order; an empty table gives an empty
 mix; other columns pass through ``mix_documents``.
 """
@@ -89,7 +90,8 @@ def _planned(sizes: DataFrame, folder: str, counts: DataFrame, weights: tuple[in
     sources = targets.withColumn("turns", turns).withColumn("cut", F.col("mixed") - F.col("turns") * F.col("source_size"))
     plan = materialise(starts.join(sources, F.col("_s").eqNullSafe(F.col("source"))).drop("source"), f"{folder}/plan")
     own = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    inside = placed.filter("size > 0").withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    inside = inside.unionByName(placed.filter("size = 0").withColumn("inside", F.lit(0).cast("long")))  # any number of these may share a place
     rows = inside.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
     return rows.withColumn("start", F.col("bucket_start") + F.col("inside")), plan
 
@@ -131,8 +133,8 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHED
     taken = F.col("turns") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - F.col("start")))
     at = F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("mixed").cast("double"), F.col("weight_no"), schedules))
     out = rows.withColumn("taken", taken.cast("long")).withColumn("position", at)
-    # texts that are not taken have no position; they follow, spread by their place
-    order = F.coalesce("position", 2 + F.col("place") / F.lit(float(1 << 63)))
+    # texts that are not taken have no position; they follow, spread evenly
+    order = F.coalesce("position", 2 + F.xxhash64("place", F.monotonically_increasing_id()) / F.lit(float(1 << 63)))
     ranged = out.withColumn("order", order).repartitionByRange("order").sortWithinPartitions("order")
     return ranged.select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -152,7 +154,8 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SC
     table = table.select("_s", "_b", F.struct(*[c for c in table.columns if c not in ("_s", "_b")]).alias("_plan"))
     table = materialise(table, f"{folder}/table")
     # the row as one column, so that no name of its own can clash
-    packed = docs.select(F.struct("*").alias("_row"), _place(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_place"))
+    worded = docs.filter(F.rlike(F.col("text").cast("string"), F.lit(WORD_REGEX)))  # others are never taken
+    packed = worded.select(F.struct("*").alias("_row"), _place(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_place"))
     source, place, buckets = F.col("_row.source").cast("string"), F.col("_place"), F.col("_buckets")
     joined = _bucketed(packed, source, place, counts).join(table, source.eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     key = F.struct(place.alias("place"), F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
