@@ -64,7 +64,7 @@ def test_means_of_stored_images_need_no_exchange(spark, images, monkeypatch, row
     monkeypatch.setattr(layout, "BUCKET_ROWS", 50)
     stored = jobs.save_images(images, shared_dir(spark))
     assert stored.count() == 600 and (stored.agg(F.max("blocks")).first()[0] > 1) == (rows == 20)
-    made = centroids.of_homes(stored, stored.select("blocks"))
+    made = centroids.of_homes(stored)
     if rows == 4_096:
         assert "Exchange" not in plan(made) and "SelectedBucketsCount: 4 out of 4" in plan(made)
     want = {r.part_id: (r.v, r.n_images) for r in centroids.of_images(images).collect()}
@@ -128,14 +128,16 @@ def size_read(df):
 
 def test_unprobed_cells_are_not_read(spark, clusters):
     index.write_cells(clusters, "vec_id", 64, path := shared_dir(spark))
-    centres, members = index.read_cells(spark, path)
-    cell = centres.orderBy("n").first()["cell"]
+    stored = index.read_cells(spark, path)
+    members = stored.members
+    cell = int(stored.known.number[members.groupBy("cell").count().orderBy("count").first()["cell"] == stored.known.number][0])
     one = layout.of_cells(members, [cell])
     assert size_read(one) < 0.05 * size_read(members) and "PartitionFilters: [isnotnull(cell" in plan(one)
     queries = clusters.filter("vec_id = 0").select(F.col("vec_id").alias("qid"), "v")
-    found = index.probe(queries, centres, members, "vec_id", 3, 1)
-    assert {r.vec_id for r in found.collect()} >= {0, 800}
+    found = index.probe(queries, stored, "vec_id", 3, 1)
+    assert "PartitionFilters: [isnotnull(cell" in plan(found) and {r.vec_id for r in found.collect()} >= {0, 800}
     assert members.count() == 1_600 and members.select("vec_id").distinct().count() == 1_600
+    assert dict(members.dtypes)["v"] == "binary"
 
 
 @pytest.mark.parametrize("k", [1, 5])
@@ -143,14 +145,35 @@ def test_exact_search_in_reach_is_brute_force(spark, clusters, monkeypatch, k):
     monkeypatch.setattr(layout, "BLOCK_ROWS", 30)
     monkeypatch.setattr(balls, "HELD_QUERIES", 7)
     index.write_cells(clusters, "vec_id", 30, path := shared_dir(spark))
-    centres, members = index.read_cells(spark, path)
+    stored = index.read_cells(spark, path)
+    assert (stored.known.blocks > 1).any()
     far = spark.createDataFrame([(10_000, [1e3] * 12), (10_001, [0.0] * 12)], "vec_id long, v array<float>")
     queries = clusters.filter("vec_id % 50 = 0").unionByName(far).select(F.col("vec_id").alias("qid"), "v")
-    found = index.exact(queries, centres, members, "vec_id", k)
+    found = index.exact(queries, stored, "vec_id", k)
     assert {(r.qid, r.rk, r.vec_id) for r in found.collect()} == brute(queries, clusters, k)
-    reach = queries.withColumn("reach", F.lit(1.0))
-    visits = balls.cells_in_reach(reach, centres)
-    assert visits.filter("qid < 10000").count() < 0.3 * 32 * 30  # far cells are left out
+    every = index.probe(queries, stored, "vec_id", k, 30)
+    assert {(r.qid, r.rk, r.vec_id) for r in every.collect()} == brute(queries, clusters, k)
+    assert index.exact(queries.limit(0), stored, "vec_id", k).count() == 0
+
+
+def test_cells_of_queries_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 10, (50, 5))
+    centres[25:] = centres[:25]  # ties
+    x, owner = rng.normal(0, 10, (400, 5)), None
+    owner = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    radius = np.array([np.sqrt(((x[owner == c] - centres[c]) ** 2).sum(1)).max(initial=0) for c in range(50)])
+    cells = balls.Cells(np.arange(50, dtype=np.int32), centres, radius, np.ones(50, np.int64))
+    q = np.concatenate([rng.normal(0, 10, (60, 5)), centres[:5]])
+    want = np.lexsort((np.broadcast_to(np.arange(50), (65, 50)), ((q[:, None] - centres[None]) ** 2).sum(2)))
+    for k in (1, 4, 50, 90):
+        row, place = cells.nearest(q, k)
+        assert [sorted(place[row == i].tolist()) for i in range(65)] == [sorted(w[:k].tolist()) for w in want]
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    reach = np.sort(d, axis=1)[:, 2]
+    row, place = cells.in_reach(q, reach)
+    visited = set(zip(row.tolist(), place.tolist()))
+    assert all((i, owner[j]) in visited for i, j in zip(*np.nonzero(d <= reach[:, None]))) and len(visited) < 0.8 * 65 * 50
 
 
 def test_a_stored_index_answers_like_a_table(spark, images):

@@ -6,19 +6,20 @@ Bounds are rounded so that they never exceed the true value, and comparisons are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .meet import every, meet, spread
 
 #: Share of the values by which a bound is lowered: above what doubles lose in a product of vectors.
 ROOM = 1e-6
-#: Queries that a task holds while the centres pass, and rows that are assigned at once.
+#: Queries that are compared with the centres at once, and rows that are assigned at once.
 HELD_QUERIES, ROWS_AT_ONCE = 1_024, 2_048
 
 
@@ -98,29 +99,61 @@ def assigned(table: DataFrame, key: str, centres: np.ndarray, vector: str = "v")
     return table.select(key, vector).mapInArrow(run, f"cell int, `{key}` {kind}, d double, `{vector}` {stored}")
 
 
-class _Reached:
-    """The centres that pass whose balls reach each held query's sphere. Queries end with their reach, centres with their
-    radius."""
+@dataclass(frozen=True)
+class Cells:
+    """What the driver and the tasks know of the cells, at most 10,000: number, centre, radius of the members around it and
+    the blocks that the members are held in."""
+
+    number: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+    blocks: np.ndarray
+
+    @classmethod
+    def of(cls, centres: DataFrame) -> Cells:
+        rows = centres.select("cell", "v", "radius", "blocks").orderBy("cell").collect()
+        width = len(rows[0]["v"]) if rows else 0
+        return cls(np.array([r["cell"] for r in rows], np.int32), np.array([r["v"] for r in rows], np.float64).reshape(len(rows), width), np.array([r["radius"] for r in rows]), np.array([r["blocks"] for r in rows], np.int64))
+
+    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, place among the cells) of the k cells nearest to each row; ties by number."""
+        d = ((q**2).sum(1)[:, None] + (self.centre**2).sum(1)) - 2 * (q @ self.centre.T)
+        if k >= len(self.number):
+            return tuple(a.ravel() for a in np.indices(d.shape))
+        rough = np.argpartition(d, k - 1, axis=1)[:, :k]
+        limit = np.take_along_axis(d, rough, 1).max(1) + 1e-9 * ((q**2).sum(1) + (self.centre**2).sum(1).max(initial=0.0))
+        row, col = np.nonzero(d <= limit[:, None])  # what rounding leaves in question is compared by differences
+        squares = ((q[row] - self.centre[col]) ** 2).sum(1)
+        order = np.lexsort((col, squares, row))
+        row, col = row[order], col[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        chosen = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+        return row[chosen], col[chosen]
+
+    def in_reach(self, q: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, place among the cells) of the cells with a member that may lie within the row's reach."""
+        low = distances(q, self.centre) - self.radius * (1 + ROOM) - _room(q, self.centre)[:, None]
+        return np.nonzero(low <= (reach * (1 + ROOM))[:, None])
+
+
+def visits(queries: DataFrame, cells: Broadcast, choose: Callable[[Cells, pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """qid, cell, block and v for each block of each cell that a query visits. One pass over the queries; the cells are a
+    broadcast, and a slice of the queries is compared with them at once.
+
+    choose: (cells, rows, their vectors) -> (row, place among the cells) of the visits."""
+    kind = queries.schema["v"].dataType.simpleString()
 
-    def __init__(self, ids: pa.Array, q: np.ndarray) -> None:
-        self.ids, self.q, self.reach = ids, q[:, :-1], q[:, -1]
-
-    def feed(self, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
-        centres, radius = x[:, :-1], x[:, -1]
-        low = distances(self.q, centres) - radius - _room(self.q, centres)[:, None] - ROOM * radius
-        rows, cols = np.nonzero(low <= (self.reach * (1 + ROOM))[:, None])
-        return pa.record_batch([self.ids.take(pa.array(rows)), ids.take(pa.array(cols))], names=["qid", "cell"])
-
-    def done(self) -> None:
-        return None
-
-
-def cells_in_reach(queries: DataFrame, centres: DataFrame) -> DataFrame:
-    """qid, cell for each cell with a member that may lie in the query's reach.
-
-    queries: qid, v, reach (a distance; infinite visits all cells); centres: cell, v, radius."""
-    blocks = max(1, -(-queries.count() // HELD_QUERIES))
-    longer = lambda v, last: F.concat(F.col(v).cast("array<double>"), F.array(F.col(last).cast("double")))
-    held = queries.select("qid", longer("v", "reach").alias("v")).withColumn("qb", spread("qid", blocks))
-    passing = centres.select("cell", longer("v", "radius").alias("v")).withColumn("qb", every(blocks))
-    return meet(held, passing, ["qb"], "qid", "cell", _Reached, f"qid long, cell {centres.schema['cell'].dataType.simpleString()}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cells.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD_QUERIES):
+                part = batch.slice(at, HELD_QUERIES)
+                row, place = choose(own, part, vectors.matrix(part.column("v")).astype(np.float64))
+                many = own.blocks[place]
+                row, place = np.repeat(row, many), np.repeat(place, many)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                for a in range(0, len(row), HELD_QUERIES):
+                    take = pa.array(row[a : a + HELD_QUERIES])
+                    yield pa.record_batch([part.column("qid").take(take), own.number[place[a : a + HELD_QUERIES]], block[a : a + HELD_QUERIES].astype(np.int32), part.column("v").take(take)], names=["qid", "cell", "block", "v"])
+
+    return queries.select(F.col("qid").cast("long").alias("qid"), "v", *[c for c in ("reach",) if c in queries.columns]).mapInArrow(run, f"qid long, cell int, block int, v {kind}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, vectors
 from ..session import shared_dir
+from ..sources import layout
 
 
 def of_images(images: DataFrame) -> DataFrame:
@@ -23,13 +24,13 @@ def _of_home(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"part_id": rows.column("part_id").slice(0, 1), "blocks": pa.array([blocks], pa.int32()), "s": vectors.lists((s / n if blocks == 1 else s)[None]), "n": [n]})
 
 
-def of_homes(images: DataFrame, sizes: DataFrame) -> DataFrame:
+def of_homes(images: DataFrame) -> DataFrame:
     """part_id, v, n_images of images stored by part: each home is summed where its bucket is read, without an exchange.
 
     Only the sums of parts with several homes meet afterwards, a row a home; a table without such parts has no such step."""
     sums = images.select("home", "part_id", "blocks", "embedding").groupBy("home").applyInArrow(_of_home, "part_id string, blocks int, s array<double>, n long")
     means = lambda rows, divisor: rows.select("part_id", divisor.alias("v"), F.col("n").alias("n_images"))
-    if not (sizes.agg(F.max("blocks")).first()[0] or 1) > 1:
+    if not layout.several_homes(images):
         return means(sums, F.col("s"))
     sums.write.parquet(folder := f"{shared_dir(images.sparkSession)}/sums")
     stored = images.sparkSession.read.parquet(folder)

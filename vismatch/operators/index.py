@@ -3,8 +3,11 @@ visits the cells whose balls a query's k-th distance reaches. Cells that no quer
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +41,7 @@ def write_cells(table: DataFrame, key: str, cells: int, path: str, train_rows: i
     is read from the written cells and distances alone."""
     spark = table.sparkSession
     centres = train_centres(table, cells, train_rows, seed)
-    layout.write_by_cell(balls.assigned(table, key, centres), f"{path}/members")
+    layout.write_by_cell(balls.assigned(vectors.packed(table.select(key, "v"), "v"), key, centres), f"{path}/members")
     held = spark.read.parquet(f"{path}/members").groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"))  # a row a cell
     held = held.withColumn("blocks", F.ceil(F.col("n") / layout.BLOCK_ROWS).cast("int"))
     rows = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, v array<double>")
@@ -62,39 +65,51 @@ class _NearestHeld:
         return None
 
 
-def in_cells(visits: DataFrame, queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int) -> DataFrame:
-    """The k nearest members in the cells that each query visits (qid, cell): qid, rk, key, l2.
+@dataclass(frozen=True)
+class Stored:
+    """A stored cell index: its cells, as a broadcast, and its members."""
+
+    cells: Broadcast
+    members: DataFrame
+
+    @property
+    def known(self) -> balls.Cells:
+        return self.cells.value
+
+
+def read_cells(spark: SparkSession, path: str) -> Stored:
+    """The index that write_cells wrote."""
+    return Stored(spark.sparkContext.broadcast(balls.Cells.of(spark.read.parquet(f"{path}/centres"))), spark.read.parquet(f"{path}/members"))
 
-    The visits are written first. Cells without any are left out of the scan; the others' members are held in blocks,
-    each by one task, while the queries that visit the cell pass: only queries are copied."""
-    spark, kind = members.sparkSession, members.schema[key].dataType.simpleString()
-    visits.select("qid", "cell").write.parquet(folder := f"{shared_dir(spark)}/visits")
-    visits = spark.read.parquet(folder)
-    cells = [r["cell"] for r in visits.select("cell").distinct().collect()]  # 10,000 at most
-    blocks = F.broadcast(centres.select("cell", "blocks"))
-    held = layout.of_cells(members, cells).join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    passing = visits.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries.select("qid", "v"), "qid")
-    found = meet(held, passing, ["cell", "block"], key, "qid", lambda ids, x: _NearestHeld(ids, x, k), f"qid long, key {kind}, l2 double")
+
+def in_cells(visits: DataFrame, stored: Stored, key: str, k: int) -> DataFrame:
+    """The k nearest members in the cells that each query visits: qid, rk, key, l2.
+
+    Cells without any visit are left out of the scan; the others' members are held in blocks, each by one task, while the
+    queries that visit the cell pass: only queries are copied. The visits are made twice, first for their cells."""
+    kind, known = stored.members.schema[key].dataType.simpleString(), stored.known
+    held = layout.of_cells(stored.members, [r["cell"] for r in visits.select("cell").distinct().collect()])  # 10,000 at most
+    block = F.lit(0)
+    if (large := np.flatnonzero(known.blocks > 1)).size:
+        many = held.sparkSession.createDataFrame([(int(known.number[i]), int(known.blocks[i])) for i in large], "cell int, blocks int")
+        held = held.join(F.broadcast(many), "cell", "left")
+        block = F.pmod(F.xxhash64(key), F.coalesce("blocks", F.lit(1))).cast("int")
+    found = meet(held.withColumn("block", block), visits, ["cell", "block"], key, "qid", lambda ids, x: _NearestHeld(ids, x, k), f"qid long, key {kind}, l2 double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("l2", "key"))
     return found.withColumn("rk", rank).filter(F.col("rk") <= k).select("qid", "rk", F.col("key").alias(key), "l2")
 
 
-def probe(queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int, cells: int) -> DataFrame:
-    """The k nearest members in the ``cells`` nearest cells of each query: qid, rk, key, l2."""
-    return in_cells(search.knn(queries, centres, "cell", cells), queries, centres, members, key, k)
+def probe(queries: DataFrame, stored: Stored, key: str, k: int, cells: int) -> DataFrame:
+    """The k nearest members in the ``cells`` nearest cells of each query (qid, v): qid, rk, key, l2."""
+    return in_cells(balls.visits(queries.select("qid", "v"), stored.cells, lambda own, rows, q: own.nearest(q, cells)), stored, key, k)
 
 
-def exact(queries: DataFrame, centres: DataFrame, members: DataFrame, key: str, k: int, first: int = 2) -> DataFrame:
+def exact(queries: DataFrame, stored: Stored, key: str, k: int, first: int = 2) -> DataFrame:
     """The k nearest of all members, as by comparing all: qid, rk, key, l2.
 
     The k-th distance in a query's ``first`` nearest cells bounds its reach; the cells whose balls the reach meets are
     visited. Others are neither compared nor shuffled with it. A query with fewer than k members there visits all."""
-    spark = members.sparkSession
-    probe(queries, centres, members, key, k, first).filter(F.col("rk") == k).select("qid", F.sqrt("l2").alias("reach")).write.parquet(folder := f"{shared_dir(spark)}/reach")
+    spark = queries.sparkSession
+    probe(queries, stored, key, k, first).filter(F.col("rk") == k).select("qid", F.sqrt("l2").alias("reach")).write.parquet(folder := f"{shared_dir(spark)}/reach")
     bounded = queries.select("qid", "v").join(spark.read.parquet(folder), "qid", "left").fillna(float("inf"), ["reach"])
-    return in_cells(balls.cells_in_reach(bounded, centres), queries, centres, members, key, k)
-
-
-def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(centres, members) as written."""
-    return spark.read.parquet(f"{path}/centres"), spark.read.parquet(f"{path}/members")
+    return in_cells(balls.visits(bounded, stored.cells, lambda own, rows, q: own.in_reach(q, rows.column("reach").to_numpy())), stored, key, k)

@@ -100,10 +100,10 @@ def knn(queries: DataFrame, table: DataFrame, key: str, k: int, exclude_self: bo
 
 
 class _BestPerPart:
-    """The best dot product of each held query with each part that passes."""
+    """The best dot product of each held query with each part that passes; with k, with the k best of those of a slice."""
 
-    def __init__(self, ids: pa.Array, q: np.ndarray) -> None:
-        self.ids, self.q = ids, q
+    def __init__(self, ids: pa.Array, q: np.ndarray, k: int | None = None) -> None:
+        self.ids, self.q, self.k = ids, q, k
 
     def feed(self, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
         parts = ids.dictionary_encode()
@@ -111,8 +111,9 @@ class _BestPerPart:
         order = np.argsort(code, kind="stable")
         starts = np.flatnonzero(np.diff(code[order], prepend=-1))
         best = np.maximum.reduceat(self.q @ x[order].T, starts, axis=1)
-        rows, cols = (a.ravel() for a in np.indices(best.shape))
-        return pa.record_batch([self.ids.take(pa.array(rows)), parts.dictionary.take(pa.array(code[order][starts][cols])), best.ravel()], names=["qid", "part_id", "cos"])
+        least = -np.inf if self.k is None or self.k >= best.shape[1] else -np.partition(-best, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        rows, cols = np.nonzero(best >= least)  # ties are all there
+        return pa.record_batch([self.ids.take(pa.array(rows)), parts.dictionary.take(pa.array(code[order][starts][cols])), best[rows, cols]], names=["qid", "part_id", "cos"])
 
     def done(self) -> None:
         return None
@@ -125,6 +126,17 @@ def all_cosines(queries: DataFrame, images: DataFrame) -> DataFrame:
     return found.groupBy("qid", "part_id").agg(F.max("cos").alias("cos"))
 
 
+def best_parts(queries: DataFrame, images: DataFrame, k: int) -> DataFrame:
+    """The k parts of the best dot products with each query: qid, rk, part_id, cos; ties by part.
+
+    A part among the k best is among the k best of the slice that has its best image, so each slice sends k rows a query
+    (and ties), not a row for each part."""
+    held, passing = _blocks(queries.select("qid", "v"), images.select("image_id", "part_id", F.col("embedding").alias("v")), "image_id")
+    found = meet(held, passing, ["qb", "tb"], "qid", "part_id", lambda ids, q: _BestPerPart(ids, q, k), "qid long, part_id string, cos double")
+    best = found.groupBy("qid", "part_id").agg(F.max("cos").alias("cos"))
+    return _ranked(best, F.desc("cos"), "part_id").filter(F.col("rk") <= k).select("qid", "rk", "part_id", "cos")
+
+
 class _BestOfHeld:
     """The best dot product of each query that passes with the images held, all of one part."""
 

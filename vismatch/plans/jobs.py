@@ -93,7 +93,7 @@ def save_centroids(images: DataFrame, root: str, source: str = "") -> DataFrame:
     Images stored by part (see ``save_images``) are summed without an exchange."""
     spark = images.sparkSession
     stored = "home" in images.columns
-    made = centroids.of_homes(images, images.select("part_id", "blocks")) if stored else centroids.of_images(images)
+    made = centroids.of_homes(images) if stored else centroids.of_images(images)
     metadata = lambda path: sinks.centroid_metadata(spark.read.parquet(f"{path}/centroids"), source)
     sinks.write_set(spark, {"centroids": made, "metadata": metadata}, root)
     return sinks.read_set(spark, root, "centroids")
@@ -139,8 +139,8 @@ def nearest_images(queries: DataFrame, root: str, k: int = config.TOP, probes: i
     path = sinks.set_path(spark, root)
     if sinks.read_set(spark, root, "metadata").first()["index_type_images"] == "Flat":
         return search.knn(queries, layout.read_by_part(spark, path).select("image_id", F.col("embedding").alias("v")), "image_id", k)
-    centres, members = index.read_cells(spark, path)
-    return index.exact(queries, centres, members, "image_id", k) if probes is None else index.probe(queries, centres, members, "image_id", k, probes)
+    stored = index.read_cells(spark, path)
+    return index.exact(queries, stored, "image_id", k) if probes is None else index.probe(queries, stored, "image_id", k, probes)
 
 
 def answer(queries: DataFrame, root: str, **options) -> DataFrame:

@@ -124,6 +124,18 @@ def search_exact_id_fallback(spark, sf_dir):
     return _long_rank(_rounded(_rounded(found, "distance"), "similarity", to=4)).drop("is_best")
 
 
+_EQUAL_IDS = _SQL["search_rerank"].replace("JOIN img i ON i.part_id = c.part_id WHERE", "JOIN img i ON i.part_id = c.part_id AND i.vec_id % 2 = 0 WHERE")
+
+
+@_registered(_EQUAL_IDS)
+def search_exact_id(spark, sf_dir):
+    """Candidates meet images whose own id is the part's: those with an even number, renamed so."""
+    images = _images(spark, sf_dir)
+    named = images.withColumn("image_id", F.when(F.col("ordinal") % 2 == 0, F.col("part_id")).otherwise(F.col("image_id")))
+    found = search.search(_asked(images), _centroids(images), named, TOP, STAGE_ONE, id_match="exact")
+    return _long_rank(_rounded(_rounded(found, "distance"), "similarity", to=4))
+
+
 @_registered(
     """WITH v AS (SELECT label AS qid, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS view_no, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT qid, unnest(range(len(e))) AS dim, unnest(e) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) + 1e-12) AS v FROM v WHERE view_no <= 3),
@@ -157,8 +169,8 @@ def _ivf(spark, sf_dir, cells: int, probed: int | None) -> DataFrame:
     """The search of cells that are written first; of all cells in reach with probed None."""
     images = _images(spark, sf_dir)
     index.write_cells(_vectors(images), "vec_id", cells, path := shared_dir(spark))
-    centres, members = index.read_cells(spark, path)
-    found = index.exact(_asked(images), centres, members, "vec_id", TOP) if probed is None else index.probe(_asked(images), centres, members, "vec_id", TOP, probed)
+    stored = index.read_cells(spark, path)
+    found = index.exact(_asked(images), stored, "vec_id", TOP) if probed is None else index.probe(_asked(images), stored, "vec_id", TOP, probed)
     return _long_rank(_rounded(found, "l2"))
 
 
@@ -251,6 +263,13 @@ def cosine_by_part(spark, sf_dir):
     return _rounded(search.all_cosines(_asked(images), images), "cos")
 
 
+@_registered(f"WITH c AS ({_SQL['cosine_by_part']}) SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, part_id) AS rk, part_id, cos FROM c) WHERE rk <= 3")
+def cosine_top_parts(spark, sf_dir):
+    """The three parts with the best image for each query; the others' products are not sent."""
+    images = _images(spark, sf_dir)
+    return _long_rank(_rounded(search.best_parts(_asked(images), images, 3), "cos"))
+
+
 @_registered("SELECT event_id, round(greatest(0.0, least(100.0, (value / 100 + 1) * 50.0)), 4) AS of_cosine, round(greatest(0.0, least(100.0, 100.0 * exp(-(value / 100) / 2))), 4) AS of_distance FROM events")
 def scores(spark, sf_dir):
     x = F.col("value") / 100
@@ -363,6 +382,15 @@ def catalogue_page(spark, sf_dir):
     return _images(spark, sf_dir).select("image_id", "part_id").orderBy("image_id", "part_id")
 
 
+@_registered(
+    """SELECT image_id, position FROM (SELECT 'p' || label || '/img' || vec_id || '.jpg' AS image_id, row_number() OVER (ORDER BY 'p' || label || '/img' || vec_id || '.jpg') - 1 AS position FROM embeddings)
+WHERE position >= 50 AND position < 100"""
+)
+def catalogue_second_page(spark, sf_dir):
+    """The limit is the feature: images 50 to 99 in the order of their ids."""
+    return catalogue.page(_images(spark, sf_dir).select("image_id"), 50, 50)
+
+
 @_registered("SELECT 'p' || label || '/img' || vec_id || '.jpg' AS image_id FROM embeddings ORDER BY image_id LIMIT 100")
 def test_limit(spark, sf_dir):
     """The limit is the feature: a test run takes the first 100 images by id."""

@@ -75,6 +75,11 @@ def read_by_part(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(name)
 
 
+def several_homes(images: DataFrame) -> bool:
+    """Whether a part of a table by part has more than one home; the scan stops at the first such row that it meets."""
+    return not images.filter("blocks > 1").select("blocks").limit(1).isEmpty()
+
+
 def of_homes(images: DataFrame, homes: DataFrame) -> DataFrame:
     """Rows of a table by part with one of the homes (distinct): few are named in the filter and skip buckets, more are a
     broadcast of counted size, and beyond that the homes are dealt to the buckets. Images are not exchanged for it."""

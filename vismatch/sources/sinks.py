@@ -133,9 +133,11 @@ def table_metadata(images: DataFrame, parts: DataFrame, source: str) -> DataFram
 
 
 def centroid_metadata(centroids: DataFrame, source: str) -> DataFrame:
-    """One row about centroids (part_id, v, n_images): when, how many of how many images, their dimension. Images are not read."""
-    found = centroids.agg(F.count("*").alias("total_parts"), F.sum("n_images").alias("total_images"), F.max(F.size("v")).alias("embedding_dim"))
-    return found.select(F.current_timestamp().alias("created_at"), "total_parts", "total_images", "embedding_dim", F.lit("mean").alias("data_type"), F.lit(source).alias("source"))
+    """One row about centroids (part_id, v, n_images): when, how many of how many images, their dimension. Images are not
+    read, and of the centroids' vectors only the first, since means of different lengths cannot be built."""
+    found = centroids.agg(F.count("*").alias("total_parts"), F.sum("n_images").alias("total_images"))
+    dim = centroids.select(F.size("v").alias("n")).limit(1).agg(F.max("n")).scalar()
+    return found.select(F.current_timestamp().alias("created_at"), "total_parts", "total_images", dim.alias("embedding_dim"), F.lit("mean").alias("data_type"), F.lit(source).alias("source"))
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
