@@ -93,9 +93,9 @@ def save_centroids(images: DataFrame, root: str, source: str = "") -> DataFrame:
     Images stored by part (see ``save_images``) are summed without an exchange."""
     spark = images.sparkSession
     stored = "home" in images.columns
-    made = centroids.of_homes(images) if stored else centroids.of_images(images)
-    metadata = lambda path: sinks.centroid_metadata(spark.read.parquet(f"{path}/centroids"), source)
-    sinks.write_set(spark, {"centroids": made, "metadata": metadata}, root)
+    made, written = centroids.of_homes(images) if stored else centroids.of_images(images), Observation()
+    observed = made.observe(written, *sinks.centroid_counts())
+    sinks.write_set(spark, {"centroids": observed, "metadata": lambda path: sinks.observed_metadata(spark, written.get, source)}, root)
     return sinks.read_set(spark, root, "centroids")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
@@ -132,9 +132,19 @@ def table_metadata(images: DataFrame, parts: DataFrame, source: str) -> DataFram
     return own.withColumn("total_parts", parts.agg(F.count("*")).scalar()).select(F.current_timestamp().alias("created_at"), "total_images", "total_parts", "embedding_dim", kind.alias("index_type_images"), F.lit("Flat").alias("index_type_centroids"), F.lit(source).alias("source"))
 
 
+def centroid_counts() -> list[Column]:
+    """What the metadata says of centroids (part_id, v, n_images), as aggregates of the rows as they are written."""
+    return [F.count(F.lit(1)).alias("total_parts"), F.sum("n_images").alias("total_images"), F.max(F.size("v")).alias("embedding_dim")]
+
+
+def observed_metadata(spark: SparkSession, counts: dict, source: str) -> DataFrame:
+    """One row about centroids that were written: when, how many of how many images, their dimension."""
+    own = spark.createDataFrame([(counts["total_parts"], counts["total_images"], counts["embedding_dim"])], "total_parts long, total_images long, embedding_dim int")
+    return own.select(F.current_timestamp().alias("created_at"), "*", F.lit("mean").alias("data_type"), F.lit(source).alias("source"))
+
+
 def centroid_metadata(centroids: DataFrame, source: str) -> DataFrame:
-    """One row about centroids (part_id, v, n_images): when, how many of how many images, their dimension. Images are not
-    read, and of the centroids' vectors only the first, since means of different lengths cannot be built."""
+    """The same row from stored centroids; of their vectors only the first is read, since all are of one length."""
     found = centroids.agg(F.count("*").alias("total_parts"), F.sum("n_images").alias("total_images"))
     dim = centroids.select(F.size("v").alias("n")).limit(1).agg(F.max("n")).scalar()
     return found.select(F.current_timestamp().alias("created_at"), "total_parts", "total_images", dim.alias("embedding_dim"), F.lit("mean").alias("data_type"), F.lit(source).alias("source"))
