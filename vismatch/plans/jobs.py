@@ -169,8 +169,9 @@ def health(spark: SparkSession, root: str, encoder: encode.Encoder | None = None
     loaded = {"model_loaded": F.lit(encoder is not None), "indexes_loaded": F.lit(there)}
     if not there:
         return spark.range(1).select(F.lit("empty").alias("status"), *[v.alias(k) for k, v in loaded.items()], F.lit(0).cast("long").alias("centroids_count"), F.lit(0).cast("long").alias("images_count"))
-    found = sinks.health(layout.read_by_part(spark, sinks.set_path(spark, root)), sinks.read_set(spark, root, "centroids"))
-    return found.select("status", *[v.alias(k) for k, v in loaded.items()], "centroids_count", "images_count")
+    found = sinks.read_set(spark, root, "metadata")  # counted as the index was written
+    status = F.when((F.col("total_images") > 0) & (F.col("total_parts") > 0), "ok").otherwise("empty")
+    return found.select(status.alias("status"), *[v.alias(k) for k, v in loaded.items()], F.col("total_parts").alias("centroids_count"), F.col("total_images").alias("images_count"))
 
 
 def run_report(records: DataFrame) -> DataFrame:

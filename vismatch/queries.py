@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
@@ -416,6 +416,127 @@ def streaming_centroids(spark, sf_dir):
     return _rounded(vectors.long_form(ingest.read_centroids(spark, f"{folder}/table"), ["part_id"], "v"), "v")
 
 
+_TOP_LINES = f"""WITH {_IMG} SELECT qid, rk, part_id, round(greatest(0.0, least(100.0, 100.0 * exp(-l2 / 2))), 4) + 0.0 AS similarity, round(l2, 6) + 0.0 AS distance, rk = 1 AS is_best FROM cand WHERE rk <= {TOP}"""
+
+
+def _by_centroid(spark, sf_dir) -> DataFrame:
+    """Answers by centroids alone, with scores as they are shown."""
+    images = _images(spark, sf_dir)
+    found = search.search(_asked(images), _centroids(images), images, TOP, rerank=False)
+    return _rounded(_rounded(found, "distance"), "similarity", to=4)
+
+
+@_registered(f"WITH t AS ({_TOP_LINES}) SELECT part_id || chr(9) || printf('%.4f', similarity) AS value, count(*) AS n FROM t GROUP BY 1")
+def result_lines(spark, sf_dir):
+    """Lines of id and score, written as text and read again."""
+    sinks.write_lines(_by_centroid(spark, sf_dir), path := f"{shared_dir(spark)}/lines")
+    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@_registered(f"SELECT qid, true AS success, rk, part_id, distance, similarity, is_best FROM ({_TOP_LINES})")
+def json_answers(spark, sf_dir):
+    """JSON documents, a query each, parsed again."""
+    parsed = sinks.parse_response(sinks.response(_by_centroid(spark, sf_dir)))
+    return _long_rank(parsed).drop("error", "sample")
+
+
+_UPLOAD = """SELECT page_id % 40 AS qid, page_id AS position, url || CASE page_id % 4 WHEN 0 THEN '/A.JPG' WHEN 1 THEN '/b.jpeg' WHEN 2 THEN '/c.png' ELSE '/d.gif' END AS name, html FROM pages"""
+
+
+@_registered(f"WITH u AS ({_UPLOAD}) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY position) AS view_no, octet_length(encode(html)) AS n_bytes FROM u WHERE html IS NOT NULL AND regexp_matches(lower(name), '\\.(jpg|jpeg|png)$')")
+def upload_views(spark, sf_dir):
+    """Views of uploads that have a name of an image and content, numbered for each query."""
+    uploads = _paths(spark, sf_dir).join(_table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content")), "page_id")
+    views = catalogue.upload_views(uploads.select((F.col("page_id") % 40).alias("qid"), F.col("page_id").alias("position"), F.col("path").alias("name"), "content"))
+    return views.select("qid", F.col("view_no").cast("long").alias("view_no"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@_registered("SELECT user_id AS qid, CASE WHEN bool_and(event_type = 'click') THEN 500 ELSE 400 END AS status, min(CASE WHEN event_type = 'click' THEN 'internal: no model' ELSE 'not decodable' END) AS error FROM events GROUP BY user_id HAVING NOT bool_or(event_type = 'purchase')")
+def failed_answers(spark, sf_dir):
+    """Queries without a usable view: 400, or 500 where no upload is at fault. Views are the users' events."""
+    kind = F.col("event_type")
+    error = F.when(kind == "purchase", F.lit(None)).when(kind == "click", "internal: no model").otherwise("not decodable")
+    failed = sinks.failures(_table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), error.alias("error")))
+    return failed.select("qid", "status", F.get_json_object("body", "$.error").alias("error"))
+
+
+@_registered("SELECT count(*) AS total_images, count(DISTINCT label) AS total_parts, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim, CASE WHEN count(*) > 100000 THEN 'IVFFlat' ELSE 'Flat' END AS index_type_images, 'Flat' AS index_type_centroids, 'embeddings' AS source, true AS dated FROM embeddings")
+def metadata_as_json(spark, sf_dir):
+    """Metadata written as JSON and read with the types of its fields; the time lies in the last hour."""
+    images = _images(spark, sf_dir)
+    sinks.write_metadata(sinks.table_metadata(images, images.select("part_id").distinct(), "embeddings"), path := f"{shared_dir(spark)}/metadata")
+    dated = F.col("created_at").between(F.current_timestamp() - F.expr("interval 1 hour"), F.current_timestamp())
+    return sinks.read_metadata(spark, path).withColumn("dated", dated).drop("created_at")
+
+
+@_registered("SELECT v AS version, count(*) AS n, sum(vec_id) AS ids FROM embeddings, (VALUES (0), (1), (2)) AS t(v) WHERE vec_id % 3 <= v GROUP BY v")
+def increments(spark, sf_dir):
+    """Three versions of a table, of which the later two wrote a third of the rows each."""
+    rows, root = _table(spark, sf_dir, "embeddings").select("vec_id", "label"), f"{shared_dir(spark)}/table"
+    sinks.write_version(rows.filter("vec_id % 3 = 0"), root)
+    for i in (1, 2):
+        sinks.append_version(rows.filter(f"vec_id % 3 = {i}"), root)
+    read = [sinks.read_latest(spark, root, back=2 - v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.sum("vec_id").alias("ids")) for v in range(3)]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@_registered(
+    """WITH r AS (SELECT 'c' || user_id AS image_id, event_id % 5 AS run, event_type <> 'view' AS success, event_id FROM events),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY m DESC) AS age FROM (SELECT image_id, run, event_id, max(success::INTEGER * 10 + run) OVER (PARTITION BY image_id, run) AS m FROM r))
+SELECT image_id, run::INTEGER AS run, count(*) AS n, sum(event_id) AS ids FROM k WHERE age = 1 GROUP BY ALL"""
+)
+def newest_rows(spark, sf_dir):
+    """Of images that several runs have processed, the rows of the newest run that succeeded."""
+    events = _table(spark, sf_dir, "events")
+    rows = events.select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("image_id"), (F.col("event_id") % 5).cast("int").alias("run"), (F.col("event_type") != "view").alias("success"), "event_id")
+    rows.repartition("run").write.partitionBy("run").parquet(table := f"{shared_dir(spark)}/processed")
+    return jobs.read_processed(spark, table).groupBy("image_id", "run").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+_ERROR = "CASE event_type WHEN 'view' THEN 'read: ' || event_id WHEN 'click' THEN 'save: ' || event_id WHEN 'purchase' THEN 'too small' END"
+
+
+@_registered(f"WITH r AS (SELECT {_ERROR} AS error FROM events) SELECT count(*) AS processed, count(*) FILTER (error LIKE 'read: %') AS read_errors, count(*) FILTER (error LIKE 'save: %') AS save_errors, count(*) FILTER (error = 'too small') AS other_errors FROM r")
+def run_errors(spark, sf_dir):
+    """Errors by where they arose, counted as the records are written."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    error = F.when(kind == "view", F.concat(F.lit("read: "), number)).when(kind == "click", F.concat(F.lit("save: "), number)).when(kind == "purchase", "too small")
+    records = _table(spark, sf_dir, "events").select(error.alias("error"), error.isNull().alias("success"), F.lit(False).alias("skipped"), F.lit(False).alias("detected"), F.lit(0.0).alias("processing_time"))
+    seen = Observation()
+    records.observe(seen, *stats.counters(records)).write.parquet(f"{shared_dir(spark)}/records")
+    names = ["processed", "read_errors", "save_errors", "other_errors"]
+    return spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@_registered("SELECT count(*) AS n, CAST(min(len(embedding)) AS INTEGER) AS dim FROM embeddings WHERE embedding IS NOT NULL")
+def checked_load(spark, sf_dir):
+    """The first table that exists, checked for ids and equal lengths before it is used."""
+    found = catalogue.resolve_first(spark, [f"{sf_dir}/no-such-table.parquet", f"{sf_dir}/embeddings.parquet"])
+    images = catalogue.image_table(spark.read.parquet(found).filter("embedding is not null"))
+    catalogue.validate(images)
+    return images.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim"))
+
+
+@_registered(f"WITH s AS ({_LINE}) SELECT l_orderkey, l_linenumber, w || 'x' || h AS size FROM s")
+def size_texts(spark, sf_dir):
+    return _sized(spark, sf_dir).select("l_orderkey", "l_linenumber", paths.size_text(F.col("w"), F.col("h")).alias("size"))
+
+
+@_registered("SELECT 50 AS n, true AS known")
+def random_rows(spark, sf_dir):
+    """Fifty rows drawn with replacement, all of them the table's."""
+    ids = _images(spark, sf_dir).select("image_id")
+    drawn = stats.random_rows(ids, 50)
+    known = drawn.join(ids.withColumn("known", F.lit(True)), "image_id", "left")
+    return known.agg(F.count("*").cast("int").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+
+
+@_registered("SELECT 'ok' AS status, true AS model_loaded, true AS indexes_loaded, count(DISTINCT label) AS centroids_count, count(*) AS images_count FROM embeddings")
+def health_of_index(spark, sf_dir):
+    jobs.save_index(_floats(spark, sf_dir), root := f"{shared_dir(spark)}/index")
+    return jobs.health(spark, root, encode.ColourGrid())
+
+
 def _pictures(spark, sf_dir) -> DataFrame:
     """Grey 8 x 8 pictures of the vectors, as the image source gives them."""
     grey = F.transform(F.col("embedding").cast("array<double>"), lambda e: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round((e * 4 + 0.5) * 255))).cast("int"))
