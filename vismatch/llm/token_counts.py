@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._common import as_bytes, drop, materialise, shared_dir
 
 HEAD, SHORT = 1 << 17, 64
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 LIMIT = 2_048
 _BLANKS = b" \t\n\r"
 _BLANK = re.compile(b"[" + _BLANKS + b"]")
