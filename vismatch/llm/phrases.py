@@ -31,17 +31,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, materialise, mix, shared_dir
+from ._common import Rolling, as_bytes, materialise, mix, shared_dir
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 LARGEST_LOG = 28
 _BREAK, _WORD = np.zeros(256, bool), np.ones(256, bool)
 _BREAK[list(BREAKS)] = True
 _WORD[list(BREAKS + b" \t")] = False
 _END = re.compile(b"[" + re.escape(BREAKS) + b"]")
 _STEP = np.uint64(0xD1342543DE82EF95)
+_rolling = Rolling()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
@@ -64,6 +65,27 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], li
         yield texts, langs
 
 
+def _coded(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, number of each place among the distinct values, and times of the values, which are below ``most``."""
+    if most > 4 * len(values) + 1024:
+        _, first, code, times = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        return first, code, times
+    times = np.bincount(values, minlength=most)
+    there = np.flatnonzero(times)
+    number, first = np.zeros(most, np.int64), np.zeros(most, np.int64)
+    number[there] = np.arange(len(there))
+    first[values[::-1]] = np.arange(len(values))[::-1]  # the last that is written stays
+    return first[there], number[values], times[there]
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word's bytes and length."""
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    sums, inverse, at = _rolling.prefix(raw.astype(np.uint64) + np.uint64(1)), _rolling.inverse, at - at[0]
+    return mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64) * _STEP)
+
+
 class Words:
     """The words of some texts in order: their codes by language and bytes, their hashes, and the pieces they stand in."""
 
@@ -82,12 +104,9 @@ class Words:
         named = pa.array(langs, pa.string()).dictionary_encode()
         self.langs = named.dictionary
         self.lang = named.indices.to_numpy(zero_copy_only=False)[np.searchsorted(ends, start, "right")]
-        pair = self.lang.astype(np.int64) * max(1, len(self.vocabulary)) + self.word
-        _, self.first, self.code, self.times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs.to_pylist()]
-        names = as_bytes(self.vocabulary.take(pa.array(self.word[self.first])))
-        own = [xxhash.xxh3_64_intdigest(w, seeds[g]) for w, g in zip(names, self.lang[self.first].tolist())]
-        self.hash = np.array(own, np.uint64)[self.code] if own else np.zeros(0, np.uint64)
+        self.first, self.code, self.times = _coded(self.lang.astype(np.int64) * len(self.vocabulary) + self.word, len(self.langs) * len(self.vocabulary))
+        seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs.to_pylist()], np.uint64)
+        self.hash = mix(_hashes(self.vocabulary)[self.word[self.first]] ^ seeds[self.lang[self.first]])[self.code]
 
     def hashes(self, k: int) -> np.ndarray:
         """Hash of the k words that begin at each place."""
@@ -159,8 +178,9 @@ def _longer(k: int, frequent: Broadcast):
             if not len(at):
                 continue
             ids = w.code[at]
-            for j in range(1, k):
-                _, first, ids, times = np.unique(ids * np.int64(len(w.first)) + w.code[at + j], return_index=True, return_inverse=True, return_counts=True)
+            for j in range(1, k - 1):
+                ids = np.unique(ids * np.int64(len(w.first)) + w.code[at + j], return_inverse=True)[1]
+            _, first, times = np.unique(ids * np.int64(len(w.first)) + w.code[at + k - 1], return_index=True, return_counts=True)
             yield w.table(at[first], k, times)
 
     return run
