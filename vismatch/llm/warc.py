@@ -3,10 +3,11 @@
 Format: WARC/1.1, one gzip member for each record; an archive begins with a warcinfo record and is closed when it holds
 ``archive_bytes``. Archives are kept as numbered chunks of bytes in a Parquet table, so that any store Spark writes to
 will do and a lost executor only costs its task; ``export_archive`` joins the chunks of one archive to a plain .warc.gz,
-``read_files`` reads such files.
+``read_files`` reads such files. A chunk ends with a whole record, so chunks are read where they are stored, without an
+exchange; that an archive lacks none and none is there twice is found on their numbers alone.
 
-The reader is sequential: it inflates the stream step by step with zlib, takes one record for each gzip member, cuts
-the block by Content-Length, and verifies the SHA-1 digests of block and payload. Records that are neither responses nor
+The reader is sequential within a chunk or a file: it inflates the stream step by step with zlib, takes one record for
+each gzip member, cuts the block by Content-Length, and verifies the SHA-1 digests of block and payload. Records that are neither responses nor
 revisits are passed over; one without a type is an error.
 
 Payloads are dealt by digest and page id: which page others refer to is found on ids and digests alone, so equal payloads
@@ -196,30 +197,7 @@ def _rows(streams: Iterator[Iterator[bytes]], keep: tuple[str, ...], schema: pa.
 
 def _read(keep: tuple[str, ...], schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, int, bytes]]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    yield tuple(batch.column(c)[row].as_py() for c in ("archive", "chunk", "data"))
-
-        def archives() -> Iterator[Iterator[bytes]]:
-            stream = rows()
-            ahead = next(stream, None)
-            while ahead is not None:
-                now = ahead[0]
-
-                def chunks() -> Iterator[bytes]:
-                    nonlocal ahead
-                    due = 0
-                    while ahead is not None and ahead[0] == now:
-                        if ahead[1] != due:
-                            raise WarcError(f"archive {now}: chunk {due} is missing")
-                        data, due = ahead[2], due + 1
-                        ahead = next(stream, None)
-                        yield data
-
-                yield chunks()
-
-        yield from _rows(archives(), keep, schema)
+        yield from _rows(([x.as_py()] for batch in batches for x in batch.column("data")), keep, schema)
 
     return run
 
@@ -242,11 +220,20 @@ def _kept(payloads: bool) -> tuple[tuple[str, ...], pa.Schema, str]:
     return keep, pa.schema([(k, _ARROW[k]) for k in keep]), _FIELDS + (", url string, payload binary" if payloads else "")
 
 
+def _check_chunks(archives: DataFrame) -> None:
+    """Raise unless each archive has its chunks from 0 to its last, each once. Only numbers are read, a row an archive is dealt."""
+    found = archives.groupBy("archive").agg(F.count("*").alias("n"), F.count_distinct("chunk").alias("distinct"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+    whole = (F.col("first") == 0) & (F.col("n") == F.col("last") + 1) & (F.col("distinct") == F.col("n"))
+    if wrong := found.filter(~F.coalesce(whole, F.lit(False))).select("archive").head(1):
+        raise WarcError(f"archive {wrong[0][0]}: a chunk is missing or there twice")
+
+
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of archives, each read from its first chunk to its last by one task."""
+    """The records of archives (archive, chunk, data) whose chunks hold whole records, as write_archives cuts them; each
+    chunk is read by the task that scans it. An archive that lacks a chunk before its last is refused at once."""
+    _check_chunks(archives)
     keep, schema, fields = _kept(payloads)
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "chunk")
-    return ordered.mapInArrow(_read(keep, schema), fields)
+    return archives.select("data").mapInArrow(_read(keep, schema), fields)
 
 
 def read_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
