@@ -58,9 +58,9 @@ class _BlankAfterSpace(Exception):
 
 class _Remembered:
     """Ids by unit, in flat arrays: a table of open addresses by a 64-bit hash, with 32 further bits and the length
-    compared. It starts anew when it is half full, so its memory is bounded and holds millions of units."""
+    compared. It starts anew when it is half full, so its memory is bounded, at 59 MB and the ids of a million units."""
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
     def __init__(self, dtype: np.dtype) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)  # 0: free
