@@ -21,6 +21,8 @@ from ..functions import vectors
 ROOM = 1e-6
 #: Queries that are compared with the centres at once, and rows that are assigned at once.
 HELD_QUERIES, ROWS_AT_ONCE = 1_024, 2_048
+#: Rows that meet all centres in one product of single precision, and the share of centres in reach from which they do.
+ROWS_A_PRODUCT, WHOLE_SHARE = 256, 0.3
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -50,11 +52,32 @@ class Centres:
         self.groups = [np.flatnonzero(own == g) for g in range(groups)]
         self.radius = np.array([distances(centres[i], self.middle[g : g + 1]).max(initial=0.0) for g, i in enumerate(self.groups)])
         self.compared = 0
+        self._single: np.ndarray | None = None
+
+    def _of_all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row, centre) of the centres that may be nearest, by products with all of them in single precision; None if
+        they don't fit it. The nearest has the largest x . c - c . c / 2, whose error no sum of that length exceeds."""
+        if self._single is None:  # where it is used, not in what is sent there
+            with np.errstate(over="ignore"):
+                self._single = np.concatenate([self.centres, -0.5 * (self.centres.astype(np.float64) ** 2).sum(1)[:, None]], 1).astype(np.float32)
+        largest, width, found = float(-2 * self._single[:, -1].min(initial=0.0)), self._single.shape[1], []
+        for at in range(0, len(x), ROWS_A_PRODUCT):
+            part = x[at : at + ROWS_A_PRODUCT]
+            norm = np.sqrt((part**2).sum(1) * largest) + largest
+            if not norm.max(initial=0.0) < 1e37:
+                return None
+            score = np.append(part, np.ones((len(part), 1)), 1).astype(np.float32) @ self._single.T
+            room = (width + 8) * (1.2 * 2.0**-24 * norm + 1e-37)
+            row, col = np.nonzero(score >= (score.max(1) - 2 * room).astype(np.float32)[:, None])
+            found.append((row + at, col))
+        self.compared += len(x) * len(self.centres)
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centre of each row, the lower of equals, and the distance, as by comparing all.
 
-        Products find the centres that rounding leaves in question; those are compared by their differences."""
+        Products find the centres that rounding leaves in question; those are compared by their differences. Rows whose
+        bounds leave out few groups meet all centres at once."""
         near = distances(x, self.middle)
         room = _room(x, self.centres)
         low, first, best = near - self.radius - room[:, None], near.argmin(1), np.full(len(x), np.inf)
@@ -71,11 +94,16 @@ class Centres:
 
         for g in range(len(self.groups)):
             meet_group(g, np.flatnonzero(first == g))
-        for g in range(len(self.groups)):
-            meet_group(g, np.flatnonzero((first != g) & (low[:, g] <= best + room)))
-        row, cell, d = (np.concatenate(c) for c in zip(*found))
-        close = d <= best[row] + 2 * room[row]
-        row, cell = row[close], cell[close]
+        reached = (low <= (best + room)[:, None]) & (first[:, None] != np.arange(len(self.groups)))
+        whole = len(x) and (reached @ np.array(list(map(len, self.groups)))).mean() > WHOLE_SHARE * len(self.centres)
+        chosen = self._of_all(x) if whole else None
+        if chosen is None:
+            for g in range(len(self.groups)):
+                meet_group(g, np.flatnonzero(reached[:, g] & (low[:, g] <= best + room)))
+            row, cell, d = (np.concatenate(c) for c in zip(*found))
+            close = d <= best[row] + 2 * room[row]
+            chosen = row[close], cell[close]
+        row, cell = chosen
         squares = ((x[row] - self.centres[cell]) ** 2).sum(1)
         order = np.lexsort((cell, squares, row))
         order = order[np.diff(row[order], prepend=-1) > 0]
